@@ -10,7 +10,7 @@ from catalogue.views import table
 from colonnade.functions import columns as C
 from colonnade.operators import cleaning
 
-TITLE = "list_aggregate(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), r -> concat(upper(r[1:1]), lower(r[2:]))), 'string_agg', '')"
+TITLE = "list_aggregate(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), lambda r: concat(upper(r[1:1]), lower(r[2:]))), 'string_agg', '')"
 
 
 def raw_order_lines(spark: SparkSession, sf: str) -> DataFrame:

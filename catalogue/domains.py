@@ -21,7 +21,7 @@ from colonnade.operators import domain, semantic
 from colonnade.plans.roles import profile_of
 
 
-@query("semantic_overview", "SELECT 'retail' AS domain, count(*) AS rows, 6 AS columns, 'revenue=sales,category=category' AS roles FROM lineitem")
+@query("semantic_overview", "SELECT 'retail' AS domain, count(*) AS rows, 7 AS columns, 'revenue=sales,category=category' AS roles FROM lineitem")
 def _(spark, sf):
     overview = semantic.semantic_overview(retail(spark, sf), profile_of("retail", revenue="sales", category="category"))
     joined = F.array_join(F.transform("roles", lambda r: F.concat(r["role"], F.lit("="), r["column"])), ",")

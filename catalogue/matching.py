@@ -47,15 +47,15 @@ def _(spark, sf):
 
 @query(
     "user_function_groups",
-    "SELECT o_custkey, max(o_totalprice) - min(o_totalprice) AS spread, count(*) AS orders FROM orders GROUP BY o_custkey",
+    "SELECT l_suppkey, max(l_extendedprice) - min(l_extendedprice) AS spread, count(*) AS lines FROM lineitem GROUP BY l_suppkey",
 )
 def _(spark, sf):
     def spread(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = rows.o_totalprice.min(), rows.o_totalprice.max()
-        return pd.DataFrame({"o_custkey": rows.o_custkey.iloc[:1], "spread": high - low, "orders": len(rows)})
+        low, high = rows.l_extendedprice.min(), rows.l_extendedprice.max()
+        return pd.DataFrame({"l_suppkey": rows.l_suppkey.iloc[:1], "spread": high - low, "lines": len(rows)})
 
-    orders = table(spark, sf, "orders").select("o_custkey", "o_totalprice")
-    return user_functions.apply_grouped(orders, ["o_custkey"], spread, "o_custkey long, spread double, orders long")
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_extendedprice")
+    return user_functions.apply_grouped(lines, ["l_suppkey"], spread, "l_suppkey long, spread double, lines long")
 
 
 @query(

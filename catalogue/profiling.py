@@ -193,11 +193,12 @@ def _(spark, sf):
 
 @query(
     "insight_correlation",
-    "WITH c AS (SELECT corr(l_extendedprice, l_quantity) AS r FROM lineitem) "
-    + _finding_sql("c", type="'correlation'", metric="'l_extendedprice'", dimension="'l_quantity'", value="r"),
+    "WITH c AS (SELECT corr(gross, l_extendedprice) AS r FROM (SELECT *, l_extendedprice * (1 + l_tax) AS gross FROM lineitem)) "
+    + _finding_sql("c", type="'correlation'", metric="'gross'", dimension="'l_extendedprice'", value="r"),
 )
 def _(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_tax", "l_quantity", "l_extendedprice", "l_discount")
+    lines = lines.withColumn("gross", F.col("l_extendedprice") * (1 + F.col("l_tax")))
     return insights.correlation_finding(lines).select(*FINDING)
 
 
@@ -249,4 +250,4 @@ def _(spark, sf):
 @query("dashboard_kpis", f"""{RETAIL_SQL}, k AS (SELECT count(*) AS r, sum(sales) AS s, sum(profit) AS p, sum(qty) AS q FROM retail)
 SELECT 'Rows' AS label, CAST(r AS DOUBLE) AS value FROM k UNION ALL SELECT 'Revenue', s FROM k UNION ALL SELECT 'Profit', p FROM k UNION ALL SELECT 'Quantity', q FROM k""")
 def _(spark, sf):
-    return dashboard(retail(spark, sf), RETAIL_PROFILE)["kpis"]
+    return dashboard(retail(spark, sf, "customer"), RETAIL_PROFILE)["kpis"]

@@ -12,8 +12,26 @@ from pyspark.sql import functions as F
 from colonnade.plans.roles import SemanticProfile, profile_of
 
 
+# Columns of the tables, so that opening one needs no look into its files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "labels": "doc_id long, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def sales(spark: SparkSession, sf: str, *parts: str) -> DataFrame:
@@ -111,7 +129,7 @@ def retail(spark: SparkSession, sf: str, *parts: str) -> DataFrame:
         F.col("l_quantity").alias("qty"),
         F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("discount"),
         revenue.alias("sales"),
-        (revenue - F.col("p_retailprice") * F.col("l_quantity") * 2.0).alias("profit"),
+        (revenue - F.col("p_retailprice") * F.col("l_quantity") * 2.0886).alias("profit"),
     )
 
 
@@ -121,7 +139,7 @@ WITH retail AS (
          l_shipdate AS date, l_quantity AS qty,
          CASE WHEN l_discount > 0 THEN l_discount END AS discount,
          l_extendedprice * (1 - l_discount) AS sales,
-         l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 2.0 AS profit
+         l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 2.0886 AS profit
   FROM lineitem
   LEFT JOIN part ON p_partkey = l_partkey
   LEFT JOIN orders ON o_orderkey = l_orderkey

@@ -7,6 +7,8 @@ semantics this library follows know only one kind of missing value.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,8 @@ POSITIVE_TEXT = {
 
 # Text layouts tried after ISO when a text column is read as a date.
 DATE_LAYOUTS = ["M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy", "M/d/yy", "M-d-yy"]
+# Digits each part of a layout stands for.
+LAYOUT_DIGITS = {"yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}", "H": "[0-9]{1,2}"}
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 
@@ -81,7 +85,20 @@ def timestamp(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.NumericType):  # plain numbers are nanoseconds since the epoch
         return F.timestamp_micros((value(df, name).cast("double") / 1000).cast("long"))
     text = strip(col(name).cast("string"))
-    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(x)) for x in DATE_LAYOUTS])
+    return F.coalesce(F.try_to_timestamp(text), *[read_date(text, layout) for layout in DATE_LAYOUTS])
+
+
+def read_date(text: Column, layout: str) -> Column:
+    """Text as a timestamp or null; two-digit years run from 1969 to 2068.
+
+    The parser answers a bad text by way of an exception, so texts of another shape
+    are kept away from it.
+    """
+    shape = re.sub("[A-Za-z]+", lambda part: LAYOUT_DIGITS[part.group()], layout)
+    stamp = F.when(text.rlike(f"^{shape}$"), F.try_to_timestamp(text, F.lit(layout)))
+    if "yyyy" in layout:
+        return stamp
+    return F.when(F.year(stamp) > 2068, stamp - F.make_ym_interval(F.lit(100), F.lit(0))).otherwise(stamp)
 
 
 def strip(text: Column) -> Column:
@@ -163,10 +180,14 @@ def period_label(start: Column, freq: str) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """Upper-cases the first letter of every run of letters, so ``dress-set 3a`` gives ``Dress-Set 3A``."""
-    runs = F.regexp_extract_all(text, F.lit("([\\p{L}]+|[^\\p{L}]+)"), F.lit(1))
-    cased = F.transform(runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.lower(F.substring(run, 2, 2147483647))))
-    return F.array_join(cased, "")
+    """Upper-cases the first letter of every run of letters, so ``dress-set 3a`` gives ``Dress-Set 3A``.
+
+    ``initcap`` starts a word only after a space, so every other character that is no
+    letter is followed by a marked space, which is taken out again.
+    """
+    mark = "\u0001 "
+    spaced = F.regexp_replace(text, "(\\P{L})", "$1" + mark)
+    return F.replace(F.initcap(spaced), F.lit(mark), F.lit(""))
 
 
 def money(text: Column) -> Column:

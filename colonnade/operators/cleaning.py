@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.functions.columns import col, is_temporal, is_text, number, strip, timestamp, title_case, value
+from colonnade.functions.columns import col, is_temporal, is_text, number, read_date, strip, timestamp, title_case, value
 
 # Columns dropped, trimmed and upper-cased.
 NOISE_COLUMNS = ["index", "unnamed_22"]
@@ -38,7 +38,7 @@ def clean_sales(df: DataFrame) -> DataFrame:
                 text = F.upper(text)
             changed[name] = title_case(text) if name == "category" else text
     if "date" in named.columns and is_text(named, "date"):
-        changed["date"] = F.try_to_timestamp(col("date"), F.lit("MM-dd-yy"))
+        changed["date"] = read_date(col("date"), "MM-dd-yy")
     return named.drop(*NOISE_COLUMNS).withColumns(changed)
 
 

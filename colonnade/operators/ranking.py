@@ -135,17 +135,15 @@ def rank_bands(df: DataFrame, metric: str, extras: Sequence[str], bands: int) ->
     size = scalar_of(
         ranked, F.sum("n").alias("n"), F.least(F.lit(bands), F.greatest(F.countDistinct(col(metric)), F.lit(1))).alias("q")
     )
-    edge = lambda k: F.floor(1 + (size["n"] - 1) * k / size["q"])
-    spans = F.transform(
-        F.sequence(F.lit(1), size["q"].cast("int")),
-        lambda k: F.struct(
-            k.alias("band_index"),
-            (F.least(F.col("__upto"), edge(k)) - F.greatest(F.col("__upto") - F.col("n"), F.when(k == 1, F.lit(0)).otherwise(edge(k - 1)))).alias("n"),
-        ),
-    )
-    split = running.select(col(metric), *[col(e) for e in extras], F.explode(F.filter(spans, lambda s: s["n"] > 0)).alias("span"))
+    ranked_cells = running.withColumns({"__n": size["n"], "__q": size["q"]})
+    before, upto, rows, q = F.col("__upto") - F.col("n"), F.col("__upto"), F.col("__n") - 1, F.col("__q")
+    band_of = lambda rank: F.greatest(F.ceil(F.try_divide((rank - 1) * q, rows)), F.lit(1)).cast("int")
+    last_rank = lambda k: F.when(k > 0, F.floor(1 + rows * k / q)).otherwise(F.lit(0))
     kept = [col(metric), *[col(e) for e in extras]]
-    banded = split.select(F.col("span.band_index").alias("band_index"), *kept, F.col("span.n").alias("n"))
+    # a cell covers the ranks before+1 .. upto, and so usually one band
+    spread = ranked_cells.withColumn("band_index", F.explode(F.sequence(band_of(before + 1), band_of(upto))))
+    share = F.least(upto, last_rank(F.col("band_index"))) - F.greatest(before, last_rank(F.col("band_index") - 1))
+    banded = spread.select("band_index", *kept, share.alias("n"))
     missing = cells.where(col(metric).isNull()).select(F.lit(None).cast("int").alias("band_index"), *kept, "n")
     return banded.unionByName(missing)
 

@@ -12,31 +12,51 @@ from colonnade.functions.validate import require_columns, require_metric
 from colonnade.plans.measures import scalar_of
 from colonnade.plans.quantiles import exact_quantiles
 
-PAIRS_PER_PASS = 60
+PAIRS_PER_PASS = 100
 PAIR_SCHEMA = "column_a string, column_b string, correlation double"
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Correlation over rows where both are present; null when either side is constant.
+def correlation_pairs(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every unordered pair and of each column with itself.
 
-    Rounding makes the deviation of a constant column tiny rather than zero, so
-    constancy is read off the extremes.
+    Pairs use the rows where both columns are present; a constant side gives null.  A
+    first pass finds each column's mean, extremes and gaps.  With values shifted by
+    that mean, sums of products are numerically safe, and a pair of columns without
+    gaps needs just one sum.
     """
-    a_here, b_here = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    varies = (F.min(a_here) < F.max(a_here)) & (F.min(b_here) < F.max(b_here))
-    spread = F.stddev_pop(a_here) * F.stddev_pop(b_here)
-    return F.when(varies, F.try_divide(F.covar_pop(a, b), spread))
-
-
-def correlation_pairs(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Correlation of every unordered pair and of each column with itself, upper triangle only."""
     numbers = df.select(*[number(df, c).cast("double").alias(c) for c in names])
+    facts = numbers.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[
+            f(col(c)).alias(f"{tag}{i}")
+            for i, c in enumerate(names)
+            for tag, f in (("n", F.count), ("mean", F.avg), ("min", F.min), ("max", F.max))
+        ],
+    ).first()
+    place = {c: i for i, c in enumerate(names)}
+    shifted = {c: col(c) - F.lit(facts[f"mean{i}"]).cast("double") for c, i in place.items()}
+    varies = {c: facts[f"n{i}"] > 0 and facts[f"min{i}"] < facts[f"max{i}"] for c, i in place.items()}
+    complete = {c for c, i in place.items() if facts[f"n{i}"] == facts["rows"]}
+
+    def pair(a: str, b: str) -> Column:
+        if not varies[a] or not varies[b]:
+            return F.lit(None).cast("double")
+        if a == b:
+            return F.lit(1.0)
+        x, y = shifted[a], shifted[b]
+        if {a, b} <= complete:
+            return F.sum(x * y) / F.sqrt(F.sum(x * x) * F.sum(y * y))
+        return _pairwise(x, y)
+
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
-        row = numbers.agg(*[_self_or_pair(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        cells = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation")) for i, (a, b) in enumerate(chunk)]
+        row = numbers.agg(*[pair(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
+        cells = [
+            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation"))
+            for i, (a, b) in enumerate(chunk)
+        ]
         parts.append(row.select(F.explode(F.array(*cells)).alias("pair")).select("pair.*"))
     result = parts[0]
     for part in parts[1:]:
@@ -44,10 +64,15 @@ def correlation_pairs(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return result
 
 
-def _self_or_pair(a: str, b: str) -> Column:
-    if a == b:
-        return F.when(F.min(col(a)) < F.max(col(a)), F.lit(1.0))
-    return _pearson(col(a), col(b))
+def _pairwise(x: Column, y: Column) -> Column:
+    """Correlation of two shifted columns with gaps, over the rows that have both."""
+    xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    n = F.count(x * y)
+    varies = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
+    covered = F.sum(x * y) - F.try_divide(F.sum(xs) * F.sum(ys), n)
+    spread_x = F.sum(xs * xs) - F.try_divide(F.sum(xs) * F.sum(xs), n)
+    spread_y = F.sum(ys * ys) - F.try_divide(F.sum(ys) * F.sum(ys), n)
+    return F.when(varies, F.try_divide(covered, F.sqrt(spread_x * spread_y)))
 
 
 def correlation_analysis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -1,12 +1,13 @@
-"""Dashboards: the tables a domain's overview page is made of, as lazy DataFrames.
+"""Dashboards: the tables a domain's overview page is made of.
 
-Nothing is cached here.  A caller who will look at most tables of a bundle and has
-the room can pass ``df.cache()``.
+A bundle builds a table when it is asked for, so a table nobody looks at costs no job.
+Nothing is cached here; a caller who will look at most tables of a bundle and has the
+room can pass ``df.cache()``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -16,10 +17,29 @@ from colonnade.functions.columns import col, is_numeric
 from colonnade.operators import domain as tables
 from colonnade.operators import grouped, insights, quality, semantic, stats
 from colonnade.operators.cleaning import prepare_sales
-from colonnade.operators.metrics import define_metric, evaluate_metric_summary, metric_breakdown
+from colonnade.operators.metrics import define_metric, evaluate_metric_summary, metric_breakdown, validate_metric
 from colonnade.plans.roles import SemanticProfile, build_semantic_profile
 
-Bundle = dict[str, DataFrame]
+Parts = dict[str, Callable[[], DataFrame]]
+
+
+class Bundle(Mapping[str, DataFrame]):
+    """Tables by id, each planned on first access."""
+
+    def __init__(self, parts: Parts):
+        self._parts = parts
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._parts[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._parts)
+
+    def __len__(self) -> int:
+        return len(self._parts)
 
 
 def dashboard(
@@ -34,11 +54,11 @@ def dashboard(
         "hr": _hr,
         "finance": _finance,
     }.get(profile.domain, _generic)
-    bundle = build(df, profile)
-    bundle.update(_custom_metrics(df, profile, metrics))
+    parts = build(df, profile)
+    parts.update(_custom_metrics(df, profile, metrics))
     wanted = 8 if profile.domain in ("generic", "finance") else 5
-    bundle["insights"] = insights.generate_insights(df, profile, metrics, wanted + 3).limit(wanted)
-    return bundle
+    parts["insights"] = lambda: insights.generate_insights(df, profile, metrics, wanted + 3).limit(wanted)
+    return Bundle(parts)
 
 
 def _cards(row: DataFrame, **cells: str) -> DataFrame:
@@ -51,102 +71,115 @@ def _kpi_cards(kpis: DataFrame) -> DataFrame:
     return _cards(kpis, **{c: c for c in kpis.columns if c not in ("columns", "warnings")})
 
 
-def _ecommerce(df: DataFrame, profile: SemanticProfile) -> Bundle:
+def _ecommerce(df: DataFrame, profile: SemanticProfile) -> Parts:
     sales = prepare_sales(df)
-    overview = grouped.get_sales_overview(sales)
+    figures = {"revenue": "total_revenue", "orders": "unique_orders", "cancel_rate": "cancel_rate", "quantity": "total_qty"}
     return {
-        "kpis": _cards(overview, revenue="total_revenue", orders="unique_orders", cancel_rate="cancel_rate", quantity="total_qty"),
-        "ecom_category": grouped.revenue_by_category(sales),
-        "ecom_state": grouped.top_states_by_revenue(sales, 10),
-        "ecom_category_risk": grouped.category_cancellation_summary(sales),
-        "ecom_month": grouped.revenue_by_month(sales),
+        "kpis": lambda: _cards(grouped.get_sales_overview(sales), **figures),
+        "ecom_category": lambda: grouped.revenue_by_category(sales),
+        "ecom_state": lambda: grouped.top_states_by_revenue(sales, 10),
+        "ecom_category_risk": lambda: grouped.category_cancellation_summary(sales),
+        "ecom_month": lambda: grouped.revenue_by_month(sales),
     }
 
 
-def _sections(df: DataFrame, profile: SemanticProfile, roles: Sequence[str]) -> Bundle:
+def _sections(df: DataFrame, profile: SemanticProfile, roles: Sequence[str]) -> Parts:
     """Monthly trend, and the leading metric by each role that exists."""
     metric = next((r for r in ("revenue", "profit") if r in profile.roles), "quantity")
-    parts: Bundle = {}
+    parts: Parts = {}
     if profile.column("date") and profile.column("revenue", "profit", "quantity"):
-        parts["semantic_trend"] = semantic.semantic_time_series(df, profile)
+        parts["semantic_trend"] = lambda: semantic.semantic_time_series(df, profile)
     for role in roles:
         if role in profile.roles and metric in profile.roles and is_numeric(df, profile.column(metric)):
-            parts[f"semantic_{role}"] = semantic.semantic_breakdown(df, profile, role, metric)
+            parts[f"semantic_{role}"] = lambda role=role: semantic.semantic_breakdown(df, profile, role, metric)
     return parts
 
 
-def _retail(df: DataFrame, profile: SemanticProfile) -> Bundle:
+def _kpis(df: DataFrame, profile: SemanticProfile) -> Parts:
+    return {"kpis": lambda: _kpi_cards(semantic.semantic_kpis(df, profile))}
+
+
+def _retail(df: DataFrame, profile: SemanticProfile) -> Parts:
     return {
-        "kpis": _kpi_cards(semantic.semantic_kpis(df, profile)),
-        "retail_margin": tables.retail_margin_summary(df, profile),
+        **_kpis(df, profile),
+        "retail_margin": lambda: tables.retail_margin_summary(df, profile),
         **_sections(df, profile, ["category", "state", "segment"]),
-        "retail_losses": tables.retail_loss_analysis(df, profile, "category"),
-        "retail_discount": tables.retail_discount_effect(df, profile),
-        "retail_interaction": tables.retail_interaction(df, profile),
-        "retail_opportunity": tables.retail_top_opportunities(df, profile),
+        "retail_losses": lambda: tables.retail_loss_analysis(df, profile, "category"),
+        "retail_discount": lambda: tables.retail_discount_effect(df, profile),
+        "retail_interaction": lambda: tables.retail_interaction(df, profile),
+        "retail_opportunity": lambda: tables.retail_top_opportunities(df, profile),
     }
 
 
-def _finance(df: DataFrame, profile: SemanticProfile) -> Bundle:
-    return {"kpis": _kpi_cards(semantic.semantic_kpis(df, profile)), **_sections(df, profile, ["category", "state"])}
+def _finance(df: DataFrame, profile: SemanticProfile) -> Parts:
+    return {**_kpis(df, profile), **_sections(df, profile, ["category", "state"])}
 
 
-def _marketing(df: DataFrame, profile: SemanticProfile) -> Bundle:
+def _marketing(df: DataFrame, profile: SemanticProfile) -> Parts:
     return {
-        "kpis": _kpi_cards(semantic.semantic_kpis(df, profile)),
-        "mkt_campaign_response": semantic.semantic_target_summary(df, profile, "campaign"),
-        "mkt_country_response": tables.marketing_response_by_segment(df, profile, "country"),
-        "mkt_campaign_acceptance": tables.marketing_campaign_acceptance(df, profile),
-        "mkt_income_response": tables.marketing_income_band_response(df, profile),
-        "mkt_channels": tables.marketing_purchase_channel_summary(df),
-        "mkt_rfm": tables.marketing_rfm_summary(df, profile),
+        **_kpis(df, profile),
+        "mkt_campaign_response": lambda: semantic.semantic_target_summary(df, profile, "campaign"),
+        "mkt_country_response": lambda: tables.marketing_response_by_segment(df, profile, "country"),
+        "mkt_campaign_acceptance": lambda: tables.marketing_campaign_acceptance(df, profile),
+        "mkt_income_response": lambda: tables.marketing_income_band_response(df, profile),
+        "mkt_channels": lambda: tables.marketing_purchase_channel_summary(df),
+        "mkt_rfm": lambda: tables.marketing_rfm_summary(df, profile),
     }
 
 
-def _hr(df: DataFrame, profile: SemanticProfile) -> Bundle:
-    by_role = {f"hr_{r}": tables.hr_attrition_by_role(df, profile, r, 1) for r in ("department", "job_role", "overtime")}
+def _hr(df: DataFrame, profile: SemanticProfile) -> Parts:
+    by_role: Parts = {
+        f"hr_{role}": lambda role=role: tables.hr_attrition_by_role(df, profile, role, 1)
+        for role in ("department", "job_role", "overtime")
+    }
     return {
-        "kpis": _kpi_cards(semantic.semantic_kpis(df, profile)),
+        **_kpis(df, profile),
         **by_role,
-        "hr_income": tables.hr_income_band_attrition(df, profile),
-        "hr_tenure": tables.hr_tenure_risk(df, profile),
-        "hr_high_risk": tables.hr_high_risk_segments(df, profile, 1),
+        "hr_income": lambda: tables.hr_income_band_attrition(df, profile),
+        "hr_tenure": lambda: tables.hr_tenure_risk(df, profile),
+        "hr_high_risk": lambda: tables.hr_high_risk_segments(df, profile, 1),
     }
 
 
-def _generic(df: DataFrame, profile: SemanticProfile) -> Bundle:
-    missing = quality.get_missing_values(df)
-    overview = quality.get_dataset_overview(df).withColumn(
-        "missing_columns", missing.agg(F.count_if("has_missing").alias("n")).scalar()
-    )
+def _generic(df: DataFrame, profile: SemanticProfile) -> Parts:
+    def kpis() -> DataFrame:
+        gaps = quality.get_missing_values(df).agg(F.count_if("has_missing").alias("n")).scalar()
+        overview = quality.get_dataset_overview(df).withColumn("missing_columns", gaps)
+        return _cards(overview, **{c: c for c in ("rows", "columns", "duplicate_rows", "missing_columns")})
+
     return {
-        "kpis": _cards(overview, rows="rows", columns="columns", duplicate_rows="duplicate_rows", missing_columns="missing_columns"),
-        "generic_missing": missing.select("column", "missing", "missing_percent"),
-        "generic_numeric": quality.generic_numeric_distributions(df),
-        "generic_categorical": quality.generic_top_categorical_values(df),
-        "generic_correlation": stats.correlation_analysis(df),
+        "kpis": kpis,
+        "generic_missing": lambda: quality.get_missing_values(df).drop("has_missing"),
+        "generic_numeric": lambda: quality.generic_numeric_distributions(df),
+        "generic_categorical": lambda: quality.generic_top_categorical_values(df),
+        "generic_correlation": lambda: stats.correlation_analysis(df),
     }
 
 
-def _custom_metrics(df: DataFrame, profile: SemanticProfile, metrics: Sequence[Mapping[str, Any]]) -> Bundle:
+def _custom_metrics(df: DataFrame, profile: SemanticProfile, metrics: Sequence[Mapping[str, Any]]) -> Parts:
     """Summaries of the metrics that compile, and the first one by the first dimension role."""
     usable, failed = [], []
     for metric in map(define_metric, metrics):
         try:
-            usable.append((metric, evaluate_metric_summary(df, profile, metric)))
+            validate_metric(metric, df, profile)
+            usable.append(metric)
         except ValueError as error:
             failed.append((f"Custom metric `{metric.name or 'unknown'}` could not be evaluated: {error}",))
-    parts: Bundle = {}
+    parts: Parts = {}
     if failed:
-        parts["warnings"] = df.sparkSession.createDataFrame(failed, "warning string")
+        parts["warnings"] = lambda: df.sparkSession.createDataFrame(failed, "warning string")
     if not usable:
         return parts
-    summary = usable[0][1]
-    for _, other in usable[1:]:
-        summary = summary.unionByName(other)
-    parts["custom_metrics"] = summary
+
+    def summaries() -> DataFrame:
+        result = evaluate_metric_summary(df, profile, usable[0])
+        for other in usable[1:]:
+            result = result.unionByName(evaluate_metric_summary(df, profile, other))
+        return result
+
+    parts["custom_metrics"] = summaries
     role = next((r for r in ("category", "segment", "state", "country", "department") if r in profile.roles), None)
     first = define_metric(metrics[0])
-    if role and first.name == usable[0][0].name:
-        parts[f"custom_metric_{first.name}_by_{role}"] = metric_breakdown(df, profile, first, by_role=role)
+    if role and first in usable:
+        parts[f"custom_metric_{first.name}_by_{role}"] = lambda: metric_breakdown(df, profile, first, by_role=role)
     return parts

@@ -1,9 +1,11 @@
 """Exact quantiles that never gather a column's values in one task.
 
 Spark's own exact ``percentile`` keeps one counter per distinct value in a single
-aggregation buffer.  Here a sketch brackets every wanted rank, a count pass proves
-the bracket holds it, and only rows inside the bracket are grouped by value.  Hot
-values cost nothing: a bracket that closes on one value is done.
+aggregation buffer.  Here every wanted rank starts with the bracket from the column's
+smallest to its largest value.  A sketch over a random sample proposes a narrower
+bracket, and a counting pass over all rows accepts it only if it holds the rank, so
+the sample decides the cost and never the answer.  Rows inside the final brackets are
+grouped by value.  Hot values are cheap: a bracket that closes on one value is done.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +24,18 @@ from colonnade.functions.columns import col
 from colonnade.plans.scale import with_running_sum
 
 SKETCH_ACCURACY = 2000
-#: A bracket with at most this many rows is resolved by sorting its value counts in one task.
+#: Rows a sketch looks at, on average, and the rank error allowed for it (over four deviations).
+SAMPLE_ROWS = 40_000
+SAMPLE_MARGIN = 0.0125
+#: A bracket with at most this many rows is resolved by sorting its value counts in one task;
+#: a column with fewer values needs no sketch at all.
 BRACKET_ROWS = 1_000_000
-MAX_PASSES = 8
+MAX_PASSES = 12
 
 
 @dataclass
 class _Slot:
-    """One wanted quantile: the ranks it needs and the value bracket known to hold them."""
+    """One wanted quantile: the ranks it needs and the counted value bracket that holds them."""
 
     name: str
     prob: float
@@ -37,6 +45,7 @@ class _Slot:
     high: float | None = None
     below: int = 0
     inside: int = 0
+    margin: float = SAMPLE_MARGIN
 
     @property
     def closed(self) -> bool:
@@ -56,14 +65,13 @@ def exact_quantiles(
         return {name: [] for name in wanted}
     frame = df.select(*[F.nullif(col(n).cast("double"), F.lit(float("nan"))).alias(n) for n in names])
     slots = [_Slot(name, p) for name in names for p in wanted[name]]
-    counts = _first_brackets(frame, names, slots, nearest)
+    counts = _whole_range(frame, names, slots, nearest)
 
-    pending = [s for s in slots if s.low is not None]
-    for attempt in range(MAX_PASSES):
-        _count_brackets(frame, pending)
-        pending = [s for s in pending if not s.closed and s.inside > BRACKET_ROWS]
-        if not pending or attempt == MAX_PASSES - 1 or not _narrow(frame, pending):
+    for _ in range(MAX_PASSES):
+        wide = [s for s in slots if not s.closed and s.inside > BRACKET_ROWS]
+        if not wide:
             break
+        _narrow(frame, wide)
     values = _resolve(frame, [s for s in slots if not s.closed])
 
     result: dict[str, list[float | None]] = {name: [] for name in wanted}
@@ -72,117 +80,110 @@ def exact_quantiles(
         if n == 0:
             result[slot.name].append(None)
             continue
-        low, high = values.get(id(slot), (slot.low, slot.low))
+        low, high = (slot.low, slot.low) if slot.closed else values[id(slot)]
         weight = 0.0 if nearest else (n - 1) * slot.prob - slot.first
         result[slot.name].append(low + (high - low) * weight)
     return result
 
 
-def _first_brackets(frame: DataFrame, names: list[str], slots: list[_Slot], nearest: bool) -> dict[str, int]:
-    margin = 2.0 / SKETCH_ACCURACY
-    aggs = []
-    for i, name in enumerate(names):
-        probs = sorted({q for s in slots if s.name == name for q in (max(s.prob - margin, 0.0), min(s.prob + margin, 1.0))})
-        aggs += [
-            F.count(col(name)).alias(f"n{i}"),
-            F.min(col(name)).alias(f"min{i}"),
-            F.max(col(name)).alias(f"max{i}"),
-            F.percentile_approx(col(name), probs, SKETCH_ACCURACY).alias(f"q{i}"),
-        ]
-    row = frame.agg(*aggs).first()
-    counts = {}
-    for i, name in enumerate(names):
-        n = counts[name] = row[f"n{i}"]
+def _whole_range(frame: DataFrame, names: list[str], slots: list[_Slot], nearest: bool) -> dict[str, int]:
+    """Count the values and start every slot with the bracket from smallest to largest."""
+    parts = {"n": F.count, "low": F.min, "high": F.max}
+    row = frame.agg(*[f(col(c)).alias(f"{tag}{i}") for i, c in enumerate(names) for tag, f in parts.items()]).first()
+    counts = {name: row[f"n{i}"] for i, name in enumerate(names)}
+    for slot in slots:
+        i, n = names.index(slot.name), counts[slot.name]
         if not n:
             continue
-        mine = [s for s in slots if s.name == name]
-        probs = sorted({q for s in mine for q in (max(s.prob - margin, 0.0), min(s.prob + margin, 1.0))})
-        at = dict(zip(probs, row[f"q{i}"]))
-        for slot in mine:
-            if nearest:
-                slot.first = slot.last = min(n - 1, max(math.ceil(n * slot.prob) - 1, 0))
-            else:
-                slot.first = math.floor((n - 1) * slot.prob)
-                slot.last = math.ceil((n - 1) * slot.prob)
-            low, high = max(slot.prob - margin, 0.0), min(slot.prob + margin, 1.0)
-            slot.low = row[f"min{i}"] if low == 0.0 else at[low]
-            slot.high = row[f"max{i}"] if high == 1.0 else at[high]
+        if nearest:
+            slot.first = slot.last = min(max(math.ceil(n * slot.prob) - 1, 0), n - 1)
+        else:
+            slot.first, slot.last = math.floor((n - 1) * slot.prob), math.ceil((n - 1) * slot.prob)
+        slot.low, slot.high, slot.inside = row[f"low{i}"], row[f"high{i}"], n
     return counts
 
 
-def _count_brackets(frame: DataFrame, slots: list[_Slot]) -> None:
-    """Count rows under and inside each bracket; widen to the column's range where a rank is outside."""
-    if not slots:
-        return
-    aggs = []
-    for i, s in enumerate(slots):
-        x = col(s.name)
-        aggs += [
-            F.count_if(x < s.low).alias(f"b{i}"),
-            F.count_if(x <= s.high).alias(f"u{i}"),
-            F.min(x).alias(f"min{i}"),
-            F.max(x).alias(f"max{i}"),
-        ]
-    row = frame.agg(*aggs).first()
-    missed = []
-    for i, s in enumerate(slots):
-        s.below, s.inside = row[f"b{i}"], row[f"u{i}"] - row[f"b{i}"]
-        if s.first < s.below or s.last >= row[f"u{i}"]:
-            s.low, s.high = row[f"min{i}"], row[f"max{i}"]
-            missed.append(s)
-    if missed:
-        _count_brackets(frame, missed)
-
-
-def _narrow(frame: DataFrame, slots: list[_Slot]) -> bool:
-    """Sketch inside each wide bracket.  Answers whether any bracket became smaller."""
-    margin = 2.0 / SKETCH_ACCURACY
-    aggs = []
-    for i, s in enumerate(slots):
-        x = col(s.name)
-        probs = [
-            min(max((s.first - s.below) / s.inside - margin, 0.0), 1.0),
-            min(max((s.last - s.below + 1) / s.inside + margin, 0.0), 1.0),
+def _narrow(frame: DataFrame, slots: list[_Slot]) -> None:
+    """Propose a narrower bracket for each slot and adopt it where a full count confirms it."""
+    shared: dict[tuple, list[_Slot]] = {}
+    for s in slots:
+        shared.setdefault((s.name, s.low, s.high), []).append(s)
+
+    def ends(s: _Slot) -> tuple[float, float]:
+        return (
+            min(max((s.first - s.below) / s.inside - s.margin, 0.0), 1.0),
+            min(max((s.last - s.below + 1) / s.inside + s.margin, 0.0), 1.0),
+        )
+
+    chance = {key: min(SAMPLE_ROWS / members[0].inside, 1.0) for key, members in shared.items()}
+    drawn = frame.withColumn("__chance", F.rand()).where(F.col("__chance") < max(chance.values()))
+    samples, sketches, probs = [], [], []
+    for i, (key, members) in enumerate(shared.items()):
+        name, low, high = key
+        x = col(name)
+        keep = x.between(low, high) & (F.col("__chance") < chance[key])
+        probs.append(sorted({p for s in members for p in ends(s)}))
+        samples.append(F.when(keep, x).alias(f"x{i}"))
+        sketches.append(F.percentile_approx(f"x{i}", probs[-1], SKETCH_ACCURACY).alias(f"q{i}"))
+    row = drawn.select(*samples).agg(*sketches).first()
+
+    proposals = []
+    for i, members in enumerate(shared.values()):
+        at = dict(zip(probs[i], row[f"q{i}"] or []))
+        for s in members:
+            low, high = ends(s)
+            # an outermost bracket end stays where it is: a sample need not contain the extremes
+            proposals.append((s, at.get(low, s.low) if low > 0 else s.low, at.get(high, s.high) if high < 1 else s.high))
+
+    counted = frame.agg(
+        *[
+            agg.alias(f"{tag}{i}")
+            for i, (s, low, high) in enumerate(proposals)
+            for tag, agg in (("b", F.count_if(col(s.name) < low)), ("u", F.count_if(col(s.name) <= high)))
         ]
-        inside = F.when((x >= s.low) & (x <= s.high), x)
-        aggs.append(F.percentile_approx(inside, probs, SKETCH_ACCURACY).alias(f"q{i}"))
-    row = frame.agg(*aggs).first()
-    smaller = False
-    for i, s in enumerate(slots):
-        low, high = row[f"q{i}"]
-        if (low, high) != (s.low, s.high):
-            s.low, s.high, smaller = low, high, True
-    return smaller
+    ).first()
+    for i, (s, low, high) in enumerate(proposals):
+        below, upto = counted[f"b{i}"], counted[f"u{i}"]
+        if below <= s.first and s.last < upto:
+            s.low, s.high, s.below, s.inside = low, high, below, upto - below
+        else:
+            s.margin *= 4
 
 
 def _resolve(frame: DataFrame, slots: list[_Slot]) -> dict[int, tuple[float, float]]:
     if not slots:
         return {}
-    hits = F.array(
-        *[
-            F.when(col(s.name).between(s.low, s.high), F.struct(F.lit(i).alias("slot"), col(s.name).alias("x")))
-            for i, s in enumerate(slots)
-        ]
+    names = list(dict.fromkeys(s.name for s in slots))
+    near = {c: reduce(or_, [col(c).between(s.low, s.high) for s in slots if s.name == c]) for c in names}
+    cells = F.array(*[F.when(near[c], F.struct(F.lit(i).alias("c"), col(c).alias("x"))) for i, c in enumerate(names)])
+    values = (
+        frame.where(reduce(or_, near.values()))
+        .select(F.explode(cells).alias("cell"))
+        .where(F.col("cell").isNotNull())
+        .groupBy(F.col("cell.c").alias("c"), F.col("cell.x").alias("x"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    rows = frame.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("hit"))
-    counted = rows.groupBy(F.col("hit.slot").alias("slot"), F.col("hit.x").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    # the values are counted by now; hand each to the brackets it is in
+    brackets = list(dict.fromkeys((s.name, s.low, s.high, s.below) for s in slots))
+    inside = [F.when((F.col("c") == names.index(c)) & F.col("x").between(low, high), F.lit(i)) for i, (c, low, high, _) in enumerate(brackets)]
+    counted = values.select(F.explode(F.array(*inside)).alias("bracket"), "x", "n").where(F.col("bracket").isNotNull())
     if all(s.inside <= BRACKET_ROWS for s in slots):
-        ordered = Window.partitionBy("slot").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        counted = counted.withColumn("upto", F.sum("n").over(ordered))
+        ordered = Window.partitionBy("bracket").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = counted.withColumn("upto", F.sum("n").over(ordered))
     else:
-        counted = with_running_sum(counted, [F.col("x")], F.col("n"), "upto", by=["slot"])
+        running = with_running_sum(counted, [F.col("x")], F.col("n"), "upto", by=["bracket"])
 
-    def rank(pick: str) -> Column:
-        lookup = F.create_map(*[F.lit(v) for i, s in enumerate(slots) for v in (i, getattr(s, pick) - s.below)])
-        return F.element_at(lookup, F.col("slot"))
+    place = {id(s): brackets.index((s.name, s.low, s.high, s.below)) for s in slots}
+    wanted = sorted({(place[id(s)], rank - s.below) for s in slots for rank in (s.first, s.last)})
+    holds = [(F.col("bracket") == b) & (F.col("upto") - F.col("n") <= r) & (r < F.col("upto")) for b, r in wanted]
+    # one row per wanted rank at most
+    found = running.where(reduce(or_, holds)).collect()
 
-    def holds(r: Column) -> Column:
-        return (F.col("upto") - F.col("n") <= r) & (r < F.col("upto"))
+    def at(s: _Slot, rank: int) -> float:
+        r = rank - s.below
+        return next(f["x"] for f in found if f["bracket"] == place[id(s)] and f["upto"] - f["n"] <= r < f["upto"])
 
-    found = counted.where(holds(rank("first")) | holds(rank("last"))).groupBy("slot").agg(
-        F.min("x").alias("low"), F.max("x").alias("high")
-    )
-    return {id(slots[r["slot"]]): (r["low"], r["high"]) for r in found.collect()}
+    return {id(s): (at(s, s.first), at(s, s.last)) for s in slots}
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], metric: Column, out: str) -> DataFrame:
