@@ -27,8 +27,9 @@ SKETCH_ACCURACY = 2000
 #: Rows a sketch looks at, on average, and the rank error allowed for it (over four deviations).
 SAMPLE_ROWS = 40_000
 SAMPLE_MARGIN = 0.0125
-#: A bracket with at most this many rows is resolved by sorting its value counts in one task;
-#: a column with fewer values needs no sketch at all.
+#: A column with at most this many values needs no sketch.
+DIRECT_ROWS = 100_000
+#: A bracket with at most this many rows is resolved by sorting its value counts in one task.
 BRACKET_ROWS = 1_000_000
 MAX_PASSES = 12
 
@@ -46,6 +47,7 @@ class _Slot:
     below: int = 0
     inside: int = 0
     margin: float = SAMPLE_MARGIN
+    stuck: bool = False
 
     @property
     def closed(self) -> bool:
@@ -67,8 +69,9 @@ def exact_quantiles(
     slots = [_Slot(name, p) for name in names for p in wanted[name]]
     counts = _whole_range(frame, names, slots, nearest)
 
-    for _ in range(MAX_PASSES):
-        wide = [s for s in slots if not s.closed and s.inside > BRACKET_ROWS]
+    for attempt in range(MAX_PASSES):
+        limit = DIRECT_ROWS if attempt == 0 else BRACKET_ROWS
+        wide = [s for s in slots if not s.closed and not s.stuck and s.inside > limit]
         if not wide:
             break
         _narrow(frame, wide)
@@ -144,7 +147,9 @@ def _narrow(frame: DataFrame, slots: list[_Slot]) -> None:
     ).first()
     for i, (s, low, high) in enumerate(proposals):
         below, upto = counted[f"b{i}"], counted[f"u{i}"]
-        if below <= s.first and s.last < upto:
+        if (low, high) == (s.low, s.high):
+            s.stuck = True  # a few hot values: counting them is all there is to do
+        elif below <= s.first and s.last < upto:
             s.low, s.high, s.below, s.inside = low, high, below, upto - below
         else:
             s.margin *= 4
@@ -187,27 +192,21 @@ def _resolve(frame: DataFrame, slots: list[_Slot]) -> dict[int, tuple[float, flo
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], metric: Column, out: str) -> DataFrame:
-    """Exact median per key.  Values are counted first, so hot keys and hot values are pre-aggregated."""
+    """Exact median per key.
+
+    Values are counted first, so hot keys and hot values are pre-aggregated, and the
+    counted values of one key may lie in many range slices.
+    """
+    names = [col(k) for k in keys]
     counted = (
-        df.select(*[F.col(k) for k in keys], metric.cast("double").alias("__x"))
-        .groupBy(*keys, "__x")
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    sizes = counted.groupBy(*keys).agg(F.sum(F.when(F.col("__x").isNotNull(), F.col("__n"))).alias("__size"))
-    running = with_running_sum(counted.where(F.col("__x").isNotNull()), [F.col("__x")], F.col("__n"), "__upto", by=keys)
-    same = F.lit(True)
-    renamed = sizes
-    for i, key in enumerate(keys):
-        renamed = renamed.withColumnRenamed(key, f"__k{i}")
-        same = same & F.col(key).eqNullSafe(F.col(f"__k{i}"))
-    before = F.col("__upto") - F.col("__n")
-    first = F.floor((F.col("__size") - 1) / 2)
-    last = F.ceil((F.col("__size") - 1) / 2)
-    middle = ((before <= first) & (first < F.col("__upto"))) | ((before <= last) & (last < F.col("__upto")))
-    # left join keeps keys whose values are all missing; they have a null median
-    return (
-        renamed.join(running, same, "left")
-        .where(F.col("__size").isNull() | middle)
-        .groupBy(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)])
-        .agg(((F.min("__x") + F.max("__x")) / 2).alias(out))
+        df.select(*names, metric.cast("double").alias("__x")).groupBy(*names, "__x").agg(F.count(F.lit(1)).alias("__n"))
     )
+    filled = counted.where(F.col("__x").isNotNull())
+    running = with_running_sum(filled, [F.col("__x")], F.col("__n"), "__upto", keys, "__size")
+    before, upto = F.col("__upto") - F.col("__n"), F.col("__upto")
+    first, last = F.floor((F.col("__size") - 1) / 2), F.ceil((F.col("__size") - 1) / 2)
+    middle = running.where(((before <= first) & (first < upto)) | ((before <= last) & (last < upto)))
+    medians = middle.groupBy(*names).agg(((F.min("__x") + F.max("__x")) / 2).alias(out))
+    # keys whose values are all missing have a null median
+    empty = counted.groupBy(*names).agg(F.max("__x").alias(out)).where(col(out).isNull())
+    return medians.unionByName(empty)

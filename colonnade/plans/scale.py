@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colonnade.functions.columns import col
+
 #: Session setting: inputs whose source tables are at most this many bytes are "small".
 SMALL_BYTES_KEY = "colonnade.small.bytes"
 SMALL_BYTES = 64 * 1024 * 1024
@@ -60,38 +62,42 @@ def with_running_sum(
     weight: Column,
     out: str,
     by: Sequence[str] = (),
+    total_out: str | None = None,
 ) -> DataFrame:
     """Add the inclusive running sum of ``weight`` in ``order``, restarted for each ``by`` key.
 
+    ``total_out`` names a column for the key's whole sum, if that is wanted too.
+
     Callers pass rows that are unique in (by, order), so no tie can be larger than
     one row.  A small input is one plain window.  Otherwise rows are range-partitioned
     on (by, order) and materialized together with their slice number; a running sum
     inside each slice plus the total of the slices before it gives the result.  The
     table of slice totals has at most one row per slice and key.
     """
-    keys = list(by)
-    whole = Window.partitionBy(*keys).orderBy(*order)
+    keys = [col(k) for k in by]
     upto = (Window.unboundedPreceding, Window.currentRow)
     if is_small(df):
-        return df.withColumn(out, F.sum(weight).over(whole.rowsBetween(*upto)))
+        summed = df.withColumn(out, F.sum(weight).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)))
+        return summed.withColumn(total_out, F.sum(weight).over(Window.partitionBy(*keys))) if total_out else summed
 
     slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    spread = df.withColumn("__weight", weight).repartitionByRange(slices, *[F.col(k) for k in keys], *order)
+    spread = df.withColumn("__weight", weight).repartitionByRange(slices, *keys, *order)
     spread = materialize(spread.withColumn("__slice", F.spark_partition_id()))
     totals = spread.groupBy(*keys, "__slice").agg(F.sum("__weight").alias("__slice_total"))
     earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)],
+        *[k.alias(f"__key{i}") for i, k in enumerate(keys)],
         F.col("__slice").alias("__offset_slice"),
         F.coalesce(F.sum("__slice_total").over(earlier), F.lit(0)).alias("__offset"),
+        F.sum("__slice_total").over(Window.partitionBy(*keys)).alias(total_out or "__total"),
     )
     same = F.col("__slice") == F.col("__offset_slice")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+        same = same & k.eqNullSafe(F.col(f"__key{i}"))
     within = Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(*upto)
     return (
         spread.withColumn(out, F.sum("__weight").over(within))
         .join(offsets, same)
         .withColumn(out, F.col(out) + F.col("__offset"))
-        .drop("__weight", "__slice", "__offset_slice", "__offset", *[f"__key{i}" for i in range(len(keys))])
+        .drop("__weight", "__slice", "__offset_slice", "__offset", "__total", *[f"__key{i}" for i in range(len(keys))])
     )
