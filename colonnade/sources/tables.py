@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.functions.columns import col
+from colonnade.functions.columns import col, is_text
 
 # Cell texts that mean "missing".
 MISSING_TEXT = [
@@ -16,7 +16,7 @@ MISSING_TEXT = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 #: Bytes that windows-1252 leaves undefined; a file with one of them is read as latin-1.
-UNDEFINED_1252 = "^(?:..)*(?:81|8D|8F|90|9D)"
+UNDEFINED_BYTES = [0x81, 0x8D, 0x8F, 0x90, 0x9D]
 SNAPSHOT_ROWS = 10_000
 # What a column may hold to be boolean.
 BOOLEAN_TEXT = ["True", "TRUE", "true", "False", "FALSE", "false"]
@@ -44,7 +44,8 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
     if bad.isEmpty():
         return "UTF-8"
-    undefined = bad.where(F.hex(F.col("value").cast("binary")).rlike(UNDEFINED_1252))
+    pattern = "^(?:..)*(?:" + "|".join(f"{b:02X}" for b in UNDEFINED_BYTES) + ")"
+    undefined = bad.where(F.hex(F.col("value").cast("binary")).rlike(pattern))
     return "windows-1252" if undefined.isEmpty() else "ISO-8859-1"
 
 
@@ -62,17 +63,33 @@ def read_csv(
     rows in one extra pass.  ``multi_line`` allows line breaks inside quotes, at the
     price of one task per file.
     """
+    encoding = encoding or detect_encoding(spark, path)
+    western = encoding.lower() in ("windows-1252", "cp1252")
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .option("encoding", encoding or detect_encoding(spark, path))
+        .option("encoding", "ISO-8859-1" if western else encoding)
     )
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return infer_types(reader.csv(path))
+    df = reader.csv(path) if schema is None else reader.schema(schema).csv(path)
+    df = _from_latin_1(df) if western else df
+    return infer_types(df) if schema is None else df
+
+
+def _from_latin_1(df: DataFrame) -> DataFrame:
+    """Turn windows-1252 text that was read as latin-1, which Spark's reader knows, into what it says.
+
+    The two differ in the characters 80 to 9F only.
+    """
+    control = [chr(c) for c in range(0x80, 0xA0) if c not in UNDEFINED_BYTES]
+    meant = "".join(control).encode("latin-1").decode("cp1252")
+    names = [c.translate(str.maketrans("".join(control), meant)) for c in df.columns]
+    cells = [
+        F.translate(col(c), "".join(control), meant) if is_text(df, c) else col(c) for c in df.columns
+    ]
+    return df.select(*[cell.alias(name) for cell, name in zip(cells, names)])
 
 
 def infer_types(texts: DataFrame) -> DataFrame:
