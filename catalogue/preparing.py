@@ -144,7 +144,7 @@ def _(spark, sf):
 
 @query(
     "prepare_traffic_accidents",
-    """SELECT event_id, strftime(ts, '%Y-%m-%d') AS "Date", event_type AS "City", NULL AS "Vehicle Type", 1 AS "Accident Count" FROM events""",
+    """SELECT event_id, strftime(ts, '%Y-%m-%d') AS "Date", event_type AS "City", CAST(NULL AS VARCHAR) AS "Vehicle Type", 1 AS "Accident Count" FROM events""",
 )
 def _(spark, sf):
     events = table(spark, sf, "events").select(
