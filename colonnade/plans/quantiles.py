@@ -5,7 +5,8 @@ aggregation buffer.  Here every wanted rank starts with the bracket from the col
 smallest to its largest value.  A sketch over a random sample proposes a narrower
 bracket, and a counting pass over all rows accepts it only if it holds the rank, so
 the sample decides the cost and never the answer.  Rows inside the final brackets are
-grouped by value.  Hot values are cheap: a bracket that closes on one value is done.
+grouped by value.  Hot values are cheap: a rank among the copies of a bracket end is
+answered by the counts alone.
 """
 
 from __future__ import annotations
@@ -48,10 +49,7 @@ class _Slot:
     inside: int = 0
     margin: float = SAMPLE_MARGIN
     stuck: bool = False
-
-    @property
-    def closed(self) -> bool:
-        return self.low is None or self.low == self.high
+    answer: tuple[float, float] | None = None
 
 
 def exact_quantiles(
@@ -71,11 +69,11 @@ def exact_quantiles(
 
     for attempt in range(MAX_PASSES):
         limit = DIRECT_ROWS if attempt == 0 else BRACKET_ROWS
-        wide = [s for s in slots if not s.closed and not s.stuck and s.inside > limit]
+        wide = [s for s in slots if s.answer is None and not s.stuck and s.inside > limit]
         if not wide:
             break
         _narrow(frame, wide)
-    values = _resolve(frame, [s for s in slots if not s.closed])
+    _resolve(frame, [s for s in slots if s.answer is None and s.inside])
 
     result: dict[str, list[float | None]] = {name: [] for name in wanted}
     for slot in slots:
@@ -83,7 +81,7 @@ def exact_quantiles(
         if n == 0:
             result[slot.name].append(None)
             continue
-        low, high = (slot.low, slot.low) if slot.closed else values[id(slot)]
+        low, high = slot.answer
         weight = 0.0 if nearest else (n - 1) * slot.prob - slot.first
         result[slot.name].append(low + (high - low) * weight)
     return result
@@ -103,6 +101,8 @@ def _whole_range(frame: DataFrame, names: list[str], slots: list[_Slot], nearest
         else:
             slot.first, slot.last = math.floor((n - 1) * slot.prob), math.ceil((n - 1) * slot.prob)
         slot.low, slot.high, slot.inside = row[f"low{i}"], row[f"high{i}"], n
+        if slot.low == slot.high:
+            slot.answer = (slot.low, slot.low)
     return counts
 
 
@@ -138,26 +138,35 @@ def _narrow(frame: DataFrame, slots: list[_Slot]) -> None:
             # an outermost bracket end stays where it is: a sample need not contain the extremes
             proposals.append((s, at.get(low, s.low) if low > 0 else s.low, at.get(high, s.high) if high < 1 else s.high))
 
-    counted = frame.agg(
-        *[
-            agg.alias(f"{tag}{i}")
-            for i, (s, low, high) in enumerate(proposals)
-            for tag, agg in (("b", F.count_if(col(s.name) < low)), ("u", F.count_if(col(s.name) <= high)))
-        ]
-    ).first()
-    for i, (s, low, high) in enumerate(proposals):
-        below, upto = counted[f"b{i}"], counted[f"u{i}"]
-        if (low, high) == (s.low, s.high):
-            s.stuck = True  # a few hot values: counting them is all there is to do
-        elif below <= s.first and s.last < upto:
-            s.low, s.high, s.below, s.inside = low, high, below, upto - below
-        else:
+    ends_of = list(dict.fromkeys((s.name, v) for s, low, high in proposals for v in (low, high)))
+    aggs = [f(col(c), v).alias(f"{tag}{i}") for i, (c, v) in enumerate(ends_of) for tag, f in (("lt", _under), ("le", _upto))]
+    row = frame.agg(*aggs).first()
+    span = {end: (row[f"lt{i}"], row[f"le{i}"]) for i, end in enumerate(ends_of)}
+    for s, low, high in proposals:
+        (below, upto_low), (under_high, upto) = span[s.name, low], span[s.name, high]
+        if not (below <= s.first and s.last < upto):
             s.margin *= 4
+            continue
+        s.stuck = (low, high) == (s.low, s.high)  # a few hot values: counting them is all there is to do
+        s.low, s.high, s.below, s.inside = low, high, below, upto - below
+        # a rank among the rows equal to a bracket end needs no further look
+        at_ends = [low if r < upto_low else high if r >= under_high else None for r in (s.first, s.last)]
+        if None not in at_ends:
+            s.answer = (at_ends[0], at_ends[1])
+
 
+def _under(x: Column, bound: float) -> Column:
+    return F.count_if(x < bound)
 
-def _resolve(frame: DataFrame, slots: list[_Slot]) -> dict[int, tuple[float, float]]:
+
+def _upto(x: Column, bound: float) -> Column:
+    return F.count_if(x <= bound)
+
+
+def _resolve(frame: DataFrame, slots: list[_Slot]) -> None:
+    """Group the rows inside the brackets by value, and read the wanted ranks off the running counts."""
     if not slots:
-        return {}
+        return
     names = list(dict.fromkeys(s.name for s in slots))
     near = {c: reduce(or_, [col(c).between(s.low, s.high) for s in slots if s.name == c]) for c in names}
     cells = F.array(*[F.when(near[c], F.struct(F.lit(i).alias("c"), col(c).alias("x"))) for i, c in enumerate(names)])
@@ -188,7 +197,8 @@ def _resolve(frame: DataFrame, slots: list[_Slot]) -> dict[int, tuple[float, flo
         r = rank - s.below
         return next(f["x"] for f in found if f["bracket"] == place[id(s)] and f["upto"] - f["n"] <= r < f["upto"])
 
-    return {id(s): (at(s, s.first), at(s, s.last)) for s in slots}
+    for s in slots:
+        s.answer = (at(s, s.first), at(s, s.last))
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], metric: Column, out: str) -> DataFrame:
