@@ -88,6 +88,15 @@ def sales_summary(
     return grouped if limit is None else grouped.limit(limit)
 
 
+def _totals(grouped: DataFrame, keys: Sequence[str]) -> Column:
+    """Sums of all measures over the groups.
+
+    All of them, whichever is wanted: the subquery then is the very aggregation of the
+    main plan and reuses its shuffle, instead of reading and joining the input again.
+    """
+    return scalar_of(grouped, *[F.sum(col(m)).alias(m) for m in grouped.columns if m not in keys])
+
+
 def get_sales_overview(df: DataFrame) -> DataFrame:
     """One row of totals over the prepared line items."""
     require_columns(df, ["order_id", "date", "revenue", "qty", "is_cancelled", "amount"])
@@ -118,7 +127,7 @@ def revenue_by_month(df: DataFrame) -> DataFrame:
 def revenue_by_category(df: DataFrame) -> DataFrame:
     """Revenue, share of all revenue, and rates per category."""
     grouped = sales_summary(df, ["category"], ["revenue", "qty", "orders", "cancel_rate", "avg_amount"])
-    everything = scalar_of(df, total(number(df, "revenue")).alias("revenue"))
+    everything = _totals(grouped, ["category"])
     return grouped.select(
         "category",
         "revenue",
@@ -167,15 +176,12 @@ def promotion_summary(df: DataFrame) -> DataFrame:
 
 
 def b2b_summary(df: DataFrame) -> DataFrame:
-    """Business against private customers, with a caveat when business orders are under 5 percent.
-
-    The key has at most three values, so the totals are taken over a three-row result.
-    """
+    """Business against private customers, with a caveat when business orders are under 5 percent."""
     grouped = sales_summary(df, ["b2b"], ["revenue", "qty", "orders", "avg_amount", "cancel_rate"])
-    counts = scalar_of(
-        grouped, F.sum("orders").alias("every"), F.sum(F.when(F.col("b2b"), F.col("orders")).otherwise(0)).alias("business")
-    )
-    small = (counts["every"] > 0) & (counts["business"] / counts["every"] < 0.05)
+    business = F.sum(F.when(F.col("b2b"), F.col("orders")).otherwise(0)).alias("business")
+    sums = [F.sum(col(m)).alias(m) for m in grouped.columns if m != "b2b"]
+    counts = scalar_of(grouped, business, *sums)
+    small = (counts["orders"] > 0) & (counts["business"] / counts["orders"] < 0.05)
     return grouped.withColumn("warning", F.when(small, F.lit(B2B_NOTE))).orderBy(
         F.desc_nulls_last("revenue"), F.asc_nulls_last("b2b")
     )
@@ -302,7 +308,7 @@ def top_revenue_days(df: DataFrame, n: int = 10) -> DataFrame:
 def category_percent_summary(df: DataFrame) -> DataFrame:
     """Category measures with revenue share and cancel rate in percent."""
     grouped = sales_summary(df, ["category"], ["revenue", "qty", "orders", "cancel_rate"])
-    everything = scalar_of(df, total(number(df, "revenue")).alias("revenue"))
+    everything = _totals(grouped, ["category"])
     return grouped.withColumns(
         {
             "revenue_share": F.bround(F.try_divide(F.col("revenue"), everything["revenue"]) * 100, 2),
@@ -314,7 +320,7 @@ def category_percent_summary(df: DataFrame) -> DataFrame:
 def status_summary(df: DataFrame, status: str = "status") -> DataFrame:
     """Measures per order status with each status's share of rows."""
     grouped = sales_summary(df, [status], ["rows", "orders", "revenue", "qty"])
-    everything = scalar_of(df, F.count(col("order_id")).alias("rows"))
+    everything = _totals(grouped, [status])
     share = percent(F.col("rows"), everything["rows"])
     return grouped.withColumn("row_percent", share).orderBy(F.desc("rows"), col(status).asc_nulls_last())
 
