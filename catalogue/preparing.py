@@ -166,3 +166,61 @@ def _(spark, sf):
         (70 + F.col("p_size") % 12).alias("model year"),
     )
     return preparation.fuel_economy(cars).drop("car name", "model year")
+
+
+# --- tables and dictionaries ----------------------------------------------------------
+
+
+@query(
+    "inferred_csv_types",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity <> 3 THEN CAST(l_quantity AS DOUBLE) END AS gappy, l_extendedprice AS price, l_discount > 0.05 AS flag,
+    CASE WHEN l_tax > 0.01 THEN l_returnflag END AS letter, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem""",
+)
+def _(spark, sf):
+    from colonnade.sources.tables import infer_types
+
+    lines = table(spark, sf, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    return infer_types(
+        lines.select(
+            *[text(c).alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey")],
+            F.when(F.col("l_quantity") != 3, F.col("l_quantity").cast("int").cast("string")).otherwise("NA").alias("gappy"),
+            text("l_extendedprice").alias("price"),
+            F.when(F.col("l_discount") > 0.05, "True").otherwise("False").alias("flag"),
+            F.when(F.col("l_tax") > 0.01, F.col("l_returnflag")).otherwise("").alias("letter"),
+            F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"),
+        )
+    )
+
+
+@query("trimmed_snapshot", 'SELECT o_orderkey AS "Order ID", o_orderstatus AS "Status" FROM orders')
+def _(spark, sf):
+    from colonnade.sources.tables import snapshot
+
+    orders = table(spark, sf, "orders")
+    return snapshot(orders.select(F.col("o_orderkey").alias(" Order ID "), F.col("o_orderstatus").alias("Status  ")), rows=0)
+
+
+@query(
+    "dictionary_rows",
+    """SELECT 'retail' AS domain, p_name AS column_name, 'row ' || p_partkey AS business_name, CAST(NULL AS VARCHAR) AS description, lower(p_type) AS semantic_role, 'number' AS data_type,
+    CASE WHEN p_size > 25 THEN 'USD' END AS unit, CAST(NULL AS VARCHAR) AS aggregation, p_size % 3 = 0 AS sensitive,
+    CASE p_partkey % 3 WHEN 0 THEN 'a;' || p_brand WHEN 1 THEN p_brand || ';b' ELSE '' END AS allowed FROM part WHERE p_partkey % 10 <> 0""",
+)
+def _(spark, sf):
+    from colonnade.sources.dictionary import normalize_dictionary
+
+    key = F.col("p_partkey")
+    raw = table(spark, sf, "part").select(
+        F.lit(" Retail ").alias("Domain"),
+        F.when(key % 10 != 0, F.concat(F.lit(" "), "p_name")).otherwise("  ").alias("Field Name"),
+        F.concat(F.lit("row "), key.cast("string")).alias("business"),
+        F.col("p_type").alias("Semantic-Role"),
+        F.lit("Number").alias("TYPE"),
+        F.when(F.col("p_size") > 25, "USD").otherwise("").alias("unit"),
+        F.when(F.col("p_size") % 3 == 0, "Yes").otherwise("n").alias("Is Sensitive"),
+        F.when(key % 3 == 0, F.concat(F.lit(" a , "), "p_brand", F.lit(",")))
+        .when(key % 3 == 1, F.concat("p_brand", F.lit(" | b||")))
+        .alias("allowed"),
+    )
+    return normalize_dictionary(raw).withColumn("allowed_values", F.array_join("allowed_values", ";")).withColumnRenamed("allowed_values", "allowed")

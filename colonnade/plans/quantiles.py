@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colonnade.functions.columns import col
-from colonnade.plans.scale import with_running_sum
+from colonnade.plans.scale import read_repeatedly, with_running_sum
 
 SKETCH_ACCURACY = 2000
 #: Rows a sketch looks at, on average, and the rank error allowed for it (over four deviations).
@@ -65,15 +65,8 @@ def exact_quantiles(
         return {name: [] for name in wanted}
     frame = df.select(*[F.nullif(col(n).cast("double"), F.lit(float("nan"))).alias(n) for n in names])
     slots = [_Slot(name, p) for name in names for p in wanted[name]]
-    counts = _whole_range(frame, names, slots, nearest)
-
-    for attempt in range(MAX_PASSES):
-        limit = DIRECT_ROWS if attempt == 0 else BRACKET_ROWS
-        wide = [s for s in slots if s.answer is None and not s.stuck and s.inside > limit]
-        if not wide:
-            break
-        _narrow(frame, wide)
-    _resolve(frame, [s for s in slots if s.answer is None and s.inside])
+    with read_repeatedly(frame) as held:
+        counts = _search(held, names, slots, nearest)
 
     result: dict[str, list[float | None]] = {name: [] for name in wanted}
     for slot in slots:
@@ -87,6 +80,19 @@ def exact_quantiles(
     return result
 
 
+def _search(frame: DataFrame, names: list[str], slots: list[_Slot], nearest: bool) -> dict[str, int]:
+    """Give every slot its answer; returns the number of values per column."""
+    counts = _whole_range(frame, names, slots, nearest)
+    for attempt in range(MAX_PASSES):
+        limit = DIRECT_ROWS if attempt == 0 else BRACKET_ROWS
+        wide = [s for s in slots if s.answer is None and not s.stuck and s.inside > limit]
+        if not wide:
+            break
+        _narrow(frame, wide)
+    _resolve(frame, [s for s in slots if s.answer is None and s.inside])
+    return counts
+
+
 def _whole_range(frame: DataFrame, names: list[str], slots: list[_Slot], nearest: bool) -> dict[str, int]:
     """Count the values and start every slot with the bracket from smallest to largest."""
     parts = {"n": F.count, "low": F.min, "high": F.max}
@@ -195,7 +201,10 @@ def _resolve(frame: DataFrame, slots: list[_Slot]) -> None:
 
     def at(s: _Slot, rank: int) -> float:
         r = rank - s.below
-        return next(f["x"] for f in found if f["bracket"] == place[id(s)] and f["upto"] - f["n"] <= r < f["upto"])
+        for f in found:
+            if f["bracket"] == place[id(s)] and f["upto"] - f["n"] <= r < f["upto"]:
+                return f["x"]
+        raise RuntimeError(f"Values of '{s.name}' changed between passes; write the table before asking for quantiles.")
 
     for s in slots:
         s.answer = (at(s, s.first), at(s, s.last))

@@ -9,7 +9,8 @@ order computed without a big task.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +26,15 @@ SMALL_BYTES = 64 * 1024 * 1024
 def source_bytes(df: DataFrame) -> int:
     """Summed size of the tables a plan reads, as Spark's statistics know it.
 
-    Tables of unknown size report Spark's default, which is larger than any limit.
+    Tables of unknown size report Spark's default, which is larger than any limit.  A
+    plan that multiplies rows by a generator is bounded by Spark's estimate or not at all.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if "Generate " in plan.toString():
+        return max(2**63 - 1, *sizes)
+    return sum(sizes)
 
 
 def is_small(df: DataFrame) -> bool:
@@ -36,6 +42,24 @@ def is_small(df: DataFrame) -> bool:
     return source_bytes(df) <= limit
 
 
+@contextmanager
+def read_repeatedly(df: DataFrame) -> Iterator[DataFrame]:
+    """Hold a small joined or aggregated table in memory while several jobs look at it.
+
+    Plain scans are read again, and so are large inputs, which the caller may have
+    written or cached where that is cheaper.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if not ("Join " in plan or "Aggregate " in plan) or not is_small(df):
+        yield df
+        return
+    held = df.persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; fall back to a temporary one in local mode only."""
     context = spark.sparkContext
