@@ -5,10 +5,12 @@ from __future__ import annotations
 from colonnade.llm.line_rules import op9_line_frequency_rules
 from colonnade.llm.sharding import op10_jump_shards
 from colonnade.llm.simhash import op6_simhash_components
+from colonnade.llm.suffix_dedup import op1_repeated_strings
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_repeated_strings,
         op6_simhash_components,
         op9_line_frequency_rules,
         op10_jump_shards,
