@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from colonnade.llm.decontamination import op2_benchmark_passages
+from colonnade.llm.language import op5_hyperdimensional_language
 from colonnade.llm.line_rules import op9_line_frequency_rules
 from colonnade.llm.sharding import op10_jump_shards
 from colonnade.llm.simhash import op6_simhash_components
@@ -11,6 +13,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_repeated_strings,
+        op2_benchmark_passages,
+        op5_hyperdimensional_language,
         op6_simhash_components,
         op9_line_frequency_rules,
         op10_jump_shards,
