@@ -119,7 +119,7 @@ def _learned(dimensions: int):
     return run
 
 
-def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = sum(np.array(v, np.float64) for b in batches for v in b.column("vector").to_pylist())
     yield pa.RecordBatch.from_pydict({"_lang": pa.array([key[0].as_py()], pa.string()), "vector": pa.array([total], pa.list_(pa.float64()))})
 
@@ -134,11 +134,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions
     schema = "_lang string, vector array<double>"
     sums = rows.mapInArrow(_learned(dimensions), schema).withColumn("_spread", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
 
-    def first(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _added(key, batches)
-
-    sums = sums.groupBy("_lang", "_spread").applyInArrow(first, schema)
-    sums = sums.groupBy("_lang").applyInArrow(first, schema)
+    sums = sums.groupBy("_lang", "_spread").applyInArrow(_added, schema).groupBy("_lang").applyInArrow(_added, schema)
     found = sums.limit(LANGUAGES + 1).collect()
     if len(found) > LANGUAGES:
         raise ValueError(f"More than {LANGUAGES} languages")
