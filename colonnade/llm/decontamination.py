@@ -172,6 +172,31 @@ def passages_in(data: np.ndarray, at: np.ndarray, first: int, last: int, index:
     ]
 
 
+def _indexes(benchmark: DataFrame, item: str, item_text: str, q: int, edits: float) -> list:
+    """Broadcast indexes of all passages, each of about ``INDEXED`` characters."""
+    spark = benchmark.sparkSession
+    passages = benchmark.select(F.col(item).alias("item"), filled(item_text).alias("passage"))
+    n = max(1, -(-(passages.agg(F.sum(F.length("passage"))).first()[0] or 0) // INDEXED))
+    part = F.pmod(F.xxhash64("item", "passage"), F.lit(n))
+    return [spark.sparkContext.broadcast(PassageIndex([tuple(r) for r in passages.where(part == k).collect()], q, edits)) for k in range(n)]
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", q: int = Q, edits: float = EDITS) -> DataFrame:
+    """The rows of ``docs``, as they are, that hold no passage (see ``contaminated``); one pass for each index."""
+    for index in _indexes(benchmark, item, item_text, q, edits):
+
+        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, at = text_bytes(batch.column(text).fill_null(""))
+                held = np.zeros(len(batch), bool)
+                for first, last in slices(at):
+                    held[[row for row, *_ in passages_in(data, at, first, last, index.value)]] = True
+                yield batch.filter(pa.array(~held))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", q: int = Q, edits: float = EDITS
 ) -> DataFrame:
@@ -184,16 +209,11 @@ def contaminated(
 
     Returns doc_id, contaminated, n_passages (distinct) and matches (item, start, stop in characters, edits).
     """
-    spark = docs.sparkSession
     kind = dict(benchmark.dtypes)[item]
     rows = docs.select("doc_id", filled(text).alias("_text")).withColumn("_copy", F.xxhash64("_text"))
-    passages = benchmark.select(F.col(item).alias("item"), filled(item_text).alias("passage"))
-    indexes = max(1, -(-(passages.agg(F.sum(F.length("passage"))).first()[0] or 0) // INDEXED))
     match = f"array<struct<item:{kind},start:int,stop:int,edits:int>>"
     hits = None
-    for n in range(indexes):
-        own = passages.where(F.pmod(F.xxhash64("item", "passage"), F.lit(indexes)) == n)
-        index = spark.sparkContext.broadcast(PassageIndex([tuple(r) for r in own.collect()], q, edits))
+    for index in _indexes(benchmark, item, item_text, q, edits):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from colonnade.llm.decontamination import op2_benchmark_passages
 from colonnade.llm.language import op5_hyperdimensional_language
+from colonnade.llm.licenses import op4_patience_licenses
 from colonnade.llm.line_rules import op9_line_frequency_rules
 from colonnade.llm.packing import op8_conflict_best_fit
 from colonnade.llm.quality import op3_random_indexing_quality
 from colonnade.llm.sharding import op10_jump_shards
 from colonnade.llm.simhash import op6_simhash_components
 from colonnade.llm.suffix_dedup import op1_repeated_strings
+from colonnade.llm.tool_calls import op7_linked_tool_calls
 
 QUERIES = {
     f.__name__: f
@@ -17,8 +19,10 @@ QUERIES = {
         op1_repeated_strings,
         op2_benchmark_passages,
         op3_random_indexing_quality,
+        op4_patience_licenses,
         op5_hyperdimensional_language,
         op6_simhash_components,
+        op7_linked_tool_calls,
         op8_conflict_best_fit,
         op9_line_frequency_rules,
         op10_jump_shards,

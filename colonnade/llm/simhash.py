@@ -60,13 +60,13 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         data, at = text_bytes(batch.column("_text"))
         whole = memoryview(data)
         prints = np.fromiter((fingerprint(bytes(whole[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)), np.uint64, len(at) - 1)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(prints.view(np.int64))})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "copy": batch.column("copy"), "fp": pa.array(prints.view(np.int64))})
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
-    rows = docs.select("doc_id", filled(text).alias("_text"))
-    return rows.mapInArrow(_fingerprinted, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    """doc_id, copy (a hash of the text) and fp, the fingerprint as a signed long, of every row."""
+    rows = docs.select("doc_id", F.xxhash64(filled(text)).alias("copy"), filled(text).alias("_text"))
+    return rows.mapInArrow(_fingerprinted, f"doc_id {dict(docs.dtypes)['doc_id']}, copy long, fp long")
 
 
 def _indexed(lists: int):
@@ -179,7 +179,7 @@ def near_links(prints: DataFrame, n: int) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id of every document.
+    """doc_id, copy, fp, root and component_id of every document; ``root`` is a fingerprint of the component.
 
     Documents with equal fingerprints are one node, whatever their number.  A component's id is its
     smallest doc_id; null ids count only where there is no other, and then it is null.  A null text is an
@@ -190,8 +190,21 @@ def simhash_components(docs: DataFrame, text: str = "text") -> DataFrame:
     roots = component_roots(near_links(nodes, nodes.count()))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "copy", "fp", "root", "component_id")
+
+
+def near_distinct(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One document of each component: the one with the smallest doc_id (nulls last); one of repeated rows.
+
+    The columns of ``docs`` stay as they are.
+    """
+    last = F.lit(2**63 - 1)
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), last).alias("_d"), F.col("copy").alias("_c"))
+    chosen = simhash_components(docs, text).groupBy("root").agg(F.min(place).alias("p")).select("p._d", "p._c")
+    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), last), "_c": F.xxhash64(filled(text))})
+    # both steps need the same rows together, so there is one shuffle
+    return rows.join(chosen, ["_d", "_c"], "left_semi").dropDuplicates(["_d", "_c"]).select(*docs.columns)
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

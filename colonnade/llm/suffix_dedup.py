@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -384,6 +385,24 @@ def removed_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     )
 
 
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """The rows of ``docs`` with the remaining text in place of the text; characters that lost a byte go as a whole.
+
+    Rows that lose bytes and keep no word go.
+    """
+
+    @F.pandas_udf("string")
+    def whole_characters(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    firsts, changed = changed_texts(docs, text, length)
+    key = F.sha2(F.encode(filled(text), "utf-8"), 256)
+    rows = docs.withColumns({"_key": key, "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))}).join(firsts, "_key").join(changed, "_key", "left")
+    later = (F.col("_id") > F.col("_first")) & (F.octet_length(filled(text)) >= length)
+    left = F.when(later, F.lit("")).when(F.col("kept").isNotNull(), whole_characters("kept")).otherwise(F.col(text))
+    return rows.withColumns({text: left, "_lost": later | F.col("kept").isNotNull()}).where(~F.col("_lost") | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+
+
 def removed_digests(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``removed_repeats`` without the texts: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     firsts, changed = changed_texts(docs, text, length)
