@@ -245,7 +245,7 @@ def _(spark, sf):
 @query(
     "hr_attrition_by_role",
     f"""{PEOPLE_SQL}, g AS (SELECT department, count("left") AS rows, avg(hit) AS positive_rate, CAST(sum(hit) AS BIGINT) AS positives
-      FROM people GROUP BY 1 ORDER BY positive_rate DESC, rows DESC, department LIMIT 500)
+      FROM people GROUP BY 1 ORDER BY positive_rate DESC, rows DESC, department)
     SELECT * FROM g WHERE rows >= 40 ORDER BY positive_rate DESC, rows DESC, department LIMIT 20""",
 )
 def _(spark, sf):

@@ -52,6 +52,10 @@ def is_text(df: DataFrame, name: str) -> bool:
     return isinstance(type_of(df, name), (T.StringType, T.CharType, T.VarcharType))
 
 
+#: What a cell must look like to be read as a number; a cast alone would take 12d and 0x1p3 too.
+NUMBER_SHAPE = r"^[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?))$"
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [name for name in df.columns if is_numeric(df, name)]
 
@@ -72,7 +76,12 @@ def number(df: DataFrame, name: str) -> Column:
         return col(name).cast("double")
     if isinstance(kind, T.NumericType):
         return value(df, name)
-    return F.nullif(strip(col(name).cast("string")).try_cast("double"), F.lit(float("nan")))
+    return decimal_number(strip(col(name).cast("string")))
+
+
+def decimal_number(text: Column) -> Column:
+    """A text that is a decimal number, with an exponent or without, or infinity; null for any other."""
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
 
 
 def timestamp(df: DataFrame, name: str) -> Column:
@@ -127,7 +136,7 @@ def aggregate(how: str, values: Column) -> Column:
     The sixth one, ``median``, needs a plan of its own: see :mod:`colonnade.plans.measures`.
     """
     if how == "sum":
-        return F.coalesce(F.sum(values), F.lit(0))
+        return total(values)  # a double: whole numbers may add up to more than a long holds
     if how == "mean":
         return F.avg(values)
     if how == "min":
@@ -192,7 +201,7 @@ def title_case(text: Column) -> Column:
 
 def money(text: Column) -> Column:
     """``$1.2B`` style text as a plain number; other letters make it null."""
-    digits = F.regexp_replace(text, "[$,BMbmkK ]", "").try_cast("double")
+    digits = decimal_number(F.regexp_replace(text, "[$,BMbmkK ]", ""))
     suffix = F.regexp_extract(F.upper(text), "([BMK])", 1)
     scale = F.when(suffix == "B", 1e9).when(suffix == "M", 1e6).when(suffix == "K", 1e3).otherwise(1.0)
     return digits * scale

@@ -24,6 +24,7 @@ def require_metric(df: DataFrame, metric: str, aggregation: str = "sum") -> None
         raise ValueError(f"Metric column '{metric}' must be numeric for aggregation '{aggregation}'.")
 
 
-def require_limit(value: int, upper: int, name: str = "limit") -> None:
-    if not 1 <= value <= upper:
+def require_limit(value: int | None, upper: int, name: str = "limit") -> None:
+    """A limit within its bounds; None stands for all rows."""
+    if value is not None and not 1 <= value <= upper:
         raise ValueError(f"{name} must be between 1 and {upper}.")

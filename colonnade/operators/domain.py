@@ -14,7 +14,7 @@ from colonnade.operators.semantic import notice
 from colonnade.plans.measures import scalar_of
 from colonnade.plans.quantiles import exact_quantiles
 from colonnade.plans.roles import SemanticProfile
-from colonnade.plans.scale import is_small, materialize
+from colonnade.plans.scale import materialize
 
 DISCOUNT_EDGES, DISCOUNT_LABELS = [0.0, 0.1, 0.2, 0.4], ["0", "0-10%", "10-20%", "20-40%", "40%+"]
 TENURE_EDGES, TENURE_LABELS = [1.0, 3.0, 5.0, 10.0], ["<=1", "1-3", "3-5", "5-10", "10+"]
@@ -106,12 +106,8 @@ def retail_top_opportunities(
     revenue, profit, group = profile.column("revenue"), profile.column("profit"), profile.column(by_role)
     if not revenue or not profit or not group:
         return notice(df.sparkSession)
-    grouped = _money_groups(df, revenue, profit, [group], value(df, group))
-    if is_small(df):
-        cutoff = scalar_of(grouped, F.percentile("revenue", 0.6).alias("p"))["p"]
-    else:
-        grouped = materialize(grouped)
-        cutoff = F.lit(exact_quantiles(grouped, {"revenue": [0.6]})["revenue"][0]).cast("double")
+    grouped = materialize(_money_groups(df, revenue, profit, [group], value(df, group)))
+    cutoff = F.lit(exact_quantiles(grouped, {"revenue": [0.6]})["revenue"][0]).cast("double")
     return (
         grouped.where(F.col("revenue") >= cutoff)
         .orderBy(F.asc_nulls_last("margin"), F.desc("revenue"), col(group).asc_nulls_last())
@@ -268,11 +264,11 @@ def marketing_purchase_channel_summary(df: DataFrame) -> DataFrame:
 def hr_attrition_by_role(
     df: DataFrame, profile: SemanticProfile, by_role: str = "department", min_rows: int = 1, limit: int = 20
 ) -> DataFrame:
-    """Attrition by group: among the 500 worst groups, those with enough rows."""
+    """Attrition by group, worst first, of the groups with enough rows."""
     target, group = _target(profile), profile.column(by_role)
     if not target or not group:
         return notice(df.sparkSession, f"HR attrition summary needs target and {by_role} roles.")
-    worst = target_group(df, target, [group], 500).where(F.col("rows") >= min_rows)
+    worst = target_group(df, target, [group], None).where(F.col("rows") >= min_rows)
     return worst.orderBy(F.desc("positive_rate"), F.desc("rows"), col(group).asc_nulls_last()).limit(limit)
 
 

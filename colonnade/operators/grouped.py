@@ -27,7 +27,8 @@ def groupby_aggregate(df: DataFrame, group_by: str, metric: str, aggregation: st
     out = f"{aggregation}_{metric}"
     values = number(df, metric) if aggregation != "count" else value(df, metric)
     grouped = grouped_measure(df, {group_by: value(df, group_by)}, values, aggregation, out)
-    return grouped.orderBy(col(out).desc_nulls_last(), col(group_by).asc_nulls_last()).limit(limit)
+    ordered = grouped.orderBy(col(out).desc_nulls_last(), col(group_by).asc_nulls_last())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def _measure(df: DataFrame, name: str) -> Column:
@@ -247,11 +248,12 @@ def lines_per_order(df: DataFrame, order: str = "order_id") -> DataFrame:
     )
 
 
-def lines_per_order_histogram(df: DataFrame, order: str = "order_id", limit: int = 12) -> DataFrame:
-    """Orders by their number of rows, smallest sizes first."""
+def lines_per_order_histogram(df: DataFrame, order: str = "order_id", limit: int | None = None) -> DataFrame:
+    """Orders by their number of rows, smallest sizes first; all sizes unless ``limit`` is given."""
     require_columns(df, [order])
     sizes = df.where(value(df, order).isNotNull()).groupBy(col(order)).agg(F.count(F.lit(1)).alias("lines"))
-    return sizes.groupBy("lines").agg(F.count(F.lit(1)).alias("orders")).orderBy("lines").limit(limit)
+    counted = sizes.groupBy("lines").agg(F.count(F.lit(1)).alias("orders")).orderBy("lines")
+    return counted if limit is None else counted.limit(limit)
 
 
 def repeated_key_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -18,17 +18,18 @@ from colonnade.functions.columns import (
     is_numeric,
     is_positive,
     is_temporal,
+    is_text,
     number,
     numeric_columns,
     ratio,
     value,
 )
 from colonnade.operators.metrics import compile_metric, define_metric
-from colonnade.operators.quality import column_samples, distinct_counts, duplicate_count
+from colonnade.operators.quality import distinct_counts, duplicate_count
 from colonnade.operators.series import bucketed
 from colonnade.operators.stats import correlation_pairs, outlier_bounds
-from colonnade.plans.roles import SemanticProfile, _reads_as_dates
-from colonnade.plans.scale import is_small, materialize, with_running_sum
+from colonnade.plans.roles import SemanticProfile, date_counts, looks_dated
+from colonnade.plans.scale import materialize, with_running_sum
 
 SCHEMA = (
     "priority int, type string, severity string, tone string, confidence double, metric string, dimension string, "
@@ -93,12 +94,12 @@ def _metric_by_dimension(
 
 
 def data_quality_findings(df: DataFrame) -> DataFrame:
-    """Worst column with 20 percent or more missing, duplicate rows, and constant columns."""
+    """Worst column with 20 percent or more missing, duplicate rows, and constant columns (all of them are named)."""
     ordered = [c for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(value(df, c)).alias(f"have{i}") for i, c in enumerate(df.columns)],
-        *[(F.min(value(df, c)) == F.max(value(df, c))).alias(f"same_{c}") for c in ordered],
+        *[(F.min(value(df, c)) == F.max(value(df, c))).alias(f"same{i}") for i, c in enumerate(ordered)],
     )
     gaps = F.array(
         *[
@@ -106,7 +107,7 @@ def data_quality_findings(df: DataFrame) -> DataFrame:
             for i, c in enumerate(df.columns)
         ]
     )
-    constant = F.array_compact(F.array(*[F.when(F.col(f"`same_{c}`"), F.lit(c)) for c in ordered]))
+    constant = F.array_compact(F.array(*[F.when(F.col(f"same{i}"), F.lit(c)) for i, c in enumerate(ordered)]))
     facts = row.select(F.array_min(gaps).alias("worst"), constant.alias("constant"))
     worst = F.col("worst")
     missing = _finding(
@@ -120,7 +121,7 @@ def data_quality_findings(df: DataFrame) -> DataFrame:
     )
     constants = _finding(
         facts.where(F.size("constant") > 0), 12, "data_quality", 0.8, label="constant",
-        dimension=F.array_join(F.slice("constant", 1, 5), ", "), value=F.size("constant"),
+        dimension=F.array_join("constant", ", "), value=F.size("constant"),
     )
     return missing.unionByName(duplicates).unionByName(constants)
 
@@ -166,18 +167,19 @@ def trend_finding(df: DataFrame, profile: SemanticProfile, metrics: Metrics = ()
 
 
 def _first_date_column(df: DataFrame) -> str | None:
-    named = [c for c in df.columns if "date" in c.lower() or "time" in c.lower()]
-    for name in df.columns:
-        if is_temporal(df, name):
-            return name
-        if name in named and _reads_as_dates([str(v) for v in column_samples(df, [name], 20)[name]]):
-            return name
-    return None
+    """First column of dates, or of texts named like dates and read as such in most cells."""
+    named = [c for c in df.columns if is_text(df, c) and ("date" in c.lower() or "time" in c.lower())]
+    read = {}
+    if named:
+        aggs = [F.struct(F.count(col(c)).alias("n"), *[x.alias(t) for t, x in zip("pd", date_counts(df, c))]).alias(f"c{i}") for i, c in enumerate(named)]
+        row = df.agg(*aggs).select(*[looks_dated(F.col(f"c{i}.n"), F.col(f"c{i}.p"), F.col(f"c{i}.d")) for i in range(len(named))]).first()
+        read = dict(zip(named, row))
+    return next((c for c in df.columns if is_temporal(df, c) or read.get(c)), None)
 
 
 def outlier_finding(df: DataFrame) -> DataFrame:
-    """First of five numeric columns with values beyond the quartile fences."""
-    names = numeric_columns(df)[:5]
+    """First numeric column with values beyond the quartile fences."""
+    names = numeric_columns(df)
     if not names:
         return _none(df)
     fences = outlier_bounds(df, names)
@@ -245,9 +247,7 @@ def concentration_finding(df: DataFrame, profile: SemanticProfile, metrics: Metr
     if found is None:
         return _none(df)
     metric, dimension, cells = found
-    sums = cells.groupBy("label").agg(F.sum("x").alias("total"))
-    if not is_small(df):
-        sums = materialize(sums)
+    sums = materialize(cells.groupBy("label").agg(F.sum("x").alias("total")))
     running = with_running_sum(sums, [F.desc("total"), F.asc_nulls_last("label")], F.col("total"), "upto")
     grand = sums.agg(F.sum("total").alias("x")).scalar()
     counted = running.agg(
@@ -281,9 +281,9 @@ def target_finding(df: DataFrame, profile: SemanticProfile) -> DataFrame:
 
 
 def generate_insights(
-    df: DataFrame, profile: SemanticProfile, metrics: Metrics = (), max_insights: int = 10
+    df: DataFrame, profile: SemanticProfile, metrics: Metrics = (), max_insights: int | None = 10
 ) -> DataFrame:
-    """All findings in priority order, at most ``max_insights``."""
+    """All findings in priority order, at most ``max_insights`` (None: all)."""
     parts = [
         data_quality_findings(df),
         top_contributor_finding(df, profile, metrics),
@@ -297,4 +297,5 @@ def generate_insights(
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    return result.orderBy("priority").limit(max_insights)
+    ordered = result.orderBy("priority")
+    return ordered if max_insights is None else ordered.limit(max_insights)

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from colonnade.functions.columns import col, is_numeric, is_temporal, is_text, number, numeric_columns, percent, value
+from colonnade.functions.columns import col, is_numeric, is_temporal, is_text, number, numeric_columns, percent, read_date, value
 from colonnade.functions.validate import require_columns
 from colonnade.plans.quantiles import exact_quantiles
-from colonnade.plans.scale import is_small
 
 # What a column name must contain to be read as a date, and the layouts tried.
 DATE_NAME_HINTS = ["date", "time", "day", "month", "year", "created", "updated"]
@@ -36,17 +35,11 @@ def _hashable(df: DataFrame) -> DataFrame:
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: all rows, and rows beyond the first of an identical full row (null equals null).
 
-    Small inputs group by the full row.  Large ones first group 64-bit row hashes,
-    which shuffles sixteen bytes a row, and compare full rows only where a hash
-    repeats; the answer is exact either way.
+    64-bit row hashes are grouped first, which shuffles sixteen bytes a row, and full
+    rows are compared only where a hash repeats, so the answer is exact.
     """
     rows = _hashable(df)
     names = [col(c) for c in rows.columns]
-    if is_small(df):
-        return rows.groupBy(*names).agg(F.count(F.lit(1)).alias("copies")).agg(
-            F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
-        )
     hashed = rows.withColumn("__hash", F.xxhash64(*names))
     suspects = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("__hash")
     groups = hashed.join(suspects, "__hash", "left_semi").groupBy("__hash", *names).agg(F.count(F.lit(1)).alias("copies"))
@@ -125,8 +118,8 @@ def get_data_quality_summary(df: DataFrame) -> DataFrame:
     return summary.select("duplicate_rows", "duplicate_order_id_rows", F.array_compact(F.array(*notes)).alias("warnings"))
 
 
-def generic_numeric_distributions(df: DataFrame, limit: int = 20) -> DataFrame:
-    """Mean, median, range and missing count of the first numeric columns."""
+def generic_numeric_distributions(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Mean, median, range and missing count of the numeric columns; of the first ``limit`` if that is given."""
     names = numeric_columns(df)[:limit]
     schema = "column string, mean double, median double, min double, max double, missing long"
     if not names:
@@ -204,60 +197,38 @@ def top_values(df: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
     return counts.withColumn("position", F.row_number().over(best)).where(F.col("position") <= limit)
 
 
-def generic_top_categorical_values(df: DataFrame, limit: int = 5, values_per_column: int = 10) -> DataFrame:
+def generic_top_categorical_values(df: DataFrame, limit: int | None = None, values_per_column: int = 10) -> DataFrame:
     """Frequent values of text columns that look like categories.
 
-    A column qualifies with more than one distinct value and at most
-    ``max(50, rows / 2)``; the first ``limit`` qualifying columns are reported.
+    A column qualifies with more than one distinct value and at most ``max(50, rows / 2)``; all qualifying
+    columns are reported, or the first ``limit``.  Columns qualify by the number of distinct hashes, so a
+    free text is never shuffled; values are counted for the chosen columns only.
     """
     names = [c for c in df.columns if is_text(df, c)]
-    if not names:
+    sizes = distinct_counts(df, names) if names else {}
+    chosen = [c for c, (rows, _, unique) in sizes.items() if 1 < unique <= max(50, rows * 0.5)][:limit]
+    if not chosen:
         return df.sparkSession.createDataFrame([], "column string, unique long, value string, count long, position int")
-    counts = value_counts(df, names)
-    order = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (c, i)])
-    # one row per text column, so this table is bounded by the schema
-    sizes = counts.groupBy("column").agg(F.count("value").alias("unique"), F.sum("count").alias("rows"))
-    fits = sizes.where((F.col("unique") > 1) & (F.col("unique") <= F.greatest(F.lit(50.0), F.col("rows") * 0.5)))
-    chosen = fits.orderBy(F.element_at(order, F.col("column"))).limit(limit).select("column", "unique")
-    best = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("value"))
-    ranked = counts.withColumn("position", F.row_number().over(best)).where(F.col("position") <= values_per_column)
-    return ranked.join(chosen, "column").select("column", "unique", "value", "count", "position").orderBy(
-        F.element_at(order, F.col("column")), "position"
-    )
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(chosen) for x in (c, i)])
+    unique = F.create_map(*[F.lit(x) for c in chosen for x in (c, sizes[c][2])])
+    ranked = top_values(df, chosen, values_per_column)
+    return ranked.select(
+        "column", F.element_at(unique, F.col("column")).cast("long").alias("unique"), "value", "count", "position"
+    ).orderBy(F.element_at(place, F.col("column")), "position")
 
 
 def distinct_counts(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[int, int, int]]:
-    """(rows, filled cells, distinct values) per column, on the driver.
+    """(rows, filled cells, distinct values) per column, on the driver, from one pass.
 
-    Used for rules with thresholds at 50 values, 30 percent and 50 percent.  A large
-    input is sketched first; only a column whose estimate is near a threshold is
-    counted exactly.
+    Values are told apart by 64-bit hashes, sixteen bytes a cell in the shuffle whatever they hold; two of a
+    billion values collide with a chance of three percent.
     """
-    filled = [F.count(value(df, c)).alias(f"f{i}") for i, c in enumerate(names)]
-    exact = is_small(df)
-    count = F.countDistinct if exact else lambda c: F.approx_count_distinct(c, 0.01)
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *filled, *[count(value(df, c)).alias(f"u{i}") for i, c in enumerate(names)]).first()
-    result = {c: (row["rows"], row[f"f{i}"], row[f"u{i}"]) for i, c in enumerate(names)}
-    if exact:
-        return result
-    for c, (rows, have, unique) in result.items():
-        # one and two distinct values are thresholds too (constant columns)
-        near = unique < 60 or any(abs(unique - edge) <= 0.1 * edge for edge in (0.3 * have, 0.5 * rows))
-        if near:
-            again = df.agg(F.countDistinct(value(df, c)).alias("u")).first()["u"]
-            result[c] = (rows, have, again)
-    return result
-
-
-def column_samples(df: DataFrame, names: Sequence[str], size: int = 100) -> dict[str, list]:
-    """Up to ``size`` filled cells per column.  Any rows serve; a distributed table has no first ones."""
-    rows = df.select(*[value(df, c).alias(c) for c in names]).limit(2 * size).collect()
-    samples = {c: [r[i] for r in rows if r[i] is not None][:size] for i, c in enumerate(names)}
-    for c, cells in samples.items():
-        if len(cells) < size and len(rows) == 2 * size:
-            more = df.select(value(df, c).alias("v")).where(F.col("v").isNotNull()).limit(size).collect()
-            samples[c] = [r["v"] for r in more]
-    return samples
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.when(value(df, c).isNotNull(), F.xxhash64(value(df, c))).alias("h")) for i, c in enumerate(names)])
+    counted = df.select(F.explode(cells).alias("cell")).groupBy("cell.c", "cell.h").agg(F.count(F.lit(1)).alias("n"))
+    filled = F.when(F.col("h").isNotNull(), F.col("n"))
+    rows = counted.groupBy("c").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(filled), F.lit(0)).alias("filled"), F.count("h").alias("unique")).collect()
+    found = {r["c"]: (r["rows"], r["filled"], r["unique"]) for r in rows}
+    return {c: found.get(i, (0, 0, 0)) for i, c in enumerate(names)}
 
 
 def infer_column_types(df: DataFrame) -> dict[str, str]:
@@ -282,22 +253,19 @@ def infer_column_types(df: DataFrame) -> dict[str, str]:
 
 
 def _date_text_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
-    """Columns whose sampled texts contain separators and mostly fit one date layout."""
-    found = []
-    for name in names:
-        cells = df.select(F.trim(col(name)).alias("v")).where(F.col("v").isNotNull()).limit(100)
-        share = lambda c: F.avg(c.cast("int"))
-        row = cells.agg(
-            share(F.col("v").rlike("[-/]")).alias("separated"),
-            *[
-                share(F.try_to_timestamp(F.col("v"), F.lit(layout)).isNotNull()).alias(f"l{i}")
-                for i, layout in enumerate(DATE_TEXT_LAYOUTS)
-            ],
-        ).first()
-        fits = [row[f"l{i}"] or 0 for i in range(len(DATE_TEXT_LAYOUTS))]
-        if (row["separated"] or 0) > 0.8 and max(fits) > 0.8:
-            found.append(name)
-    return found
+    """Columns whose texts mostly contain separators and mostly fit one date layout, judged on all rows at once."""
+    aggs = []
+    for i, name in enumerate(names):
+        text = F.trim(col(name))
+        share = lambda c, text=text: F.avg(F.when(text.isNotNull(), c.cast("int")))
+        aggs.append(share(text.rlike("[-/]")).alias(f"s{i}"))
+        aggs += [share(read_date(text, layout).isNotNull()).alias(f"l{i}_{k}") for k, layout in enumerate(DATE_TEXT_LAYOUTS)]
+    row = df.agg(*aggs).first()
+    return [
+        name
+        for i, name in enumerate(names)
+        if (row[f"s{i}"] or 0) > 0.8 and max(row[f"l{i}_{k}"] or 0 for k in range(len(DATE_TEXT_LAYOUTS))) > 0.8
+    ]
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -326,30 +294,33 @@ def categorical_summary(df: DataFrame, columns: Sequence[str], limit: int = 5) -
     """Distinct values and the most frequent ones; null is shown as ``<missing>``."""
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, unique_values long, value string, count long, position int")
-    counts = value_counts(df, columns)
-    sizes = counts.groupBy("column").agg(F.count("value").alias("unique_values"))
-    best = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("value"))
-    ranked = counts.withColumn("position", F.row_number().over(best)).where(F.col("position") <= limit)
-    return ranked.join(sizes, "column").select(
-        "column", "unique_values", F.coalesce("value", F.lit("<missing>")).alias("value"), "count", "position"
+    sizes = F.create_map(*[F.lit(x) for c, (_, _, unique) in distinct_counts(df, columns).items() for x in (c, unique)])
+    return top_values(df, columns, limit).select(
+        "column",
+        F.element_at(sizes, F.col("column")).cast("long").alias("unique_values"),
+        F.coalesce("value", F.lit("<missing>")).alias("value"),
+        "count",
+        "position",
     )
 
 
+# Fixed values: (kinds of columns and how many of each are needed, wording with the first column of a kind).
+RECOMMENDATIONS = [
+    ({"datetime": 1, "numeric": 1}, "Analyze trend over time using {datetime} and {numeric}."),
+    ({"categorical": 1, "numeric": 1}, "Compare {numeric} by {categorical} using a bar chart."),
+    ({"numeric": 2}, "Check correlation between numeric columns."),
+    ({"gap": 1}, "Review high-missing columns: {gaps}."),
+]
+FALLBACK = "Start with general dataset summary and missing-value analysis."
+GAP_PERCENT = 20
+
+
 def recommend_analysis(missing: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Suggested next steps from the column types and the missing shares (one row per suggestion)."""
-    first = {k: [c for c, kind in kinds.items() if kind == k] for k in ("numeric", "categorical", "datetime")}
-    tips = []
-    if first["datetime"] and first["numeric"]:
-        tips.append(f"Analyze trend over time using {first['datetime'][0]} and {first['numeric'][0]}.")
-    if first["categorical"] and first["numeric"]:
-        tips.append(f"Compare {first['numeric'][0]} by {first['categorical'][0]} using a bar chart.")
-    if len(first["numeric"]) > 1:
-        tips.append("Check correlation between numeric columns.")
-    # the missing table has one row per column
-    gaps = {r["column"] for r in missing.where(F.col("missing_percent") > 20).collect()}
-    if gaps:
-        tips.append(f"Review high-missing columns: {', '.join(c for c in kinds if c in gaps)}.")
-    if not tips:
-        tips.append("Start with general dataset summary and missing-value analysis.")
-    rows = [(i + 1, t) for i, t in enumerate(tips)]
-    return missing.sparkSession.createDataFrame(rows, "position int, recommendation string")
+    wide = {r["column"] for r in missing.where(F.col("missing_percent") > GAP_PERCENT).collect()}  # one row per column
+    members: dict[str, list[str]] = {"gap": [c for c in kinds if c in wide]}
+    for column, kind in kinds.items():
+        members.setdefault(kind, []).append(column)
+    words = {kind: names[0] for kind, names in members.items() if names} | {"gaps": ", ".join(members["gap"])}
+    tips = [text.format(**words) for needs, text in RECOMMENDATIONS if all(len(members.get(k, ())) >= n for k, n in needs.items())]
+    return missing.sparkSession.createDataFrame(list(enumerate(tips or [FALLBACK], start=1)), "position int, recommendation string")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from colonnade.functions.columns import col, number, percent, rounded, total, value
 from colonnade.functions.validate import require_columns, require_metric
 from colonnade.plans.measures import scalar_of
-from colonnade.plans.scale import is_small, materialize, with_running_sum
+from colonnade.plans.scale import materialize, with_running_sum
 
 PARETO_PERCENT = 80
 
@@ -50,10 +50,8 @@ def top_bottom_contributors(df: DataFrame, group_column: str, metric_column: str
 
 def cumulative_totals(df: DataFrame, category_column: str, metric_column: str) -> DataFrame:
     """Group totals in falling order with running sum and running percent of the grand total."""
-    grouped = group_totals(df, category_column, metric_column)
-    if not is_small(grouped):
-        # fixes the floating point sums, which the order and the running sum both depend on
-        grouped = materialize(grouped)
+    # fixes the floating point sums, which the order and the running sum both depend on
+    grouped = materialize(group_totals(df, category_column, metric_column))
     order = [F.col("total_value").desc(), col(category_column).asc_nulls_last()]
     running = with_running_sum(grouped, order, F.col("total_value"), "cumulative_value")
     grand = scalar_of(grouped, F.sum("total_value").alias("sum"), F.count(F.lit(1)).alias("groups"))
@@ -126,8 +124,7 @@ def rank_bands(df: DataFrame, metric: str, extras: Sequence[str], bands: int) ->
     that is smaller.  Missing metrics form the null band.
     """
     cells = df.groupBy(col(metric), *[col(e) for e in extras]).agg(F.count(F.lit(1)).alias("n"))
-    if not is_small(df):
-        cells = materialize(cells)
+    cells = materialize(cells)
     ranked = cells.where(col(metric).isNotNull())
     order = [col(metric).asc(), *[col(e).asc_nulls_first() for e in extras]]
     running = with_running_sum(ranked, order, F.col("n"), "__upto")

@@ -132,8 +132,8 @@ def detect_outliers(df: DataFrame, metric_column: str, method: str = "iqr") -> D
     )
 
 
-def outlier_rows(df: DataFrame, metric_column: str, method: str = "iqr", limit: int | None = 10) -> DataFrame:
-    """Rows outside the fences; ten of them by default, which ones is not defined."""
+def outlier_rows(df: DataFrame, metric_column: str, method: str = "iqr", limit: int | None = None) -> DataFrame:
+    """Rows outside the fences; any ``limit`` of them if that is given."""
     require_columns(df, [metric_column])
     require_metric(df, metric_column)
     low, high = outlier_bounds(df, [metric_column], method)[metric_column]

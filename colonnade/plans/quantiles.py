@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colonnade.functions.columns import col
-from colonnade.plans.scale import read_repeatedly, with_running_sum
+from colonnade.plans.scale import materialize, read_repeatedly, with_running_sum
 
 SKETCH_ACCURACY = 2000
 #: Rows a sketch looks at, on average, and the rank error allowed for it (over four deviations).
@@ -187,11 +187,11 @@ def _resolve(frame: DataFrame, slots: list[_Slot]) -> None:
     brackets = list(dict.fromkeys((s.name, s.low, s.high, s.below) for s in slots))
     inside = [F.when((F.col("c") == names.index(c)) & F.col("x").between(low, high), F.lit(i)) for i, (c, low, high, _) in enumerate(brackets)]
     counted = values.select(F.explode(F.array(*inside)).alias("bracket"), "x", "n").where(F.col("bracket").isNotNull())
-    if all(s.inside <= BRACKET_ROWS for s in slots):
+    if all(s.inside <= BRACKET_ROWS for s in slots):  # rows of a bracket are bounded, so a window is a bounded task
         ordered = Window.partitionBy("bracket").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         running = counted.withColumn("upto", F.sum("n").over(ordered))
     else:
-        running = with_running_sum(counted, [F.col("x")], F.col("n"), "upto", by=["bracket"])
+        running = with_running_sum(materialize(counted), [F.col("x")], F.col("n"), "upto", by=["bracket"])
 
     place = {id(s): brackets.index((s.name, s.low, s.high, s.below)) for s in slots}
     wanted = sorted({(place[id(s)], rank - s.below) for s in slots for rank in (s.first, s.last)})
@@ -217,15 +217,12 @@ def grouped_median(df: DataFrame, keys: Sequence[str], metric: Column, out: str)
     counted values of one key may lie in many range slices.
     """
     names = [col(k) for k in keys]
-    counted = (
-        df.select(*names, metric.cast("double").alias("__x")).groupBy(*names, "__x").agg(F.count(F.lit(1)).alias("__n"))
-    )
-    filled = counted.where(F.col("__x").isNotNull())
-    running = with_running_sum(filled, [F.col("__x")], F.col("__n"), "__upto", keys, "__size")
+    missing = F.col("__x").isNull()
+    counted = df.select(*names, metric.cast("double").alias("__x")).groupBy(*names, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    # missing values stay in with no weight, so that a key without values keeps a row
+    counted = materialize(counted.withColumn("__n", F.when(missing, 0).otherwise(F.col("__n"))))
+    running = with_running_sum(counted, [F.col("__x").asc_nulls_first()], F.col("__n"), "__upto", keys, "__size")
     before, upto = F.col("__upto") - F.col("__n"), F.col("__upto")
     first, last = F.floor((F.col("__size") - 1) / 2), F.ceil((F.col("__size") - 1) / 2)
-    middle = running.where(((before <= first) & (first < upto)) | ((before <= last) & (last < upto)))
-    medians = middle.groupBy(*names).agg(((F.min("__x") + F.max("__x")) / 2).alias(out))
-    # keys whose values are all missing have a null median
-    empty = counted.groupBy(*names).agg(F.max("__x").alias(out)).where(col(out).isNull())
-    return medians.unionByName(empty)
+    middle = running.where(((before <= first) & (first < upto)) | ((before <= last) & (last < upto)) | (F.col("__size") == 0))
+    return middle.groupBy(*names).agg(((F.min("__x") + F.max("__x")) / 2).alias(out))

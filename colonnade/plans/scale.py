@@ -1,9 +1,7 @@
-"""Decisions and building blocks that keep ordered work distributed.
+"""Building blocks that keep ordered work distributed.
 
-Spark runs a window without partition keys, and a window over one hot key, in
-one task.  The helpers here answer the two questions the operators have about
-that: is the input provably small, and if not, how is a running sum over a total
-order computed without a big task.
+Spark runs a window without partition keys, and a window over one hot key, in one task.  Here a running sum
+over a total order is computed in slices, whose number follows the counted rows.
 """
 
 from __future__ import annotations
@@ -18,41 +16,16 @@ from pyspark.sql.window import Window
 
 from colonnade.functions.columns import col
 
-#: Session setting: inputs whose source tables are at most this many bytes are "small".
-SMALL_BYTES_KEY = "colonnade.small.bytes"
-SMALL_BYTES = 64 * 1024 * 1024
-
-
-def source_bytes(df: DataFrame) -> int:
-    """Summed size of the tables a plan reads, as Spark's statistics know it.
-
-    Tables of unknown size report Spark's default, which is larger than any limit.  A
-    plan that multiplies rows by a generator is bounded by Spark's estimate or not at all.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    leaves = plan.collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    if "Generate " in plan.toString():
-        return max(2**63 - 1, *sizes)
-    return sum(sizes)
-
-
-def is_small(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(SMALL_BYTES_KEY, str(SMALL_BYTES)))
-    return source_bytes(df) <= limit
+#: Rows of one slice of a running sum.
+SLICE_ROWS = 1_000_000
 
 
 @contextmanager
 def read_repeatedly(df: DataFrame) -> Iterator[DataFrame]:
-    """Hold a small joined or aggregated table in memory while several jobs look at it.
+    """Hold the rows on the executors, in memory and else on disk, while several jobs look at them.
 
-    Plain scans are read again, and so are large inputs, which the caller may have
-    written or cached where that is cheaper.
+    Give it a narrow projection: what is held is what the plan returns.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if not ("Join " in plan or "Aggregate " in plan) or not is_small(df):
-        yield df
-        return
     held = df.persist()
     try:
         yield held
@@ -75,7 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder, so a lost executor cannot change them."""
+    """Write the rows to the reliable checkpoint folder, so a lost executor cannot change them.
+
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have the files removed when the table is no longer used.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -92,19 +68,14 @@ def with_running_sum(
 
     ``total_out`` names a column for the key's whole sum, if that is wanted too.
 
-    Callers pass rows that are unique in (by, order), so no tie can be larger than
-    one row.  A small input is one plain window.  Otherwise rows are range-partitioned
-    on (by, order) and materialized together with their slice number; a running sum
-    inside each slice plus the total of the slices before it gives the result.  The
-    table of slice totals has at most one row per slice and key.
+    Callers pass a materialized table whose rows are unique in (by, order), so no tie can be larger than
+    one row.  Rows are range-partitioned on (by, order) into slices of about ``SLICE_ROWS`` and kept with
+    their slice number; a running sum inside each slice plus the total of the slices before it gives the
+    result.  Few rows are one slice.  The table of slice totals has at most one row per slice and key.
     """
     keys = [col(k) for k in by]
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if is_small(df):
-        summed = df.withColumn(out, F.sum(weight).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)))
-        return summed.withColumn(total_out, F.sum(weight).over(Window.partitionBy(*keys))) if total_out else summed
-
-    slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    slices = max(1, -(-df.count() // SLICE_ROWS))
     spread = df.withColumn("__weight", weight).repartitionByRange(slices, *keys, *order)
     spread = materialize(spread.withColumn("__slice", F.spark_partition_id()))
     totals = spread.groupBy(*keys, "__slice").agg(F.sum("__weight").alias("__slice_total"))

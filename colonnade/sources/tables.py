@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.functions.columns import col, is_text
+from colonnade.functions.columns import col, decimal_number, is_text
 
 # Cell texts that mean "missing".
 MISSING_TEXT = [
@@ -17,7 +17,6 @@ MISSING_TEXT = [
 ]
 #: Bytes that windows-1252 leaves undefined; a file with one of them is read as latin-1.
 UNDEFINED_BYTES = [0x81, 0x8D, 0x8F, 0x90, 0x9D]
-SNAPSHOT_ROWS = 10_000
 # What a column may hold to be boolean.
 BOOLEAN_TEXT = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
@@ -102,28 +101,38 @@ def infer_types(texts: DataFrame) -> DataFrame:
     for i, cell in enumerate(cells.values()):
         aggs += [
             F.count(cell).alias(f"have{i}"),
-            F.count(cell.try_cast("bigint")).alias(f"whole{i}"),
-            F.count(F.when(~F.trim(cell).rlike("[dDfF]$"), cell.try_cast("double"))).alias(f"real{i}"),
+            F.count(_whole(cell)).alias(f"whole{i}"),
+            F.count(decimal_number(F.trim(cell))).alias(f"real{i}"),
             F.count_if(cell.isin(BOOLEAN_TEXT)).alias(f"flag{i}"),
-            # a leading sign or digit and no decimal point, so that 1.0 is not taken for a whole number
-            F.count_if(F.trim(cell).rlike("^[+-]?[0-9]+$")).alias(f"digits{i}"),
         ]
     row = texts.agg(*aggs).first()
     typed = []
     for i, (name, cell) in enumerate(cells.items()):
         have = row[f"have{i}"]
-        if have and row[f"whole{i}"] == row[f"digits{i}"] == have == row["rows"]:
-            typed.append(cell.try_cast("bigint").alias(name))
+        if have and row[f"whole{i}"] == have == row["rows"]:
+            typed.append(_whole(cell).alias(name))
         elif row[f"real{i}"] == have:
             # also an entirely empty column
-            typed.append(cell.try_cast("double").alias(name))
+            typed.append(decimal_number(F.trim(cell)).alias(name))
         elif row[f"flag{i}"] == have:
-            typed.append(cell.try_cast("boolean").alias(name))
+            typed.append(F.when(cell.isin(BOOLEAN_TEXT), F.lower(cell) == "true").alias(name))
         else:
             typed.append(cell.alias(name))
     return texts.select(*typed)
 
 
+def _whole(cell: Column) -> Column:
+    """A text of digits as a long, null for any other or one that is too large.
+
+    A cast answers a bad text by way of an exception, so it only sees texts that it can read: of up to 18
+    digits as a long, of up to 38 as a decimal.
+    """
+    text = F.trim(cell)
+    long = F.when(text.rlike("^[+-]?[0-9]{1,18}$"), text.try_cast("bigint"))
+    wide = F.when(text.rlike("^[+-]?[0-9]{19,38}$"), text.try_cast("decimal(38,0)"))
+    return F.coalesce(long, F.when(wide.between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")), wide).try_cast("bigint"))
+
+
 def write(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write by extension: ``.csv`` with a header, anything else Parquet."""
     writer = df.write.mode(mode)
@@ -133,13 +142,13 @@ def write(df: DataFrame, path: str, mode: str = "error") -> None:
         writer.parquet(path)
 
 
-def snapshot(df: DataFrame, rows: int = SNAPSHOT_ROWS) -> DataFrame:
-    """A table cut to ``rows`` rows, with trimmed column names.  Zero keeps all rows."""
+def snapshot(df: DataFrame, rows: int = 0) -> DataFrame:
+    """The table with trimmed column names, cut to ``rows`` rows if that is not zero."""
     trimmed = df.toDF(*[c.strip() for c in df.columns])
     return trimmed.limit(rows) if rows else trimmed
 
 
-def write_snapshot(df: DataFrame, path: str, rows: int = SNAPSHOT_ROWS, mode: str = "error") -> None:
+def write_snapshot(df: DataFrame, path: str, rows: int = 0, mode: str = "error") -> None:
     write(snapshot(df, rows), path, mode)
 
 

@@ -22,30 +22,23 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    # in-memory test tables have no size statistics; treat them as small unless a test says otherwise
-    session.conf.set("colonnade.small.bytes", str(2**63 - 1))
     yield session
     session.stop()
 
 
 @pytest.fixture
-def large(spark):
-    """Take the code paths for large inputs."""
-    from colonnade.plans import quantiles
+def large(spark, monkeypatch):
+    """Make a few rows count as many: several slices, and brackets that are narrowed by samples."""
+    from colonnade.plans import quantiles, scale
 
-    before = spark.conf.get("colonnade.small.bytes")
-    saved = {n: getattr(quantiles, n) for n in ("DIRECT_ROWS", "BRACKET_ROWS", "SAMPLE_ROWS", "SAMPLE_MARGIN")}
-    spark.conf.set("colonnade.small.bytes", "0")
-    quantiles.DIRECT_ROWS, quantiles.BRACKET_ROWS, quantiles.SAMPLE_ROWS, quantiles.SAMPLE_MARGIN = 20, 10, 50, 0.1
-    yield
-    spark.conf.set("colonnade.small.bytes", before)
-    for name, value in saved.items():
-        setattr(quantiles, name, value)
+    for name, value in {"DIRECT_ROWS": 20, "BRACKET_ROWS": 10, "SAMPLE_ROWS": 50, "SAMPLE_MARGIN": 0.1}.items():
+        monkeypatch.setattr(quantiles, name, value)
+    monkeypatch.setattr(scale, "SLICE_ROWS", 3)
 
 
 @pytest.fixture(params=["small", "large"])
 def size(request):
-    """Run a test on the code paths for small and for large inputs."""
+    """Run a test as it is, and with many slices and brackets."""
     if request.param == "large":
         request.getfixturevalue("large")
     return request.param

@@ -325,3 +325,51 @@ def test_charts(spark):
     for bad in (("line", "d", None), ("pie", "k", "v"), ("bar", "zz", None)):
         with pytest.raises(ValueError):
             charts.chart_data(df, *bad)
+
+
+# --- no cut before a filter, strict numbers, sums beyond a long ------------------------
+
+
+def test_attrition_filters_before_it_ranks(spark):
+    from colonnade.operators import domain
+    from colonnade.plans.roles import profile_of
+
+    small = [(f"g{i}", "Yes") for i in range(600)]
+    df = spark.createDataFrame(small + [("big", "Yes")] * 90 + [("big", "No")] * 10, "department string, attrition string")
+    table = rows(domain.hr_attrition_by_role(df, profile_of("hr", target="attrition", department="department"), min_rows=40))
+    assert [(r["department"], r["rows"], r["positive_rate"]) for r in table] == [("big", 100, 0.9)]
+
+
+def test_numbers_in_text_are_decimal(spark):
+    from colonnade.functions.columns import money, number
+    from pyspark.sql import functions as F
+
+    texts = ["12d", "3F", "0x1p3", " 12 ", "1e3", "-.5", "7.", "", "NaN", "inf", "1_0", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(number(df, "t")).collect()] == [None, None, None, 12.0, 1000.0, -0.5, 7.0, None, None, float("inf"), None, None]
+    cash = spark.createDataFrame([("$1.5B",), ("12d",), ("$3K",)], "t string")
+    assert [r[0] for r in cash.select(money(F.col("t"))).collect()] == [1.5e9, None, 3000.0]
+
+
+def test_sums_beyond_a_long(spark):
+    from colonnade.operators.grouped import groupby_aggregate
+
+    df = spark.createDataFrame([("a", 2**62)] * 3 + [("b", 1)], "k string, v long")
+    assert [list(r)[:2] for r in groupby_aggregate(df, "k", "v", "sum").collect()] == [["a", 3.0 * 2**62], ["b", 1.0]]
+
+
+def test_whole_numbers_without_exceptions(spark):
+    from colonnade.sources.tables import infer_types
+
+    df = spark.createDataFrame([("1", "9223372036854775807", "9223372036854775808", "x", "True"), ("-2", "-9223372036854775808", "1", "2", "false")], "a string, b string, c string, d string, e string")
+    out = infer_types(df)
+    assert [t for _, t in out.dtypes] == ["bigint", "bigint", "double", "string", "boolean"]
+    assert [r.b for r in out.collect()] == [2**63 - 1, -(2**63)] and [r.e for r in out.collect()] == [True, False]
+
+
+def test_types_look_at_all_rows(spark):
+    from colonnade.operators.quality import infer_column_types
+
+    texts = [f"2024-01-{1 + i % 28:02d}" for i in range(200)] + [f"code {i}" for i in range(1800)]
+    df = spark.createDataFrame([(t,) for t in texts], "created_date string").repartition(7)
+    assert infer_column_types(df) == {"created_date": "text"}
