@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from colonnade.llm import oracles
 from colonnade.llm.decontamination import op2_benchmark_passages
 from colonnade.llm.language import op5_hyperdimensional_language
 from colonnade.llm.licenses import op4_patience_licenses
@@ -28,4 +29,8 @@ QUERIES = {
         op10_jump_shards,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    op1_repeated_strings.__name__: oracles.REPEATED_STRINGS,
+    op9_line_frequency_rules.__name__: oracles.LINE_RULES,
+    op10_jump_shards.__name__: oracles.JUMP_SHARDS,
+}

@@ -46,6 +46,12 @@ def shard_of(key: Column, shards: int) -> Column:
     return jumped(key)
 
 
+def stable_key(docs: DataFrame, key: str) -> Column:
+    """A whole number as it is, -1 for a null one; a hash of any other key."""
+    whole = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(F.col(key).cast("long"), F.lit(-1)) if whole else F.xxhash64(F.col(key))
+
+
 def sharded(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with its shard, its place in the shard, and its shard if there were one more.
 
@@ -59,7 +65,7 @@ def sharded(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str =
         F.col(key).alias("doc_id"),
         (F.octet_length(filled(text)) + 8).cast("long").alias("size"),
         F.crc32(filled(text)).alias("text_crc32"),
-        F.xxhash64(F.col(key)).alias("_key"),
+        stable_key(docs, key).alias("_key"),
     )
     chunks = max(1, -(-docs.count() // (shards * NUMBERED)))
     rows = rows.withColumns(
