@@ -33,6 +33,39 @@ def _(spark, sf):
     return similarity.exact_text_matches(texts, stored).drop("question")
 
 
+@query(
+    "matches_with_fallback",
+    """WITH v AS (SELECT vec_id, label, CASE WHEN vec_id % 5 <> 0 THEN CAST(embedding AS DOUBLE[]) END AS e, vec_id % 40 AS question FROM embeddings),
+    p AS (SELECT a.vec_id, b.vec_id AS match_id, list_cosine_similarity(a.e, b.e) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE a.e IS NOT NULL AND b.e IS NOT NULL),
+    r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, match_id) = 1),
+    s AS (SELECT label, question, min(vec_id) AS match_id FROM v GROUP BY ALL)
+    SELECT v.vec_id, v.label, r.match_id, similarity, coalesce(similarity >= 0.5, false) AS hit FROM v LEFT JOIN r USING (vec_id) WHERE e IS NOT NULL
+    UNION ALL SELECT v.vec_id, v.label, s.match_id, NULL, true FROM v JOIN s ON s.label = v.label AND s.question = v.question WHERE e IS NULL""",
+)
+def _(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(
+        "vec_id", "label", F.when(F.col("vec_id") % 5 != 0, F.col("embedding")).alias("embedding"), (F.col("vec_id") % 40).cast("string").alias("question")
+    )
+    return similarity.matches_with_fallback(vectors, vectors, "label", "vec_id", "vec_id", "embedding", "question", 0.5, skip_same_id=True)
+
+
+@query(
+    "user_function_tables",
+    """WITH o AS (SELECT o_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY 1)
+    SELECT c_custkey, c_acctbal + coalesce(spent, 0) AS worth FROM customer LEFT JOIN o ON o_custkey = c_custkey""",
+)
+def _(spark, sf):
+    """A user function over two tables."""
+
+    def worth(buyers: pd.DataFrame, orders: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c_custkey": buyers.c_custkey, "worth": buyers.c_acctbal + orders.o_totalprice.sum()})
+
+    buyers = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    return user_functions.user_function(buyers, "cogrouped", right=orders, keys=["c_custkey"], function=worth, schema="c_custkey long, worth double")
+
+
 @query(
     "user_function_batches",
     "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 + l_tax) AS gross FROM lineitem",
@@ -73,7 +106,11 @@ def _(spark, sf):
 
     lines = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
     partial = "l_returnflag string, low double, high double, n long"
-    return user_functions.apply_combined(lines, ["l_returnflag"], shrink, partial, merge, "l_returnflag string, spread double, rows long")
+
+    def combine(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby("l_returnflag").agg(low=("low", "min"), high=("high", "max"), n=("n", "sum")).reset_index()
+
+    return user_functions.apply_combined(lines, ["l_returnflag"], shrink, partial, merge, "l_returnflag string, spread double, rows long", combine)
 
 
 # --- checks ---------------------------------------------------------------------------

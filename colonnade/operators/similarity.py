@@ -15,9 +15,35 @@ BLOCK = 2048
 
 
 def exact_text_matches(queries: DataFrame, stored: DataFrame, dataset: str = "dataset_id", text: str = "question", stored_id: str = "stored_id") -> DataFrame:
-    """Left join each query to the lowest-numbered stored entry with the same dataset and text."""
-    first = stored.groupBy(dataset, text).agg(F.min(stored_id).alias("match_id"))
-    return queries.join(first, [dataset, text], "left").withColumn("hit", F.col("match_id").isNotNull())
+    """Left join each query to the lowest-numbered stored entry with the same dataset and text.
+
+    Texts are compared, grouped and shuffled as SHA-256 digests.
+    """
+    digest = F.unhex(F.sha2(F.encode(F.col(text), "utf-8"), 256)).alias("__digest")
+    first = stored.select(F.col(dataset), digest, F.col(stored_id)).groupBy(dataset, "__digest").agg(F.min(stored_id).alias("match_id"))
+    return queries.withColumn("__digest", digest).join(first, [dataset, "__digest"], "left").drop("__digest").withColumn("hit", F.col("match_id").isNotNull())
+
+
+def matches_with_fallback(
+    queries: DataFrame,
+    stored: DataFrame,
+    dataset: str,
+    query_id: str,
+    stored_id: str,
+    vector: str,
+    text: str,
+    threshold: float = HIT_THRESHOLD,
+    skip_same_id: bool = False,
+) -> DataFrame:
+    """The nearest stored vector of queries that have a vector, the same text for those that have none.
+
+    Returns query_id, dataset, match_id, similarity (null for a match by text) and hit.
+    """
+    near = best_matches(queries.where(F.col(vector).isNotNull()), stored, dataset, query_id, stored_id, vector, threshold, skip_same_id)
+    plain = queries.where(F.col(vector).isNull()).select(query_id, dataset, text)
+    entries = stored.select(F.col(dataset), F.col(text), F.col(stored_id).alias("__stored"))
+    same = exact_text_matches(plain, entries, dataset, text, "__stored")
+    return near.unionByName(same.select(query_id, dataset, "match_id", F.lit(None).cast("double").alias("similarity"), "hit"))
 
 
 def best_matches(

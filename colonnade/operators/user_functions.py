@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from colonnade.functions.columns import col
 from colonnade.functions.validate import require_columns
@@ -32,6 +33,17 @@ def apply_grouped(df: DataFrame, keys: Sequence[str], function: Callable[[Frame]
     return df.groupBy(*[col(k) for k in keys]).applyInPandas(function, schema)
 
 
+def apply_cogrouped(left: DataFrame, right: DataFrame, keys: Sequence[str], function: Callable[[Frame, Frame], Frame], schema: str) -> DataFrame:
+    """``function`` sees the rows of one key in two tables; more tables are a chain of such steps.
+
+    Every key has to fit in a task on both sides; shrink a hot side first, by :func:`apply_combined` or an aggregation.
+    """
+    require_columns(left, keys)
+    require_columns(right, keys)
+    names = [col(k) for k in keys]
+    return left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(function, schema)
+
+
 def apply_combined(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,10 +51,43 @@ def apply_combined(
     partial_schema: str,
     merge: Callable[[Frame], Frame],
     schema: str,
+    combine: Callable[[Frame], Frame] | None = None,
+    spread: int = 64,
 ) -> DataFrame:
-    """Two steps for hot keys: ``partial`` shrinks each batch, ``merge`` joins the partial rows of a key.
+    """Steps for hot keys: ``partial`` shrinks each batch, ``merge`` joins the partial rows of a key.
 
-    ``partial`` must keep the key columns.
+    ``partial`` must keep the key columns.  ``combine`` turns partial rows into fewer partial rows; with it a
+    task hands on the rows of one call, not of one call a batch, and the rows of a key are combined in
+    ``spread`` tasks before the last one, which then sees ``spread`` partial results at most.
     """
     require_columns(df, keys)
-    return apply_grouped(apply_batches(df, partial, partial_schema), keys, merge, schema)
+    if combine is None:
+        return apply_grouped(apply_batches(df, partial, partial_schema), keys, merge, schema)
+
+    def run(batches: Iterator[Frame]) -> Iterator[Frame]:
+        kept = None
+        for batch in batches:
+            small = partial(batch)
+            kept = small if kept is None else combine(pd.concat([kept, small], ignore_index=True))
+        if kept is not None:
+            yield kept
+
+    shrunk = df.mapInPandas(run, partial_schema).withColumn("__spread", F.pmod(F.spark_partition_id(), F.lit(spread)))
+    # a task may hold rows of many keys, so each key's rows go through ``combine`` alone here
+    together = shrunk.groupBy(*[col(k) for k in keys], "__spread").applyInPandas(lambda rows: combine(rows.drop(columns="__spread")), partial_schema)
+    return apply_grouped(together, keys, merge, schema)
+
+
+USER_FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
+    "batches": apply_batches,
+    "grouped": apply_grouped,
+    "cogrouped": apply_cogrouped,
+    "combined": apply_combined,
+}
+
+
+def user_function(df: DataFrame, kind: str = "batches", **arguments) -> DataFrame:
+    """One of the forms above by name; ``cogrouped`` takes the second table as ``right``."""
+    if kind not in USER_FUNCTIONS:
+        raise ValueError(f"Unsupported form: {kind}. Supported: {sorted(USER_FUNCTIONS)}.")
+    return USER_FUNCTIONS[kind](df, **arguments)

@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 from colonnade.functions.columns import (
     before_colon,
     col,
+    decimal_number,
     first_truthy_name,
     first_word_title,
     is_numeric,
     money,
     number,
+    strip,
+    timestamp,
     year_to_date_text,
 )
 from colonnade.operators.cleaning import find_column
 from colonnade.sources.dictionary import dictionary_fields
+from colonnade.sources.tables import snapshot
 
 
 def online_retail(df: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def consumer_complaints(df: DataFrame) -> DataFrame:
 
 
 def stock_prices(df: DataFrame) -> DataFrame:
-    return df
+    return as_declared(df, "stock_prices")
 
 
 def unicorn_companies(df: DataFrame) -> DataFrame:
@@ -92,7 +96,7 @@ def unicorn_companies(df: DataFrame) -> DataFrame:
 
 
 def bank_marketing(df: DataFrame) -> DataFrame:
-    return df
+    return as_declared(df, "bank_marketing")
 
 
 def employee_survey(df: DataFrame) -> DataFrame:
@@ -115,11 +119,11 @@ def remote_working_survey(df: DataFrame, year: int) -> DataFrame:
 
 
 def airline_satisfaction(df: DataFrame) -> DataFrame:
-    return df
+    return as_declared(df, "airline_satisfaction")
 
 
 def candy_orders(df: DataFrame) -> DataFrame:
-    return df
+    return as_declared(df, "candy_orders")
 
 
 def transit_ridership(wide: DataFrame) -> DataFrame:
@@ -130,7 +134,7 @@ def transit_ridership(wide: DataFrame) -> DataFrame:
     return long.select(
         "Date",
         before_colon(col("Transit Mode")).alias("Transit Mode"),
-        F.regexp_replace("Ridership", ",", "").try_cast("double").alias("Ridership"),
+        decimal_number(F.trim(F.regexp_replace("Ridership", ",", ""))).alias("Ridership"),
     )
 
 
@@ -142,7 +146,7 @@ def traffic_accidents(df: DataFrame) -> DataFrame:
 
 
 def student_performance(df: DataFrame) -> DataFrame:
-    return df
+    return as_declared(df, "student_performance")
 
 
 def fuel_economy(df: DataFrame) -> DataFrame:
@@ -150,161 +154,121 @@ def fuel_economy(df: DataFrame) -> DataFrame:
     power = col("horsepower") if is_numeric(df, "horsepower") else F.nullif(col("horsepower"), F.lit("?"))
     return df.withColumns(
         {
-            "horsepower": power.try_cast("double"),
+            "horsepower": power.cast("double") if is_numeric(df, "horsepower") else decimal_number(F.trim(power)),
             "Manufacturer": first_word_title(col("car name").cast("string")),
             "Model Date": year_to_date_text(col("model year").cast("string")),
         }
     )
 
 
-# Per source, the domain and (column, role, type, aggregation) of its dictionary.
-DICTIONARIES: dict[str, tuple[str, list[tuple[str, str, str, str]]]] = {
-    "online_retail": ("ecommerce", [
-        ("Invoice", "customer", "string", ""),
-        ("Description", "category", "string", ""),
-        ("Quantity", "quantity", "number", "sum"),
-        ("InvoiceDate", "date", "date", ""),
-        ("Revenue", "revenue", "number", "sum"),
-        ("Country", "country", "string", ""),
-    ]),
-    "toy_store": ("ecommerce", [
-        ("order_id", "customer", "string", ""),
-        ("order_date", "date", "date", ""),
-        ("category", "category", "string", ""),
-        ("segment", "segment", "string", ""),
-        ("utm_campaign", "campaign", "string", ""),
-        ("utm_source", "channel", "string", ""),
-        ("quantity", "quantity", "number", "sum"),
-        ("revenue", "revenue", "number", "sum"),
-        ("cost", "cost", "number", "sum"),
-        ("profit", "profit", "number", "sum"),
-    ]),
-    "northwind": ("retail", [
-        ("orderDate", "date", "date", ""),
-        ("sales", "revenue", "number", "sum"),
-        ("quantity", "quantity", "number", "sum"),
-        ("discount", "discount", "number", "mean"),
-        ("categoryName", "category", "string", ""),
-        ("country", "country", "string", ""),
-        ("city", "city", "string", ""),
-        ("customerID", "customer", "string", ""),
-    ]),
-    "consumer_complaints": ("finance", [
-        ("Date received", "date", "date", ""),
-        ("Product", "category", "string", ""),
-        ("State", "state", "string", ""),
-        ("Complaint Count", "quantity", "number", "sum"),
-    ]),
-    "stock_prices": ("finance", [
-        ("date", "date", "date", ""),
-        ("symbol", "category", "string", ""),
-        ("close", "revenue", "number", "mean"),
-        ("volume", "quantity", "number", "sum"),
-    ]),
-    "unicorn_companies": ("finance", [
-        ("Date Joined", "date", "date", ""),
-        ("Industry", "category", "string", ""),
-        ("Country", "country", "string", ""),
-        ("ValuationAmount", "revenue", "number", "sum"),
-        ("FundingAmount", "cost", "number", "sum"),
-    ]),
-    "bank_marketing": ("marketing", [
-        ("age", "customer", "number", "mean"),
-        ("job", "segment", "string", ""),
-        ("education", "segment", "string", ""),
-        ("balance", "monetary", "number", "mean"),
-        ("contact", "channel", "string", ""),
-        ("month", "date", "string", ""),
-        ("campaign", "campaign", "number", "sum"),
-        ("pdays", "recency", "number", "mean"),
-        ("y", "target", "string", ""),
-    ]),
-    "employee_survey": ("survey", [
-        ("Department", "department", "string", ""),
-        ("Job Role", "job_role", "string", ""),
-        ("Response", "target", "number", "mean"),
-    ]),
-    "remote_working_survey": ("survey", [
-        ("Date", "date", "date", ""),
-        ("Segment", "segment", "string", ""),
-        ("Region", "country", "string", ""),
-        ("Target", "target", "string", ""),
-        ("Quantity", "quantity", "number", "sum"),
-    ]),
-    "airline_satisfaction": ("survey", [
-        ("Satisfaction", "target", "string", ""),
-        ("Customer Type", "segment", "string", ""),
-        ("Class", "category", "string", ""),
-        ("Flight Distance", "quantity", "number", "mean"),
-    ]),
-    "candy_orders": ("logistics", [
-        ("Order Date", "date", "date", ""),
-        ("Sales", "revenue", "number", "sum"),
-        ("Cost", "cost", "number", "sum"),
-        ("Gross Profit", "profit", "number", "sum"),
-        ("Units", "quantity", "number", "sum"),
-        ("Division", "category", "string", ""),
-        ("State/Province", "state", "string", ""),
-        ("City", "city", "string", ""),
-    ]),
-    "transit_ridership": ("logistics", [
-        ("Date", "date", "date", ""),
-        ("Transit Mode", "category", "string", ""),
-        ("Ridership", "quantity", "number", "sum"),
-    ]),
-    "traffic_accidents": ("logistics", [
-        ("Date", "date", "date", ""),
-        ("City", "city", "string", ""),
-        ("Vehicle Type", "category", "string", ""),
-        ("Accident Count", "quantity", "number", "sum"),
-    ]),
-    "student_performance": ("education", [
-        ("school", "department", "string", ""),
-        ("sex", "segment", "string", ""),
-        ("age", "customer", "number", "mean"),
-        ("studytime", "frequency", "number", "mean"),
-        ("absences", "quantity", "number", "sum"),
-        ("G3", "target", "number", "mean"),
-    ]),
-    "fuel_economy": ("product", [
-        ("Model Date", "date", "date", ""),
-        ("Manufacturer", "category", "string", ""),
-        ("mpg", "quantity", "number", "mean"),
-    ]),
-}
-# Units, display names and sensitive columns of those dictionaries.
-UNITS = {
-    "online_retail": ("GBP", ["Revenue"]),
-    "toy_store": ("USD", ["revenue", "cost", "profit"]),
-    "northwind": ("USD", ["sales"]),
-    "stock_prices": ("USD", ["close"]),
-    "unicorn_companies": ("USD", ["ValuationAmount", "FundingAmount"]),
-    "candy_orders": ("USD", ["Sales", "Cost", "Gross Profit"]),
-}
-DISPLAY_NAMES = {"close": "Close Price", "ValuationAmount": "Valuation", "FundingAmount": "Funding"}
-SENSITIVE = {
-    "online_retail": ["Invoice"],
-    "toy_store": ["order_id"],
-    "northwind": ["customerID"],
-    "bank_marketing": ["age"],
-    "student_performance": ["sex", "age"],
-}
+# Source, domain, column, display name, role, type, aggregation, unit, sensitive; one row a field.
+FIELDS = [
+    ("online_retail", "ecommerce", "Invoice", "Invoice", "customer", "string", "", "", True),
+    ("online_retail", "ecommerce", "Description", "Description", "category", "string", "", "", False),
+    ("online_retail", "ecommerce", "Quantity", "Quantity", "quantity", "number", "sum", "", False),
+    ("online_retail", "ecommerce", "InvoiceDate", "InvoiceDate", "date", "date", "", "", False),
+    ("online_retail", "ecommerce", "Revenue", "Revenue", "revenue", "number", "sum", "GBP", False),
+    ("online_retail", "ecommerce", "Country", "Country", "country", "string", "", "", False),
+    ("toy_store", "ecommerce", "order_id", "order_id", "customer", "string", "", "", True),
+    ("toy_store", "ecommerce", "order_date", "order_date", "date", "date", "", "", False),
+    ("toy_store", "ecommerce", "category", "category", "category", "string", "", "", False),
+    ("toy_store", "ecommerce", "segment", "segment", "segment", "string", "", "", False),
+    ("toy_store", "ecommerce", "utm_campaign", "utm_campaign", "campaign", "string", "", "", False),
+    ("toy_store", "ecommerce", "utm_source", "utm_source", "channel", "string", "", "", False),
+    ("toy_store", "ecommerce", "quantity", "quantity", "quantity", "number", "sum", "", False),
+    ("toy_store", "ecommerce", "revenue", "revenue", "revenue", "number", "sum", "USD", False),
+    ("toy_store", "ecommerce", "cost", "cost", "cost", "number", "sum", "USD", False),
+    ("toy_store", "ecommerce", "profit", "profit", "profit", "number", "sum", "USD", False),
+    ("northwind", "retail", "orderDate", "orderDate", "date", "date", "", "", False),
+    ("northwind", "retail", "sales", "sales", "revenue", "number", "sum", "USD", False),
+    ("northwind", "retail", "quantity", "quantity", "quantity", "number", "sum", "", False),
+    ("northwind", "retail", "discount", "discount", "discount", "number", "mean", "", False),
+    ("northwind", "retail", "categoryName", "categoryName", "category", "string", "", "", False),
+    ("northwind", "retail", "country", "country", "country", "string", "", "", False),
+    ("northwind", "retail", "city", "city", "city", "string", "", "", False),
+    ("northwind", "retail", "customerID", "customerID", "customer", "string", "", "", True),
+    ("consumer_complaints", "finance", "Date received", "Date received", "date", "date", "", "", False),
+    ("consumer_complaints", "finance", "Product", "Product", "category", "string", "", "", False),
+    ("consumer_complaints", "finance", "State", "State", "state", "string", "", "", False),
+    ("consumer_complaints", "finance", "Complaint Count", "Complaint Count", "quantity", "number", "sum", "", False),
+    ("stock_prices", "finance", "date", "date", "date", "date", "", "", False),
+    ("stock_prices", "finance", "symbol", "symbol", "category", "string", "", "", False),
+    ("stock_prices", "finance", "close", "Close Price", "revenue", "number", "mean", "USD", False),
+    ("stock_prices", "finance", "volume", "volume", "quantity", "number", "sum", "", False),
+    ("unicorn_companies", "finance", "Date Joined", "Date Joined", "date", "date", "", "", False),
+    ("unicorn_companies", "finance", "Industry", "Industry", "category", "string", "", "", False),
+    ("unicorn_companies", "finance", "Country", "Country", "country", "string", "", "", False),
+    ("unicorn_companies", "finance", "ValuationAmount", "Valuation", "revenue", "number", "sum", "USD", False),
+    ("unicorn_companies", "finance", "FundingAmount", "Funding", "cost", "number", "sum", "USD", False),
+    ("bank_marketing", "marketing", "age", "age", "customer", "number", "mean", "", True),
+    ("bank_marketing", "marketing", "job", "job", "segment", "string", "", "", False),
+    ("bank_marketing", "marketing", "education", "education", "segment", "string", "", "", False),
+    ("bank_marketing", "marketing", "balance", "balance", "monetary", "number", "mean", "", False),
+    ("bank_marketing", "marketing", "contact", "contact", "channel", "string", "", "", False),
+    ("bank_marketing", "marketing", "month", "month", "date", "string", "", "", False),
+    ("bank_marketing", "marketing", "campaign", "campaign", "campaign", "number", "sum", "", False),
+    ("bank_marketing", "marketing", "pdays", "pdays", "recency", "number", "mean", "", False),
+    ("bank_marketing", "marketing", "y", "y", "target", "string", "", "", False),
+    ("employee_survey", "survey", "Department", "Department", "department", "string", "", "", False),
+    ("employee_survey", "survey", "Job Role", "Job Role", "job_role", "string", "", "", False),
+    ("employee_survey", "survey", "Response", "Response", "target", "number", "mean", "", False),
+    ("remote_working_survey", "survey", "Date", "Date", "date", "date", "", "", False),
+    ("remote_working_survey", "survey", "Segment", "Segment", "segment", "string", "", "", False),
+    ("remote_working_survey", "survey", "Region", "Region", "country", "string", "", "", False),
+    ("remote_working_survey", "survey", "Target", "Target", "target", "string", "", "", False),
+    ("remote_working_survey", "survey", "Quantity", "Quantity", "quantity", "number", "sum", "", False),
+    ("airline_satisfaction", "survey", "Satisfaction", "Satisfaction", "target", "string", "", "", False),
+    ("airline_satisfaction", "survey", "Customer Type", "Customer Type", "segment", "string", "", "", False),
+    ("airline_satisfaction", "survey", "Class", "Class", "category", "string", "", "", False),
+    ("airline_satisfaction", "survey", "Flight Distance", "Flight Distance", "quantity", "number", "mean", "", False),
+    ("candy_orders", "logistics", "Order Date", "Order Date", "date", "date", "", "", False),
+    ("candy_orders", "logistics", "Sales", "Sales", "revenue", "number", "sum", "USD", False),
+    ("candy_orders", "logistics", "Cost", "Cost", "cost", "number", "sum", "USD", False),
+    ("candy_orders", "logistics", "Gross Profit", "Gross Profit", "profit", "number", "sum", "USD", False),
+    ("candy_orders", "logistics", "Units", "Units", "quantity", "number", "sum", "", False),
+    ("candy_orders", "logistics", "Division", "Division", "category", "string", "", "", False),
+    ("candy_orders", "logistics", "State/Province", "State/Province", "state", "string", "", "", False),
+    ("candy_orders", "logistics", "City", "City", "city", "string", "", "", False),
+    ("transit_ridership", "logistics", "Date", "Date", "date", "date", "", "", False),
+    ("transit_ridership", "logistics", "Transit Mode", "Transit Mode", "category", "string", "", "", False),
+    ("transit_ridership", "logistics", "Ridership", "Ridership", "quantity", "number", "sum", "", False),
+    ("traffic_accidents", "logistics", "Date", "Date", "date", "date", "", "", False),
+    ("traffic_accidents", "logistics", "City", "City", "city", "string", "", "", False),
+    ("traffic_accidents", "logistics", "Vehicle Type", "Vehicle Type", "category", "string", "", "", False),
+    ("traffic_accidents", "logistics", "Accident Count", "Accident Count", "quantity", "number", "sum", "", False),
+    ("student_performance", "education", "school", "school", "department", "string", "", "", False),
+    ("student_performance", "education", "sex", "sex", "segment", "string", "", "", True),
+    ("student_performance", "education", "age", "age", "customer", "number", "mean", "", True),
+    ("student_performance", "education", "studytime", "studytime", "frequency", "number", "mean", "", False),
+    ("student_performance", "education", "absences", "absences", "quantity", "number", "sum", "", False),
+    ("student_performance", "education", "G3", "G3", "target", "number", "mean", "", False),
+    ("fuel_economy", "product", "Model Date", "Model Date", "date", "date", "", "", False),
+    ("fuel_economy", "product", "Manufacturer", "Manufacturer", "category", "string", "", "", False),
+    ("fuel_economy", "product", "mpg", "mpg", "quantity", "number", "mean", "", False),
+]
+
+
+def fields_of(source: str) -> list[dict[str, Any]]:
+    names = ("source", "domain", "column_name", "business_name", "semantic_role", "data_type", "aggregation", "unit", "sensitive")
+    found = [dict(zip(names, row)) for row in FIELDS if row[0] == source]
+    if not found:
+        raise ValueError(f"Unknown source: {source}")
+    return found
+
+
+def as_declared(df: DataFrame, source: str) -> DataFrame:
+    """The table with trimmed column names, and the columns of the source's dictionary as the types it declares.
+
+    A text that is no number or date of a number or date column becomes null.
+    """
+    df = snapshot(df)
+    read = {"number": lambda c: number(df, c).cast("double"), "date": lambda c: timestamp(df, c), "string": lambda c: strip(col(c).cast("string"))}
+    typed = {f["column_name"]: read[f["data_type"]](f["column_name"]) for f in fields_of(source) if f["column_name"] in df.columns}
+    return df.select(*[typed[c].alias(c) if c in typed else col(c) for c in df.columns])
 
 
 def source_dictionary(spark: SparkSession, source: str) -> DataFrame:
     """The data dictionary that belongs to a prepared source."""
-    domain, fields = DICTIONARIES[source]
-    unit, with_unit = UNITS.get(source, ("", []))
-    rows: list[dict[str, Any]] = [
-        {
-            "column_name": column,
-            "business_name": DISPLAY_NAMES.get(column, column),
-            "semantic_role": role,
-            "data_type": kind,
-            "aggregation": aggregation or None,
-            "unit": unit if column in with_unit else None,
-            "sensitive": column in SENSITIVE.get(source, []),
-        }
-        for column, role, kind, aggregation in fields
-    ]
-    return dictionary_fields(spark, domain, rows)
+    fields = fields_of(source)
+    rows = [{k: v or None if k in ("aggregation", "unit") else v for k, v in f.items() if k not in ("source", "domain")} for f in fields]
+    return dictionary_fields(spark, fields[0]["domain"], rows)

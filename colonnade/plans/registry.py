@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from colonnade.operators import charts, compare, domain, grouped, metrics, quality, ranking, semantic, series, stats
+from colonnade.operators import charts, compare, domain, grouped, metrics, quality, ranking, semantic, series, stats, user_functions
 from colonnade.operators.cleaning import prepare_sales
 from colonnade.plans.roles import SemanticProfile, build_semantic_profile
 
@@ -38,6 +38,7 @@ PLAIN: dict[str, Callable[..., DataFrame]] = {
         ranking.pareto_analysis,
         charts.chart_data,
         domain.marketing_purchase_channel_summary,
+        user_functions.user_function,
     )
 }
 #: Operators that take a semantic profile as second argument.
