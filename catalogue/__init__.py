@@ -26,4 +26,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from catalogue import cleaning, domains, generic, matching, preparing, profiling, sales  # noqa: F401
+    from catalogue import cleaning, domains, generic, matching, preparing, profiling, sales  # noqa: F401, I001
+    from catalogue import dashboards  # noqa: F401  (uses the SQL of the others)
