@@ -7,7 +7,7 @@ Sentences and cards are left to the caller.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,14 +83,22 @@ def preferred_dimension(df: DataFrame, profile: SemanticProfile) -> tuple[str, s
     return next(((c, c) for c in others if counts[c][2] > 1), None)
 
 
-def _metric_by_dimension(
-    df: DataFrame, profile: SemanticProfile, metrics: Metrics
-) -> tuple[str, str, DataFrame] | None:
+class Grouped(NamedTuple):
+    """Sum and mean of the preferred metric by the preferred dimension (label, total, mean), materialized."""
+
+    metric: str
+    dimension: str
+    table: DataFrame
+
+
+def metric_by_dimension(df: DataFrame, profile: SemanticProfile, metrics: Metrics = ()) -> Grouped | None:
+    """What three of the detectors look at, from one aggregation."""
     metric, dimension = preferred_metric(df, profile, metrics), preferred_dimension(df, profile)
     if metric is None or dimension is None:
         return None
-    cells = df.select(value(df, dimension[1]).cast("string").alias("label"), metric[1].alias("x"))
-    return metric[0], dimension[0], cells.where(F.col("x").isNotNull())
+    cells = df.select(value(df, dimension[1]).cast("string").alias("label"), metric[1].alias("x")).where(F.col("x").isNotNull())
+    grouped = cells.groupBy("label").agg(F.sum("x").alias("total"), F.avg("x").alias("mean"))
+    return Grouped(metric[0], dimension[0], materialize(grouped))
 
 
 def data_quality_findings(df: DataFrame) -> DataFrame:
@@ -126,13 +134,12 @@ def data_quality_findings(df: DataFrame) -> DataFrame:
     return missing.unionByName(duplicates).unionByName(constants)
 
 
-def top_contributor_finding(df: DataFrame, profile: SemanticProfile, metrics: Metrics = ()) -> DataFrame:
+def top_contributor_finding(df: DataFrame, profile: SemanticProfile, metrics: Metrics = (), grouped: Grouped | None = None) -> DataFrame:
     """The group with the largest sum, and its share of all."""
-    found = _metric_by_dimension(df, profile, metrics)
+    found = grouped or metric_by_dimension(df, profile, metrics)
     if found is None:
         return _none(df)
-    metric, dimension, cells = found
-    sums = cells.groupBy("label").agg(F.sum("x").alias("total"))
+    metric, dimension, sums = found
     best = sums.agg(
         F.min(F.struct((-F.col("total")).alias("total"), "label")).alias("best"), F.sum("total").alias("all")
     ).where(F.col("best").isNotNull())
@@ -210,14 +217,13 @@ def outlier_finding(df: DataFrame) -> DataFrame:
     )
 
 
-def segment_gap_finding(df: DataFrame, profile: SemanticProfile, metrics: Metrics = ()) -> DataFrame:
+def segment_gap_finding(df: DataFrame, profile: SemanticProfile, metrics: Metrics = (), grouped: Grouped | None = None) -> DataFrame:
     """Groups with the highest and the lowest mean."""
-    found = _metric_by_dimension(df, profile, metrics)
+    found = grouped or metric_by_dimension(df, profile, metrics)
     if found is None:
         return _none(df)
-    metric, dimension, cells = found
-    means = cells.groupBy("label").agg(F.avg("x").alias("mean"))
-    ends = means.agg(
+    metric, dimension, sums = found
+    ends = sums.agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct((-F.col("mean")).alias("mean"), "label")).alias("top"),
         F.min(F.struct("mean", "label")).alias("bottom"),
@@ -241,13 +247,12 @@ def correlation_finding(df: DataFrame) -> DataFrame:
     )
 
 
-def concentration_finding(df: DataFrame, profile: SemanticProfile, metrics: Metrics = ()) -> DataFrame:
+def concentration_finding(df: DataFrame, profile: SemanticProfile, metrics: Metrics = (), grouped: Grouped | None = None) -> DataFrame:
     """How many of the largest groups together stay within 80 percent of the total."""
-    found = _metric_by_dimension(df, profile, metrics)
+    found = grouped or metric_by_dimension(df, profile, metrics)
     if found is None:
         return _none(df)
-    metric, dimension, cells = found
-    sums = materialize(cells.groupBy("label").agg(F.sum("x").alias("total")))
+    metric, dimension, sums = found
     running = with_running_sum(sums, [F.desc("total"), F.asc_nulls_last("label")], F.col("total"), "upto")
     grand = sums.agg(F.sum("total").alias("x")).scalar()
     counted = running.agg(
@@ -284,14 +289,18 @@ def generate_insights(
     df: DataFrame, profile: SemanticProfile, metrics: Metrics = (), max_insights: int | None = 10
 ) -> DataFrame:
     """All findings in priority order, at most ``max_insights`` (None: all)."""
+    grouped = metric_by_dimension(df, profile, metrics)
+    shared = [] if grouped is None else [
+        top_contributor_finding(df, profile, metrics, grouped),
+        segment_gap_finding(df, profile, metrics, grouped),
+        concentration_finding(df, profile, metrics, grouped),
+    ]
     parts = [
         data_quality_findings(df),
-        top_contributor_finding(df, profile, metrics),
+        *shared,
         trend_finding(df, profile, metrics),
         outlier_finding(df),
-        segment_gap_finding(df, profile, metrics),
         correlation_finding(df),
-        concentration_finding(df, profile, metrics),
         target_finding(df, profile),
     ]
     result = parts[0]
