@@ -64,7 +64,7 @@ def joined(data: np.ndarray, at: np.ndarray, first: int, last: int, gap: int = 1
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * SLICE)
+        size = max(n, 1 << 16)
         for k, base in enumerate((_BASE, _INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1

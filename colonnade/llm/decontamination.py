@@ -253,4 +253,5 @@ def _arrow(kind: str) -> pa.DataType:
 
 
 def op2_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The documents that hold a passage; documents without one have no row."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated")

@@ -77,7 +77,9 @@ def _lettered(data: np.ndarray, at: np.ndarray, first: int, last: int) -> np.nda
 
 
 #: Grams whose vectors are in memory at a time, and texts multiplied with them.
-_GRAMS, _TEXTS = 4096, 512
+_GRAMS, _TEXTS = 2048, 512
+#: Bytes of text whose grams are counted at a time.
+_SLICE = 1 << 19
 
 
 def _bundled(rows: np.ndarray, columns: np.ndarray, counts: np.ndarray, n: int, grams: np.ndarray, dimensions: int) -> np.ndarray:
@@ -104,7 +106,7 @@ def _learned(dimensions: int):
         for batch in batches:
             data, at = text_bytes(batch.column("_text"))
             names, lang = np.unique(np.array(batch.column("_lang").to_pylist(), object), return_inverse=True)
-            for first, last in slices(at):
+            for first, last in slices(at, _SLICE):
                 grams, text, gram, count = gram_counts(data, at, first, last)
                 own = lang[first:last][text]
                 pair, inverse = np.unique(own * max(1, len(grams)) + gram, return_inverse=True)
@@ -159,7 +161,7 @@ def identified(docs: DataFrame, known: dict[str, np.ndarray], text: str = "text"
         for batch in batches:
             data, at = text_bytes(batch.column(body))
             rest = batch.select([c for c in batch.schema.names if c != body])
-            for first, last in slices(at):
+            for first, last in slices(at, _SLICE):
                 n = last - first
                 pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
                 if names:

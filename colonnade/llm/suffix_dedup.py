@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,9 @@ from colonnade.llm.tables import filled, parts, table
 
 LENGTH = 50
 #: Bytes of text in a block, bytes of text whose anchors make one part, and contexts in one transform.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 PART = 5 << 20
-CONTEXTS = 50_000
+CONTEXTS = 20_000
 #: Strings whose anchors a task looks for at a time.
 STRIDE = 1 << 18
 
@@ -81,6 +82,7 @@ def _texts_of(docs: pa.Table, side: pa.Table) -> tuple[np.ndarray, np.ndarray, n
     keys = docs["_key"].to_pylist()
     chosen = {k: i for i, k in enumerate(keys) if (k, int(ids[i])) in first}
     order = [chosen[k] for k in sorted(chosen)]
+    pa.default_memory_pool().release_unused()  # of the block before
     data, at = text_bytes(docs["_text"].take(pa.array(order, pa.int64())))
     return data, at, ids[order], sorted(chosen)
 
@@ -157,6 +159,7 @@ def _contexts(length: int, buckets: int):
             return _side_table([])
         data, at, ids, _ = _texts_of(docs, side)
         found = _pairs(data, at, length, buckets)
+        packer = zstandard.ZstdCompressor(level=3)
         rows = []
         for p, a, b in _groups(found["part"]):
             if p not in bits:
@@ -187,7 +190,7 @@ def _contexts(length: int, buckets: int):
                             row.astype(np.uint32).tobytes(),
                             (start - at[row]).astype(np.uint32).tobytes(),
                             ids[row].astype(np.int64).tobytes(),
-                            *number,
+                            packer.compress(b"".join(number)),
                         )
                     ),
                 )
@@ -197,13 +200,13 @@ def _contexts(length: int, buckets: int):
     return run
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+def _unpacked(blob: bytes) -> tuple:
     contexts, held = np.frombuffer(blob, np.int64, 2)
     out, at = [], 16
-    for kind, n in ((np.uint16, contexts), (np.uint32, contexts), (np.uint32, held), (np.uint32, held), (np.uint32, held), (np.int64, held), (np.uint8, -1)):
+    for kind, n in ((np.uint16, contexts), (np.uint32, contexts), (np.uint32, held), (np.uint32, held), (np.uint32, held), (np.int64, held)):
         out.append(np.frombuffer(blob, kind, int(n), at))
         at += out[-1].nbytes
-    return tuple(out)
+    return *out, zstandard.ZstdDecompressor().decompress(blob[at:])
 
 
 def _named_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
@@ -261,9 +264,8 @@ def _resolved(length: int):
         held = []
         for batch in batches:
             for r in batch.to_pylist():
-                size, hashes, context, row, start, ids, text = _unpacked(r["blob"])
+                size, hashes, context, row, start, ids, raw = _unpacked(r["blob"])
                 ends = np.cumsum(size.astype(np.int64))
-                raw = text.tobytes()
                 before = len(number)
                 own = np.fromiter((number.setdefault(raw[e - n : e], len(number)) for e, n in zip(ends.tolist(), size.tolist(), strict=True)), np.int64, len(size))
                 fresh = own >= before
@@ -285,9 +287,13 @@ def _resolved(length: int):
             which = np.repeat(np.arange(len(context)), many)
             k = np.arange(offset[-1]) - offset[which]
             earlier = smallest[begin[context][which] + k] < ids[which]
-            if earlier.any():
-                w = which[earlier]
-                out.append((block, 2, part, np.stack([row[w], place[w] + k[earlier].astype(np.uint32)]).astype(np.uint32).tobytes()))
+            # runs of strings that start next to each other go back as their first and their number
+            opens = earlier & np.concatenate(([True], ~earlier[:-1] | (which[1:] != which[:-1])))
+            closes = earlier & np.concatenate((~earlier[1:] | (which[1:] != which[:-1]), [True]))
+            if opens.any():
+                w, first, last = which[opens], k[opens], k[closes]
+                runs = np.stack([row[w], place[w] + first.astype(np.uint32), (last - first + 1).astype(np.uint32)]).astype(np.uint32)
+                out.append((block, 2, part, runs.tobytes()))
         yield from _side_table(out).to_batches()
 
     return run
@@ -297,13 +303,13 @@ def _removed(length: int):
     """Step 5: spans of every changed text, and the bytes that remain."""
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-        hits = [np.frombuffer(r["blob"], np.uint32).reshape(2, -1) for r in side.filter(pa.compute.equal(side["kind"], 2)).to_pylist()]
+        hits = [np.frombuffer(r["blob"], np.uint32).reshape(3, -1) for r in side.filter(pa.compute.equal(side["kind"], 2)).to_pylist()]
         out: dict[str, list] = {"_key": [], "starts": [], "lengths": [], "kept": []}
         if hits:
             data, at, _, keys = _texts_of(docs, side)
-            row, start = np.concatenate(hits, axis=1).astype(np.int64)
-            edge = np.bincount(at[row] + start, minlength=len(data) + 1)
-            edge[length:] -= edge[:-length].copy() if len(edge) > length else 0
+            row, start, strings = np.concatenate(hits, axis=1).astype(np.int64)
+            first = at[row] + start
+            edge = np.bincount(first, minlength=len(data) + 1) - np.bincount(first + strings + length - 1, minlength=len(data) + 1)
             covered = np.cumsum(edge)[: len(data)] > 0
             for r in np.unique(row).tolist():
                 own, text = covered[at[r] : at[r + 1]], data[at[r] : at[r + 1]]
