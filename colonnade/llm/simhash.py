@@ -194,19 +194,6 @@ def simhash_components(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "copy", "fp", "root", "component_id")
 
 
-def near_distinct(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (nulls last); one of repeated rows.
-
-    The columns of ``docs`` stay as they are.
-    """
-    last = F.lit(2**63 - 1)
-    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), last).alias("_d"), F.col("copy").alias("_c"))
-    chosen = simhash_components(docs, text).groupBy("root").agg(F.min(place).alias("p")).select("p._d", "p._c")
-    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), last), "_c": F.xxhash64(filled(text))})
-    # both steps need the same rows together, so there is one shuffle
-    return rows.join(chosen, ["_d", "_c"], "left_semi").dropDuplicates(["_d", "_c"]).select(*docs.columns)
-
-
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
