@@ -9,12 +9,14 @@ Burrows-Wheeler transform is made for.
 1. Copies of one text are one text, with the smallest doc_id; other rows of it need no further look.
 2. Texts are dealt over blocks once; the later steps read the same shuffle again.
 3. Anchors meet by hash, five bytes each; a bit a piece goes back to the blocks: does another text have it.
-4. Contexts of shared anchors meet by the same hash.  Equal contexts are stored once; the transform of the
+   One in 64 contexts, by content, is counted too; it shows the anchors with more contexts than one transform takes.
+4. Contexts of shared anchors meet by the same hash; those of the anchors found to be hot are cut into single
+   strings, which meet by their own hash, spread over parts of their own.  Equal contexts are stored once; the transform of the
    collection, with common prefixes of 50 or more, names equal strings, and every string its smallest doc_id.
 5. Strings that start in an earlier document go back to the blocks, where the bytes are removed.
 
 Steps 3 and 4 spread a passage that many documents share over as many keys as it has anchors, and a
-collection that has grown too large for one transform is divided by anchor, then by string.
+collection that has grown too large for one transform is divided by anchor, then by the hash of the string.
 """
 
 from __future__ import annotations
@@ -39,13 +41,16 @@ PART = 5 << 20
 CONTEXTS = 20_000
 #: Strings whose anchors a task looks for at a time.
 STRIDE = 1 << 18
+#: One context in ``SAMPLE`` is counted, and parts for strings of hot anchors for each other part.
+SAMPLE = 64
+SPREAD = 8
 
 _LAST = np.iinfo(np.int64).max  # stands for a null doc_id: later than all others
 _SIDE = "_block long, kind int, part long, blob binary"
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """First string, number of strings, and hash of every anchor of the texts, in the order of the bytes."""
+def anchors(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First string, number of strings, hash, and hash of the context of every anchor of the texts, in the order of the bytes."""
     piece = length // 2 + 1
     width = length - piece + 1
     power, inverse = _tables(STRIDE + length + 1)
@@ -72,7 +77,8 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.
             valid[max(0, end - length + 1 - low) : max(0, end - low)] = False
         change = np.flatnonzero(valid & np.concatenate(([True], (spot[1:] != spot[:-1]) | ~valid[:-1])))
         stop = np.flatnonzero(valid & np.concatenate(((spot[1:] != spot[:-1]) | ~valid[1:], [True])))
-        yield low + change, stop - change + 1, mixed(h[spot[change]])
+        context = (total[stop + length] - total[change]) * inverse[change] + (stop - change).astype(np.uint64)
+        yield low + change, stop - change + 1, mixed(h[spot[change]]), mixed(context)
 
 
 def _texts_of(docs: pa.Table, side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -90,16 +96,16 @@ def _texts_of(docs: pa.Table, side: pa.Table) -> tuple[np.ndarray, np.ndarray, n
 def _pairs(data: np.ndarray, at: np.ndarray, length: int, buckets: int) -> dict[str, np.ndarray]:
     """Anchors of a block with their part, text and pair number; a pair is a text and an anchor's hash."""
     found = list(anchors(data, at, length))
-    start, strings, h = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-    h = h.astype(np.uint64)
+    start, strings, h, content = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
+    h, content = h.astype(np.uint64), content.astype(np.uint64)
     row = np.searchsorted(at, start, side="right") - 1
     part = (h >> np.uint64(44)) % np.uint64(buckets)
     order = np.lexsort((start, row, h & np.uint64((1 << 40) - 1), part))
-    start, strings, h, row, part = start[order], strings[order], h[order], row[order], part[order]
+    start, strings, h, row, part, content = start[order], strings[order], h[order], row[order], part[order], content[order]
     new = np.ones(len(h), bool)
     short = h & np.uint64((1 << 40) - 1)
     new[1:] = (short[1:] != short[:-1]) | (row[1:] != row[:-1]) | (part[1:] != part[:-1])
-    return {"start": start, "strings": strings, "h": short, "row": row, "part": part.astype(np.int64), "pair": np.cumsum(new) - 1, "new": new}
+    return {"start": start, "strings": strings, "h": short, "row": row, "part": part.astype(np.int64), "pair": np.cumsum(new) - 1, "new": new, "content": content}
 
 
 def _groups(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -118,35 +124,60 @@ def _block_of(*tables: pa.Table) -> int:
 
 
 def _announce(length: int, buckets: int):
-    """Step 3, from the blocks: the hashes of each part, five bytes a pair of text and anchor."""
+    """Step 3, from the blocks: the hashes of each part, five bytes a pair of text and anchor; anchor and content of the counted contexts."""
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         data, at, _, _ = _texts_of(docs, side)
         found = _pairs(data, at, length, buckets)
         h, part = found["h"][found["new"]], found["part"][found["new"]]
         block = _block_of(docs, side)
+        counted = np.flatnonzero(found["content"] % np.uint64(SAMPLE) == 0)
         return _side_table(
             [(block, 1, p, (h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (h[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()) for p, a, b in _groups(part)]
+            + [(block, 3, p, np.unique(np.stack([found["h"][counted[a:b]], found["content"][counted[a:b]]], axis=1), axis=0).tobytes()) for p, a, b in _groups(found["part"][counted])]
         )
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, in a part: for each block, which of its hashes another text has too."""
-    rows = [r for b in batches for r in b.to_pylist()]
-    sizes = [len(r["blob"]) // 5 for r in rows]
-    h = np.concatenate([np.frombuffer(r["blob"], np.uint32, n).astype(np.uint64) | np.frombuffer(r["blob"], np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32) for r, n in zip(rows, sizes, strict=True)])
-    ranked = np.sort(h)
-    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-    spot = np.minimum(np.searchsorted(twice, h), max(0, len(twice) - 1))
-    hit = twice[spot] == h if len(twice) else np.zeros(len(h), bool)
-    out, at = [], 0
-    for r, n in zip(rows, sizes, strict=True):
-        if hit[at : at + n].any():
-            out.append((r["_block"], 1, r["part"], np.packbits(hit[at : at + n]).tobytes()))
-        at += n
-    yield from _side_table(out).to_batches()
+def _shared(contexts: int):
+    """Step 3, in a part: for each block, which of its hashes another text has too, and then, if any, which are hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [r for b in batches for r in b.to_pylist()]
+        rows = [r for r in every if r["kind"] == 1]
+        sizes = [len(r["blob"]) // 5 for r in rows]
+        h = np.concatenate([np.frombuffer(r["blob"], np.uint32, n).astype(np.uint64) | np.frombuffer(r["blob"], np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32) for r, n in zip(rows, sizes, strict=True)])
+        ranked = np.sort(h)
+        twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+        spot = np.minimum(np.searchsorted(twice, h), max(0, len(twice) - 1))
+        hit = twice[spot] == h if len(twice) else np.zeros(len(h), bool)
+        counted = [np.frombuffer(r["blob"], np.uint64).reshape(-1, 2) for r in every if r["kind"] == 3]
+        hot = np.zeros(len(h), bool)
+        if counted:
+            anchor, many = np.unique(np.unique(np.concatenate(counted), axis=0)[:, 0], return_counts=True)
+            hot = hit & np.isin(h, anchor[many * SAMPLE > contexts])
+        out, at = [], 0
+        for r, n in zip(rows, sizes, strict=True):
+            own, burning = hit[at : at + n], hot[at : at + n]
+            if own.any():
+                out.append((r["_block"], 1, r["part"], np.packbits(own).tobytes() + (np.packbits(burning).tobytes() if burning.any() else b"")))
+            at += n
+        yield from _side_table(out).to_batches()
+
+    return run
+
+
+def _string_hashes(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the string at every start."""
+    power, out = _tables(length)[0][:length], np.empty(len(start), np.uint64)
+    for k in range(0, len(start), 1 << 15):
+        some = start[k : k + (1 << 15)]
+        total = np.zeros(len(some), np.uint64)
+        for j in range(length):
+            total += (data[some + j].astype(np.uint64) + np.uint64(1)) * power[j]
+        out[k : k + (1 << 15)] = mixed(total)
+    return out
 
 
 def _contexts(length: int, buckets: int):
@@ -161,26 +192,22 @@ def _contexts(length: int, buckets: int):
         found = _pairs(data, at, length, buckets)
         packer = zstandard.ZstdCompressor(level=3)
         rows = []
-        for p, a, b in _groups(found["part"]):
-            if p not in bits:
-                continue
-            pair = found["pair"][a:b] - found["pair"][a]
-            own = a + np.flatnonzero(np.unpackbits(np.frombuffer(bits[p], np.uint8))[pair])
-            start, size, row = found["start"][own], found["strings"][own] + length - 1, found["row"][own]
+
+        def pack(part: int, start: np.ndarray, size: np.ndarray, hashes: np.ndarray, row: np.ndarray) -> None:
             number: dict[bytes, int] = {}
             anchor: list[int] = []
-            context = np.empty(len(own), np.int64)
-            for k, (s, n, h) in enumerate(zip(start.tolist(), size.tolist(), found["h"][own].tolist(), strict=True)):
+            context = np.empty(len(start), np.int64)
+            for k, (s, n, h) in enumerate(zip(start.tolist(), size.tolist(), hashes.tolist(), strict=True)):
                 text = data[s : s + n].tobytes()
                 context[k] = number.setdefault(text, len(number))
                 if len(anchor) < len(number):
                     anchor.append(h & 0xFFFFFFFF)
-            head = np.array([len(number), len(own)], np.int64)
+            head = np.array([len(number), len(start)], np.int64)
             rows.append(
                 (
                     block,
                     2,
-                    p,
+                    part,
                     b"".join(
                         (
                             head.tobytes(),
@@ -195,6 +222,32 @@ def _contexts(length: int, buckets: int):
                     ),
                 )
             )
+
+        burning = []
+        for p, a, b in _groups(found["part"]):
+            if p not in bits:
+                continue
+            pair = found["pair"][a:b] - found["pair"][a]
+            width = -(-(int(pair[-1]) + 1) // 8)
+            flags = np.frombuffer(bits[p], np.uint8)
+            own = a + np.flatnonzero(np.unpackbits(flags[:width])[pair])
+            if len(flags) > width:
+                hot = np.unpackbits(flags[width:])[pair[own - a]] == 1
+                burning.append(own[hot])
+                own = own[~hot]
+            if len(own):
+                pack(p, found["start"][own], found["strings"][own] + length - 1, found["h"][own], found["row"][own])
+        if burning:
+            own = np.concatenate(burning)
+            many = found["strings"][own]
+            start = np.repeat(found["start"][own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            row = np.repeat(found["row"][own], many)
+            salt = _string_hashes(data, start, length)
+            part = (buckets + ((salt >> np.uint64(32)) % np.uint64(SPREAD * buckets)).astype(np.int64)).astype(np.int64)
+            order = np.lexsort((start, part))
+            start, row, salt, part = start[order], row[order], salt[order], part[order]
+            for p, a, b in _groups(part):
+                pack(p, start[a:b], np.full(b - a, length), salt[a:b], row[a:b])
         return _side_table(rows)
 
     return run
@@ -209,7 +262,7 @@ def _unpacked(blob: bytes) -> tuple:
     return *out, zstandard.ZstdDecompressor().decompress(blob[at:])
 
 
-def _named_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+def _named_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, least: np.ndarray, length: int, most: int = CONTEXTS) -> np.ndarray:
     """The smallest doc_id of every string of every context, context by context."""
     begin = np.concatenate(([0], np.cumsum(size - length + 1)))
     out = np.empty(int(begin[-1]), np.int64)
@@ -224,38 +277,35 @@ def _named_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor
         out[np.arange(at[-1]) + np.repeat(begin[which] - at[:-1], many)] = smallest[numbers]
 
     def single(which: np.ndarray) -> None:
-        """Contexts of one anchor that are too many for one transform: a collection of single strings, by content."""
-        seen: dict[bytes, list[int]] = {}
-        for i in which.tolist():
-            for k in range(int(size[i]) - length + 1):
-                seen.setdefault(data[start[i] + k : start[i] + k + length].tobytes(), []).append(begin[i] + k)
-        texts = list(seen)
-        of = np.concatenate([np.full(len(v), i) for i, v in enumerate(seen.values())])
-        spot = np.concatenate([np.array(v) for v in seen.values()])
-        holder = np.searchsorted(begin, spot, side="right") - 1
-        for low in range(0, len(texts), CONTEXTS):  # distinct texts share no string, so any division will do
-            some = texts[low : low + CONTEXTS]
-            numbers, _ = suffix_groups(np.frombuffer(b"".join(some), np.uint8), np.arange(len(some)) * length, np.full(len(some), length), length)
-            own = np.flatnonzero((of >= low) & (of < low + len(some)))
-            smallest = np.full(int(numbers.max()) + 1, _LAST)
-            np.minimum.at(smallest, numbers[of[own] - low], least[holder[own]])
-            out[spot[own]] = smallest[numbers[of[own] - low]]
-
-    divisions = -(-len(start) // CONTEXTS)
+        """Contexts of one anchor that are too many for one transform: collections of single strings, by their hash."""
+        many = size[which].astype(np.int64) - length + 1
+        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        spot, place, smallest = np.repeat(begin[which], many) + k, np.repeat(start[which], many) + k, np.repeat(least[which], many)
+        share = _string_hashes(data, place, length) % np.uint64(-(-len(place) // most))
+        order = np.argsort(share)
+        for _, a, b in _groups(share[order].astype(np.int64)):
+            own = order[a:b]
+            joined = data[place[own][:, None] + np.arange(length)].ravel()
+            numbers, _ = suffix_groups(joined, np.arange(len(own)) * length, np.full(len(own), length), length)
+            first = np.full(int(numbers.max()) + 1, _LAST)
+            np.minimum.at(first, numbers, smallest[own])
+            out[spot[own]] = first[numbers]
+
+    divisions = -(-len(start) // most)
     share = mixed(anchor.astype(np.uint64)) % np.uint64(max(1, divisions))
     for d in range(divisions):
         which = np.flatnonzero(share == d)
-        if len(which) > 4 * CONTEXTS:
+        if len(which) > 4 * most:
             kinds, inverse, many = np.unique(anchor[which], return_inverse=True, return_counts=True)
-            for k in np.flatnonzero(many > CONTEXTS):
+            for k in np.flatnonzero(many > most):
                 single(which[inverse == k])
-            which = which[many[inverse] <= CONTEXTS]
+            which = which[many[inverse] <= most]
         if len(which):
             collection(which)
     return out
 
 
-def _resolved(length: int):
+def _resolved(length: int, contexts: int):
     """Step 4, in a part: the strings of each text that start in an earlier document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +328,7 @@ def _resolved(length: int):
         least = np.full(len(size), _LAST)
         for _, _, context, _, _, ids in held:
             np.minimum.at(least, context, ids)
-        smallest = _named_strings(data, start, size, np.concatenate(anchor), least, length)
+        smallest = _named_strings(data, start, size, np.concatenate(anchor), least, length, contexts)
         begin = np.concatenate(([0], np.cumsum(size - length + 1)))
         out = []
         for block, part, context, row, place, ids in held:
@@ -362,9 +412,9 @@ def changed_texts(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
         return texts.groupBy("_block").cogroup(side.groupBy("_block")).applyInArrow(step, schema)
 
     announced = visit(first_side, _announce(length, buckets), _SIDE)
-    shared = announced.groupBy("part").applyInArrow(_shared, _SIDE)
+    shared = announced.groupBy("part").applyInArrow(_shared(CONTEXTS), _SIDE)
     contexts = visit(first_side.union(shared), _contexts(length, buckets), _SIDE)
-    resolved = contexts.groupBy("part").applyInArrow(_resolved(length), _SIDE)
+    resolved = contexts.groupBy("part").applyInArrow(_resolved(length, CONTEXTS), _SIDE)
     changed = visit(first_side.union(resolved), _removed(length), "_key string, starts array<long>, lengths array<long>, kept binary")
     return firsts, changed
 
