@@ -83,12 +83,19 @@ def _(spark, sf):
     "SELECT l_suppkey, max(l_extendedprice) - min(l_extendedprice) AS spread, count(*) AS lines FROM lineitem GROUP BY l_suppkey",
 )
 def _(spark, sf):
+    def shrink(rows: pd.DataFrame) -> pd.DataFrame:
+        price = rows.groupby("l_suppkey", dropna=False).l_extendedprice
+        return price.agg(low="min", high="max", n="size").reset_index()
+
+    def combine(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby("l_suppkey", dropna=False).agg(low=("low", "min"), high=("high", "max"), n=("n", "sum")).reset_index()
+
     def spread(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = rows.l_extendedprice.min(), rows.l_extendedprice.max()
-        return pd.DataFrame({"l_suppkey": rows.l_suppkey.iloc[:1], "spread": high - low, "lines": len(rows)})
+        return pd.DataFrame({"l_suppkey": rows.l_suppkey.iloc[:1], "spread": rows.high.max() - rows.low.min(), "lines": rows.n.sum()})
 
     lines = table(spark, sf, "lineitem").select("l_suppkey", "l_extendedprice")
-    return user_functions.apply_grouped(lines, ["l_suppkey"], spread, "l_suppkey long, spread double, lines long")
+    partial = "l_suppkey long, low double, high double, n long"
+    return user_functions.apply_combined(lines, ["l_suppkey"], shrink, partial, spread, "l_suppkey long, spread double, lines long", combine)
 
 
 @query(
