@@ -8,6 +8,7 @@ from colonnade.llm.language import op5_hyperdimensional_language
 from colonnade.llm.licenses import op4_patience_licenses
 from colonnade.llm.line_rules import op9_line_frequency_rules
 from colonnade.llm.packing import op8_conflict_best_fit
+from colonnade.llm.periodic_runs import op12_periodic_runs
 from colonnade.llm.quality import op3_random_indexing_quality
 from colonnade.llm.sharding import op10_jump_shards
 from colonnade.llm.simhash import op6_simhash_components
@@ -27,6 +28,7 @@ QUERIES = {
         op8_conflict_best_fit,
         op9_line_frequency_rules,
         op10_jump_shards,
+        op12_periodic_runs,
     )
 }
 ORACLES = {
