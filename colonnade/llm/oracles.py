@@ -65,3 +65,24 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shar
   row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
 FROM rows_
 """
+
+#: Links in their plain spelling: one canonical link or refresh a page, absolute, double quotes, no entities.
+URL_VERDICTS = r"""
+WITH RECURSIVE rules(name, verdict, host, path) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+named AS (SELECT url, regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1) AS target FROM pages
+  UNION ALL SELECT url, regexp_extract(html, '<meta http-equiv="refresh" content="[^";]*; *url=([^"]*)"', 1) FROM pages),
+links AS (SELECT regexp_replace(url, '#.*$', '', 's') AS a, regexp_replace(target, '#.*$', '', 's') AS b FROM named WHERE contains(url, '://') AND contains(target, '://')),
+reach(a, b) AS (
+  SELECT a, a FROM (SELECT a FROM links UNION SELECT b FROM links)
+  UNION
+  SELECT reach.a, both_ways.b FROM reach JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) AS both_ways ON reach.b = both_ways.a
+),
+urls AS (SELECT url FROM pages UNION SELECT b FROM reach),
+parts AS (SELECT url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM urls),
+ruled AS (SELECT p.url, any_value(p.host) AS host, any_value(p.path) AS path, arg_max(r.name, length(r.name)) AS name, arg_max(r.verdict, length(r.name)) AS verdict
+  FROM parts AS p LEFT JOIN rules AS r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.url),
+classes AS (SELECT reach.a, count(*) FILTER (verdict = 'block') AS blocks, count(*) FILTER (verdict = 'allow') AS allows FROM reach JOIN ruled ON reach.b = ruled.url GROUP BY reach.a)
+SELECT page_id, ruled.host, ruled.path, ruled.name AS rule, coalesce(ruled.verdict, CASE WHEN blocks > 0 AND allows = 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages JOIN ruled ON pages.url IS NOT DISTINCT FROM ruled.url LEFT JOIN classes ON regexp_replace(pages.url, '#.*$', '', 's') = classes.a
+"""

@@ -14,6 +14,7 @@ from colonnade.llm.sharding import op10_jump_shards
 from colonnade.llm.simhash import op6_simhash_components
 from colonnade.llm.suffix_dedup import op1_repeated_strings
 from colonnade.llm.tool_calls import op7_linked_tool_calls
+from colonnade.llm.url_filters import op13_redirect_equivalence
 
 QUERIES = {
     f.__name__: f
@@ -29,10 +30,12 @@ QUERIES = {
         op9_line_frequency_rules,
         op10_jump_shards,
         op12_periodic_runs,
+        op13_redirect_equivalence,
     )
 }
 ORACLES = {
     op1_repeated_strings.__name__: oracles.REPEATED_STRINGS,
     op9_line_frequency_rules.__name__: oracles.LINE_RULES,
     op10_jump_shards.__name__: oracles.JUMP_SHARDS,
+    op13_redirect_equivalence.__name__: oracles.URL_VERDICTS,
 }
