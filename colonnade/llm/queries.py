@@ -15,6 +15,7 @@ from colonnade.llm.simhash import op6_simhash_components
 from colonnade.llm.suffix_dedup import op1_repeated_strings
 from colonnade.llm.tool_calls import op7_linked_tool_calls
 from colonnade.llm.url_filters import op13_redirect_equivalence
+from colonnade.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     f.__name__: f
@@ -29,6 +30,7 @@ QUERIES = {
         op8_conflict_best_fit,
         op9_line_frequency_rules,
         op10_jump_shards,
+        op11_embedding_whitening,
         op12_periodic_runs,
         op13_redirect_equivalence,
     )
