@@ -94,13 +94,14 @@ def line_frequency_rules(
     """Counts, the base rules, and the verdict on every document.
 
     Lines are normalised (one space between words, none around, lower case) and hashed.  A line is
-    boilerplate on a host if more than ``limit`` distinct documents of the host hold it; copies of one text
-    are one document here.  Boilerplate lines are removed, and a document that keeps less than
+    boilerplate on a host if more than ``limit`` distinct documents of the host hold it, whether or not they
+    are copies of each other.  Boilerplate lines are removed, and a document that keeps less than
     ``least_left`` of its words is rejected, as is one that fails the base rules (under 10 words, or over a
     fifth of its words in repeated five-word windows).
 
-    A null text is an empty one and fails the base rules.  Rows with a null host form a host.  Repeated
-    rows get equal answers.  Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    A document is a doc_id with a text: repeated rows are one document, and rows with a null doc_id one for
+    each text.  A null text is an empty one and fails the base rules.  Rows with a null host form a host.
+    Repeated rows get equal answers.  Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_line_words_removed, kept.
     """
     rows = docs.select(F.col("doc_id"), F.col(host).cast("string").alias("_host"), filled(text).alias("_text"))
@@ -118,23 +119,23 @@ def line_frequency_rules(
         .where(F.col("_line") != "")
         .select("_host", "_copy", F.xxhash64("_line").alias("_hash"), F.size(F.split("_line", " ")).cast("long").alias("_words"))
         .groupBy("_host", "_hash", "_copy")
-        .agg(F.sum("_words").alias("_words"))
-    )
-    frequent = lines.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > limit)
-    hit = lines.alias("a").join(
-        frequent.alias("b"), F.col("a._host").eqNullSafe(F.col("b._host")) & (F.col("a._hash") == F.col("b._hash")), "left_semi"
-    )
-    removed = hit.groupBy("_host", "_copy").agg(F.sum("_words").alias("_removed"))
-    copies = rows.groupBy("_host", "_copy").agg(F.count(F.lit(1)).alias("_copies"))  # the sums above hold each copy's words
-    same = lambda a, b: F.col(f"{a}._host").eqNullSafe(F.col(f"{b}._host")) & (F.col(f"{a}._copy") == F.col(f"{b}._copy"))
-    per_text = (
-        removed.alias("r").join(copies.alias("c"), same("r", "c")).select("r._host", "r._copy", (F.col("_removed") / F.col("_copies")).cast("long").alias("_gone"))
+        .agg(F.sum("_words").alias("_words"), F.count(F.lit(1)).alias("_lines"))
     )
+    copies = rows.groupBy("_host", "_copy", "doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    copies = copies.groupBy("_host", "_copy").agg(F.sum("_rows").alias("_rows"), F.count(F.lit(1)).alias("_docs"))
+    on = lambda a, b, key: F.col(f"{a}._host").eqNullSafe(F.col(f"{b}._host")) & (F.col(f"{a}.{key}") == F.col(f"{b}.{key}"))
+    # no line is in more documents than it has occurrences: only those with enough are looked at again
+    often = lines.groupBy("_host", "_hash").agg(F.sum("_lines").alias("_lines")).where(F.col("_lines") > limit)
+    held = lines.alias("a").join(often.alias("b"), on("a", "b", "_hash"), "left_semi").alias("h").join(copies.alias("c"), on("h", "c", "_copy"))
+    held = held.select("h._host", "h._hash", "h._copy", "c._docs", (F.col("h._words") / F.col("c._rows")).cast("long").alias("_words"))  # of one copy
+    frequent = held.groupBy("_host", "_hash").agg(F.sum("_docs").alias("_docs")).where(F.col("_docs") > limit)
+    removed = held.alias("a").join(frequent.alias("b"), on("a", "b", "_hash"), "left_semi")
+    per_text = removed.groupBy("_host", "_copy").agg(F.sum("_words").alias("_gone"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     gone = F.coalesce(F.col("_gone"), F.lit(0))
     return (
         base.alias("d")
-        .join(per_text.alias("p"), same("d", "p"), "left")
+        .join(per_text.alias("p"), on("d", "p", "_copy"), "left")
         .select(
             *(f"d.{c}" for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
             failed.alias("base_failed"),

@@ -30,7 +30,7 @@ repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnes
 lines AS (SELECT doc_id, source, t, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
   FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{_WORD}')),
 copies AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-frequent AS (SELECT source, norm FROM lines GROUP BY ALL HAVING count(DISTINCT t) > 100),
+frequent AS (SELECT source, norm FROM lines GROUP BY ALL HAVING count(DISTINCT (doc_id, t)) > 100),
 gone AS (SELECT doc_id, sum(len(string_split(norm, ' '))) AS n FROM lines JOIN frequent USING (source, norm) GROUP BY doc_id),
 counted AS (
   SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,

@@ -8,15 +8,21 @@ Burrows-Wheeler transform is made for.
 
 1. Copies of one text are one text, with the smallest doc_id; other rows of it need no further look.
 2. Texts are dealt over blocks once; the later steps read the same shuffle again.
-3. Anchors meet by hash, five bytes each; a bit a piece goes back to the blocks: does another text have it.
+3. Anchors meet by hash, five bytes each; a block sends an anchor once, however many of its texts have it, and
+   whether it is several.  A bit an anchor goes back to the blocks: does another text have it.
    One in 64 contexts, by content, is counted too; it shows the anchors with more contexts than one transform takes.
 4. Contexts of shared anchors meet by the same hash; those of the anchors found to be hot are cut into single
-   strings, which meet by their own hash, spread over parts of their own.  Equal contexts are stored once; the transform of the
-   collection, with common prefixes of 50 or more, names equal strings, and every string its smallest doc_id.
-5. Strings that start in an earlier document go back to the blocks, where the bytes are removed.
-
-Steps 3 and 4 spread a passage that many documents share over as many keys as it has anchors, and a
-collection that has grown too large for one transform is divided by anchor, then by the hash of the string.
+   strings, which meet by their own hash, spread over parts of their own.  A block sends a context once, with
+   the smallest doc_id that has it there; equal contexts are stored once; the transform of the collection, with
+   common prefixes of 50 or more, names equal strings, and every string its smallest doc_id.
+5. Strings that start in a document of another block, earlier than all of this one, go back to the blocks as runs.
+   Each block adds the strings of its own later documents with the same context and removes the bytes.
+
+So one line in a third of all documents is one row of each block in the part where it meets, and its
+occurrences stay with their blocks.  Steps 3 and 4 spread a passage that many documents share over as many
+keys as it has anchors, and a collection that has grown too large for one transform is divided by anchor, then
+by the hash of the string.  The transform decides which strings of shared anchors are equal; that strings of
+unshared anchors have no equal is decided by the anchors' hashes alone.
 """
 
 from __future__ import annotations
@@ -24,11 +30,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colonnade.llm.arrays import _tables, mixed, text_bytes
 from colonnade.llm.collection_bwt import suffix_groups
@@ -94,7 +101,7 @@ def _texts_of(docs: pa.Table, side: pa.Table) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _pairs(data: np.ndarray, at: np.ndarray, length: int, buckets: int) -> dict[str, np.ndarray]:
-    """Anchors of a block with their part, text and pair number; a pair is a text and an anchor's hash."""
+    """Anchors of a block by part and hash: places, texts, and the number that an anchor's hash has in the block."""
     found = list(anchors(data, at, length))
     start, strings, h, content = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
     h, content = h.astype(np.uint64), content.astype(np.uint64)
@@ -104,8 +111,11 @@ def _pairs(data: np.ndarray, at: np.ndarray, length: int, buckets: int) -> dict[
     start, strings, h, row, part, content = start[order], strings[order], h[order], row[order], part[order], content[order]
     new = np.ones(len(h), bool)
     short = h & np.uint64((1 << 40) - 1)
-    new[1:] = (short[1:] != short[:-1]) | (row[1:] != row[:-1]) | (part[1:] != part[:-1])
-    return {"start": start, "strings": strings, "h": short, "row": row, "part": part.astype(np.int64), "pair": np.cumsum(new) - 1, "new": new, "content": content}
+    new[1:] = (short[1:] != short[:-1]) | (part[1:] != part[:-1])
+    several = np.zeros(int(new.sum()), bool)  # the anchor is in more than one text
+    number = np.cumsum(new) - 1
+    several[number[1:][~new[1:] & (row[1:] != row[:-1])]] = True
+    return {"start": start, "strings": strings, "h": short, "row": row, "part": part.astype(np.int64), "number": number, "new": new, "several": several, "content": content}
 
 
 def _groups(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -124,7 +134,7 @@ def _block_of(*tables: pa.Table) -> int:
 
 
 def _announce(length: int, buckets: int):
-    """Step 3, from the blocks: the hashes of each part, five bytes a pair of text and anchor; anchor and content of the counted contexts."""
+    """Step 3, from the blocks: the anchors of each part, five bytes each, and which are in several texts; anchor and content of the counted contexts."""
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         data, at, _, _ = _texts_of(docs, side)
@@ -133,7 +143,10 @@ def _announce(length: int, buckets: int):
         block = _block_of(docs, side)
         counted = np.flatnonzero(found["content"] % np.uint64(SAMPLE) == 0)
         return _side_table(
-            [(block, 1, p, (h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (h[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()) for p, a, b in _groups(part)]
+            [
+                (block, 1, p, np.int64(b - a).tobytes() + (h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (h[a:b] >> np.uint64(32)).astype(np.uint8).tobytes() + np.packbits(found["several"][a:b]).tobytes())
+                for p, a, b in _groups(part)
+            ]
             + [(block, 3, p, np.unique(np.stack([found["h"][counted[a:b]], found["content"][counted[a:b]]], axis=1), axis=0).tobytes()) for p, a, b in _groups(found["part"][counted])]
         )
 
@@ -146,10 +159,11 @@ def _shared(contexts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = [r for b in batches for r in b.to_pylist()]
         rows = [r for r in every if r["kind"] == 1]
-        sizes = [len(r["blob"]) // 5 for r in rows]
-        h = np.concatenate([np.frombuffer(r["blob"], np.uint32, n).astype(np.uint64) | np.frombuffer(r["blob"], np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32) for r, n in zip(rows, sizes, strict=True)])
+        sizes = [int(np.frombuffer(r["blob"], np.int64, 1)[0]) for r in rows]
+        h = np.concatenate([np.frombuffer(r["blob"], np.uint32, n, 8).astype(np.uint64) | np.frombuffer(r["blob"], np.uint8, n, 8 + 4 * n).astype(np.uint64) << np.uint64(32) for r, n in zip(rows, sizes, strict=True)])
+        several = np.concatenate([np.unpackbits(np.frombuffer(r["blob"], np.uint8, -1, 8 + 5 * n), count=n) for r, n in zip(rows, sizes, strict=True)])
         ranked = np.sort(h)
-        twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+        twice = np.unique(np.concatenate((ranked[1:][ranked[1:] == ranked[:-1]], h[several == 1])))
         spot = np.minimum(np.searchsorted(twice, h), max(0, len(twice) - 1))
         hit = twice[spot] == h if len(twice) else np.zeros(len(h), bool)
         counted = [np.frombuffer(r["blob"], np.uint64).reshape(-1, 2) for r in every if r["kind"] == 3]
@@ -181,7 +195,11 @@ def _string_hashes(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarr
 
 
 def _contexts(length: int, buckets: int):
-    """Step 4, from the blocks: contexts of shared anchors, each once, with the texts and places that hold it."""
+    """Step 4, from the blocks: contexts of shared anchors, each once, with its smallest doc_id.
+
+    Its other texts start none of its strings first; those strings, and the places of the first text, stay
+    with the block: they pass through the shuffle in rows of their own, dealt evenly.
+    """
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         block = _block_of(docs, side)
@@ -202,37 +220,29 @@ def _contexts(length: int, buckets: int):
                 context[k] = number.setdefault(text, len(number))
                 if len(anchor) < len(number):
                     anchor.append(h & 0xFFFFFFFF)
-            head = np.array([len(number), len(start)], np.int64)
-            rows.append(
-                (
-                    block,
-                    2,
-                    part,
-                    b"".join(
-                        (
-                            head.tobytes(),
-                            np.fromiter(map(len, number), np.uint16, len(number)).tobytes(),
-                            np.array(anchor, np.uint32).tobytes(),
-                            context.astype(np.uint32).tobytes(),
-                            row.astype(np.uint32).tobytes(),
-                            (start - at[row]).astype(np.uint32).tobytes(),
-                            ids[row].astype(np.int64).tobytes(),
-                            packer.compress(b"".join(number)),
-                        )
-                    ),
-                )
-            )
+            least = np.full(len(number), _LAST)
+            np.minimum.at(least, context, ids[row])
+            later = ids[row] > least[context]
+            place, strings = start - at[row], size - length + 1
+            sent = (np.array([len(number)], np.int64), np.fromiter(map(len, number), np.uint16, len(number)), np.array(anchor, np.uint32), least)
+            rows.append((block, 2, part, b"".join([*(x.tobytes() for x in sent), packer.compress(b"".join(number))])))
+            rest = mixed(np.array([block * 0x9E3779B1 + part], np.uint64))[0] % np.uint64(buckets)
+            held = np.stack([context[~later], row[~later], place[~later]]).astype(np.uint32)
+            rows.append((block, 4, int(rest), np.int64(part).tobytes() + packer.compress(held.tobytes())))
+            if later.any():
+                gone = np.stack([row[later], place[later], strings[later]]).astype(np.uint32)
+                rows.append((block, 5, int(rest), packer.compress(gone.tobytes())))
 
         burning = []
         for p, a, b in _groups(found["part"]):
             if p not in bits:
                 continue
-            pair = found["pair"][a:b] - found["pair"][a]
-            width = -(-(int(pair[-1]) + 1) // 8)
+            number = found["number"][a:b] - found["number"][a]
+            width = -(-(int(number[-1]) + 1) // 8)
             flags = np.frombuffer(bits[p], np.uint8)
-            own = a + np.flatnonzero(np.unpackbits(flags[:width])[pair])
+            own = a + np.flatnonzero(np.unpackbits(flags[:width])[number])
             if len(flags) > width:
-                hot = np.unpackbits(flags[width:])[pair[own - a]] == 1
+                hot = np.unpackbits(flags[width:])[number[own - a]] == 1
                 burning.append(own[hot])
                 own = own[~hot]
             if len(own):
@@ -253,11 +263,12 @@ def _contexts(length: int, buckets: int):
     return run
 
 
-def _unpacked(blob: bytes) -> tuple:
-    contexts, held = np.frombuffer(blob, np.int64, 2)
-    out, at = [], 16
-    for kind, n in ((np.uint16, contexts), (np.uint32, contexts), (np.uint32, held), (np.uint32, held), (np.uint32, held), (np.int64, held)):
-        out.append(np.frombuffer(blob, kind, int(n), at))
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Sizes, anchors, smallest doc_ids and bytes of the contexts that a block sends to a part."""
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    out, at = [], 8
+    for kind in (np.uint16, np.uint32, np.int64):
+        out.append(np.frombuffer(blob, kind, n, at))
         at += out[-1].nbytes
     return *out, zstandard.ZstdDecompressor().decompress(blob[at:])
 
@@ -306,7 +317,7 @@ def _named_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor
 
 
 def _resolved(length: int, contexts: int):
-    """Step 4, in a part: the strings of each text that start in an earlier document."""
+    """Step 4, in a part: for each block the runs of strings that a document earlier than all of its own has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
@@ -314,91 +325,126 @@ def _resolved(length: int, contexts: int):
         held = []
         for batch in batches:
             for r in batch.to_pylist():
-                size, hashes, context, row, start, ids, raw = _unpacked(r["blob"])
+                if r["kind"] != 2:  # of the block alone
+                    yield from _side_table([(r["_block"], r["kind"], r["part"], r["blob"])]).to_batches()
+                    continue
+                size, hashes, first, raw = _unpacked(r["blob"])
                 ends = np.cumsum(size.astype(np.int64))
                 before = len(number)
                 own = np.fromiter((number.setdefault(raw[e - n : e], len(number)) for e, n in zip(ends.tolist(), size.tolist(), strict=True)), np.int64, len(size))
-                fresh = own >= before
-                anchor.append(hashes[fresh])
-                held.append((r["_block"], r["part"], own[context], row, start, ids))
+                anchor.append(hashes[own >= before])
+                held.append((r["_block"], r["part"], own, first))
+        if not held:
+            return
         data = np.frombuffer(b"".join(number), np.uint8)
         size = np.fromiter(map(len, number), np.int64, len(number))
         number.clear()
         start = np.cumsum(size) - size
         least = np.full(len(size), _LAST)
-        for _, _, context, _, _, ids in held:
-            np.minimum.at(least, context, ids)
+        for _, _, context, first in held:
+            np.minimum.at(least, context, first)
         smallest = _named_strings(data, start, size, np.concatenate(anchor), least, length, contexts)
         begin = np.concatenate(([0], np.cumsum(size - length + 1)))
-        out = []
-        for block, part, context, row, place, ids in held:
+        for block, part, context, first in held:
             many = (begin[context + 1] - begin[context]).astype(np.int64)
             offset = np.concatenate(([0], np.cumsum(many)))
             which = np.repeat(np.arange(len(context)), many)
             k = np.arange(offset[-1]) - offset[which]
-            earlier = smallest[begin[context][which] + k] < ids[which]
-            # runs of strings that start next to each other go back as their first and their number
+            earlier = smallest[begin[context][which] + k] < first[which]
             opens = earlier & np.concatenate(([True], ~earlier[:-1] | (which[1:] != which[:-1])))
             closes = earlier & np.concatenate((~earlier[1:] | (which[1:] != which[:-1]), [True]))
             if opens.any():
-                w, first, last = which[opens], k[opens], k[closes]
-                runs = np.stack([row[w], place[w] + first.astype(np.uint32), (last - first + 1).astype(np.uint32)]).astype(np.uint32)
-                out.append((block, 2, part, runs.tobytes()))
-        yield from _side_table(out).to_batches()
+                runs = np.stack([which[opens], k[opens], k[closes] - k[opens] + 1]).astype(np.uint32)
+                yield from _side_table([(block, 2, part, np.int64(part).tobytes() + runs.tobytes())]).to_batches()
 
     return run
 
 
+def _gone(side: pa.Table) -> np.ndarray | None:
+    """Text, place and number of all runs of strings to remove from a block's texts."""
+    unpack, rows = zstandard.ZstdDecompressor().decompress, {2: {}, 4: {}, 5: []}
+    for r in side.to_pylist():
+        if r["kind"] == 5:
+            rows[5].append(np.frombuffer(unpack(r["blob"]), np.uint32).reshape(3, -1))
+        elif r["kind"] in (2, 4):
+            blob = r["blob"][8:] if r["kind"] == 2 else unpack(r["blob"][8:])
+            rows[r["kind"]][int(np.frombuffer(r["blob"], np.int64, 1)[0])] = np.frombuffer(blob, np.uint32).reshape(3, -1)
+    out = rows[5]
+    for part, (which, k, many) in rows[2].items():
+        context, row, place = rows[4][part]
+        order = np.argsort(context, kind="stable")
+        first, last = np.searchsorted(context[order], which, "left"), np.searchsorted(context[order], which, "right")
+        times = last - first
+        run = np.repeat(np.arange(len(which)), times)
+        spot = order[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + first[run]]
+        out.append(np.stack([row[spot], place[spot] + k[run], many[run]]))
+    return np.concatenate(out, axis=1).astype(np.int64) if out else None
+
+
+def _changed(docs: pa.Table, side: pa.Table, length: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, bytes]]:
+    """Key, starts and lengths of the removed runs, and the remaining bytes of every text of a block that loses some."""
+    hits = _gone(side)
+    if hits is None:
+        return
+    data, at, _, keys = _texts_of(docs, side)
+    row, start, strings = hits
+    first = at[row] + start
+    edge = np.bincount(first, minlength=len(data) + 1) - np.bincount(first + strings + length - 1, minlength=len(data) + 1)
+    covered = np.cumsum(edge)[: len(data)] > 0
+    for r in np.unique(row).tolist():
+        own, text = covered[at[r] : at[r + 1]], data[at[r] : at[r + 1]]
+        bound = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).view(np.int8)))
+        yield keys[r], bound[0::2], bound[1::2] - bound[0::2], text[~own].tobytes()
+
+
 def _removed(length: int):
     """Step 5: spans of every changed text, and the bytes that remain."""
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-        hits = [np.frombuffer(r["blob"], np.uint32).reshape(3, -1) for r in side.filter(pa.compute.equal(side["kind"], 2)).to_pylist()]
-        out: dict[str, list] = {"_key": [], "starts": [], "lengths": [], "kept": []}
-        if hits:
-            data, at, _, keys = _texts_of(docs, side)
-            row, start, strings = np.concatenate(hits, axis=1).astype(np.int64)
-            first = at[row] + start
-            edge = np.bincount(first, minlength=len(data) + 1) - np.bincount(first + strings + length - 1, minlength=len(data) + 1)
-            covered = np.cumsum(edge)[: len(data)] > 0
-            for r in np.unique(row).tolist():
-                own, text = covered[at[r] : at[r + 1]], data[at[r] : at[r + 1]]
-                bound = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).view(np.int8)))
-                out["_key"].append(keys[r])
-                out["starts"].append(bound[0::2])
-                out["lengths"].append(bound[1::2] - bound[0::2])
-                out["kept"].append(text[~own].tobytes())
+        found = list(_changed(docs, side, length))
         longs = pa.list_(pa.int64())
-        return pa.table({k: pa.array(v, {"_key": pa.string(), "kept": pa.binary()}.get(k, longs)) for k, v in out.items()})
+        kinds = {"_key": pa.string(), "starts": longs, "lengths": longs, "kept": pa.binary()}
+        return pa.table({k: pa.array([f[i] for f in found], t) for i, (k, t) in enumerate(kinds.items())})
+
+    return run
+
+
+def _remaining(length: int):
+    """Step 5, for whole rows: the first rows of each text with what remains of it; those that keep no word go, as do later copies."""
+
+    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
+        kept = {key: text.decode("utf-8", "ignore") for key, _, _, text in _changed(docs, side, length)}
+        first = {(r["blob"][8:].decode(), int.from_bytes(r["blob"][:8], "big", signed=True)) for r in side.filter(pa.compute.equal(side["kind"], 0)).to_pylist()}
+        keys, ids = docs["_key"].to_pylist(), docs["_id"].to_pylist()
+        stay = [i for i, k in enumerate(keys) if (k, ids[i]) in first and (k not in kept or kept[k].encode().split(None, 1))]
+        rows = docs.take(pa.array(stay, pa.int64()))
+        texts = pa.array([kept.get(keys[i]) for i in stay], pa.string())
+        return pa.table({"_row": rows["_row"], "_text": pa.compute.coalesce(texts, rows["_text"])})
 
     return run
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _id (a long; nulls last), _key (SHA-256 of the text), n_bytes and _text of every row."""
+def keyed(docs: DataFrame, text: str = "text", *more: Column) -> DataFrame:
+    """doc_id, _id (a long; nulls last), _key (SHA-256 of the text), n_bytes, _text and ``more`` of every row."""
     return docs.select(
         F.col("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"),
         F.sha2(F.encode(filled(text), "utf-8"), 256).alias("_key"),
         F.octet_length(filled(text)).cast("long").alias("n_bytes"),
         filled(text).alias("_text"),
+        *more,
     )
 
 
-def changed_texts(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """The first document of every text, and what goes from texts that repeat parts of earlier documents.
-
-    The first frame has _key and _first for every distinct text.  The second has _key, starts, lengths
-    (maximal removed runs of bytes) and kept (the remaining bytes) for the texts that lose some.  Later
-    copies of a text are not listed: all their bytes go if there are ``length`` or more.
-    """
+def _visited(docs: DataFrame, text: str, length: int, step, schema: str | T.StructType, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first document of every text (_key, _first), and what ``step`` makes of the blocks of texts in the end."""
     spark = docs.sparkSession
     rows = keyed(docs, text)
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     blocks, buckets = parts(spark, total, BLOCK), parts(spark, total, PART)
     firsts = rows.groupBy("_key").agg(F.min("_id").alias("_first"))
     block = lambda *c: F.pmod(F.xxhash64(*c), F.lit(blocks)).alias("_block")
-    texts = rows.select("_id", "_key", "_text", block("_key", "_id")).repartition(blocks, "_block")
+    texts = (rows if row is None else keyed(docs, text, row.alias("_row"))).drop("doc_id", "n_bytes").withColumn("_block", block("_key", "_id")).repartition(blocks, "_block")
     first_side = firsts.select(
         F.col("_first").alias("_id"), "_key"
     ).select(
@@ -408,15 +454,24 @@ def changed_texts(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
         F.concat(F.unhex(F.lpad(F.hex("_id"), 16, "0")), F.encode("_key", "utf-8")).alias("blob"),
     )
 
-    def visit(side: DataFrame, step, schema: str) -> DataFrame:
+    def visit(side: DataFrame, step, schema: str | T.StructType) -> DataFrame:
         return texts.groupBy("_block").cogroup(side.groupBy("_block")).applyInArrow(step, schema)
 
     announced = visit(first_side, _announce(length, buckets), _SIDE)
     shared = announced.groupBy("part").applyInArrow(_shared(CONTEXTS), _SIDE)
     contexts = visit(first_side.union(shared), _contexts(length, buckets), _SIDE)
     resolved = contexts.groupBy("part").applyInArrow(_resolved(length, CONTEXTS), _SIDE)
-    changed = visit(first_side.union(resolved), _removed(length), "_key string, starts array<long>, lengths array<long>, kept binary")
-    return firsts, changed
+    return firsts, visit(first_side.union(resolved), step, schema)
+
+
+def changed_texts(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """The first document of every text, and what goes from texts that repeat parts of earlier documents.
+
+    The first frame has _key and _first for every distinct text.  The second has _key, starts, lengths
+    (maximal removed runs of bytes) and kept (the remaining bytes) for the texts that lose some.  Later
+    copies of a text are not listed: all their bytes go if there are ``length`` or more.
+    """
+    return _visited(docs, text, length, _removed(length), "_key string, starts array<long>, lengths array<long>, kept binary")
 
 
 def removed_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -444,19 +499,17 @@ def removed_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """The rows of ``docs`` with the remaining text in place of the text; characters that lost a byte go as a whole.
 
-    Rows that lose bytes and keep no word go.
+    Rows that lose bytes and keep no word go, so later copies of a text of ``length`` bytes do.  Shorter texts
+    hold no such string: their rows, nulls and empty texts among them, stay as they are.  All columns stay,
+    whatever their names; repeated rows are as many as before.  Texts cross the network once.
     """
-
-    @F.pandas_udf("string")
-    def whole_characters(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    firsts, changed = changed_texts(docs, text, length)
-    key = F.sha2(F.encode(filled(text), "utf-8"), 256)
-    rows = docs.withColumns({"_key": key, "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))}).join(firsts, "_key").join(changed, "_key", "left")
-    later = (F.col("_id") > F.col("_first")) & (F.octet_length(filled(text)) >= length)
-    left = F.when(later, F.lit("")).when(F.col("kept").isNotNull(), whole_characters("kept")).otherwise(F.col(text))
-    return rows.withColumns({text: left, "_lost": later | F.col("kept").isNotNull()}).where(~F.col("_lost") | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    long = F.octet_length(filled(text)) >= length
+    others = [f for f in docs.schema.fields if f.name != text]
+    row = F.struct(*(F.col(f"`{f.name}`") for f in others)) if others else F.struct(F.lit(0).alias("_none"))
+    schema = T.StructType([*docs.select(row.alias("_row")).schema.fields, T.StructField("_text", T.StringType())])
+    _, found = _visited(docs.where(long), text, length, _remaining(length), schema, row)
+    left = found.select(*(F.col("_text").alias(text) if f.name == text else F.col(f"_row.`{f.name}`") for f in docs.schema.fields))
+    return docs.where(~long).union(left)
 
 
 def removed_digests(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:

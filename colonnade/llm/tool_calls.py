@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections import defaultdict
 from collections.abc import Iterator
@@ -52,6 +53,28 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def read_arguments(text: str | None) -> tuple[object, str | None]:
+    """The value of a call's arguments, or why there is none: no JSON, nested too deeply, or no canonical form.
+
+    Numbers beyond the range of doubles and halves of surrogate pairs can be read but not written again.
+    """
+    try:
+        value = json.loads(text or "", parse_constant=_no_constant)
+    except ValueError:
+        return None, "$: not JSON"
+    except RecursionError:
+        return None, "$: nested too deeply"
+    try:
+        canonical(value).encode("utf-8")
+    except (ValueError, RecursionError):
+        return None, "$: no canonical form"
+    return value, None
+
+
 def levels_of(calls: list[tuple[object, list]]) -> dict:
     """The longest chain of calls below each (Kahn's order); None on a cycle or above one.  Unknown ids do not count."""
     known = {c for c, _ in calls}
@@ -85,23 +108,53 @@ def _ordered(batch: pa.Table) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("conv_id", "call_id", "level"), kinds, strict=True))})
 
 
+def _chains(edges: DataFrame, n: int) -> DataFrame:
+    """user, head, far: for every call that needs exactly one other, the first call down its chain that does not, and how far it is.
+
+    Pointers are doubled, so a chain of n calls takes log n rounds.  Where a chain ends in a ring, ``head``
+    stays a call that needs one other.
+    """
+    chains = edges.groupBy("conv_id", "user").agg(F.min("call_id").alias("head"), F.count(F.lit(1)).alias("_needs"))
+    chains = cut(chains.where("_needs = 1").select("conv_id", "user", "head", F.lit(1).cast("long").alias("far")))
+    for _ in range(n.bit_length() + 1):
+        on = chains.select("conv_id", F.col("user").alias("head"), F.col("head").alias("_head"), F.col("far").alias("_far"))
+        moved = chains.join(on, ["conv_id", "head"], "left")
+        if moved.where("_head is not null").isEmpty():
+            break
+        chains = cut(moved.select("conv_id", "user", F.coalesce("_head", "head").alias("head"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far")))
+    return chains
+
+
 def _by_rounds(calls: DataFrame) -> DataFrame:
-    """Levels of the calls of conversations of any size: each round settles the calls whose needs are settled."""
+    """Levels of the calls of conversations of any size.
+
+    Calls that need one other are contracted to the head of their chain.  Among the rest each round settles
+    the calls whose needs are settled, so rounds are as many as the longest path has calls with several
+    needs.  What is settled is written once.
+    """
+    ids = cut(calls.select("conv_id", "call_id"))
     edges = calls.select("conv_id", F.col("call_id").alias("user"), F.explode("needs").alias("call_id")).distinct()
-    ids = calls.select("conv_id", "call_id")
     edges = cut(edges.join(ids, ["conv_id", "call_id"], "left_semi"))
-    open_, settled, level = cut(ids), None, 0
-    while True:
-        blocked = edges.select("conv_id", F.col("user").alias("call_id")).distinct()
-        free = open_.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level))
-        free = cut(free)
-        if free.isEmpty():
-            rest = open_.withColumn("level", F.lit(None).cast("int"))
-            return rest if settled is None else settled.union(rest)
-        settled = free if settled is None else cut(settled.union(free))
+    chains = _chains(edges, ids.count())
+    far = chains.select("conv_id", F.col("user").alias("call_id"), "head", "far")
+    several = edges.join(chains.select("conv_id", "user"), ["conv_id", "user"], "left_anti").join(far, ["conv_id", "call_id"], "left")
+    open_ = cut(several.select("conv_id", "user", F.coalesce("head", "call_id").alias("call_id"), (1 + F.coalesce("far", F.lit(0))).alias("far")))
+    level = F.col("level").cast("int").alias("level")
+    free = cut(ids.join(edges.select("conv_id", F.col("user").alias("call_id")).distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")))
+    settled, best = [], None
+    while not free.isEmpty():
+        settled.append(free)
+        reached = open_.join(free, ["conv_id", "call_id"]).select("conv_id", "user", (F.col("level") + F.col("far")).alias("level"))
         open_ = cut(open_.join(free, ["conv_id", "call_id"], "left_anti"))
-        edges = cut(edges.join(free, ["conv_id", "call_id"], "left_anti"))
-        level += 1
+        best = reached if best is None else best.union(reached)
+        best = cut(best.groupBy("conv_id", "user").agg(F.max("level").alias("level")))
+        waiting = open_.select("conv_id", "user").distinct()
+        free = cut(best.join(waiting, ["conv_id", "user"], "left_anti").select("conv_id", F.col("user").alias("call_id"), "level"))
+        best = cut(best.join(waiting, ["conv_id", "user"], "left_semi"))
+    done = functools.reduce(DataFrame.union, settled) if settled else free
+    heads = done.select("conv_id", F.col("call_id").alias("head"), "level")
+    chained = chains.join(heads, ["conv_id", "head"]).select("conv_id", F.col("user").alias("call_id"), (F.col("level") + F.col("far")).alias("level"))
+    return ids.join(done.union(chained), ["conv_id", "call_id"], "left").select("conv_id", "call_id", level)
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
@@ -109,7 +162,7 @@ def call_levels(calls: DataFrame) -> DataFrame:
 
     A level is one more than the highest level needed, 0 without needs, and null on or above a cycle.
     Conversations of up to ``TOGETHER`` calls are ordered in memory, many to a task; longer ones by rounds
-    of joins, one for each level.
+    of joins, after chains have been contracted by pointer doubling.
     """
     sizes = calls.groupBy("conv_id").count()
     long = cut(sizes.where(F.col("count") > TOGETHER).select("conv_id"))
@@ -134,8 +187,10 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict])
     conversation and identifier.  Of several calls (or results) with one identifier the first by turn
     counts, then by content, and ``n_calls``/``n_results`` tell how many there were.  A result before its
     call is ``early``.  A null conversation is a conversation; rows with a null call_id are ``unnamed``
-    and are neither linked nor ordered.  Arguments that are no JSON object, break their schema or name no
-    known tool have errors.
+    and are neither linked nor ordered.  Arguments that are no JSON object, are nested too deeply, have no
+    canonical form (``1e999``, half a surrogate pair), break their schema or name no known tool have errors;
+    those that cannot be read or written again stand in the JSON as the text they are.  Schemas hold no
+    references, so checking goes no deeper than they do.
 
     Returns conv_id, level (null: on or above a cycle, or no call), turn, call_id, status (linked, open,
     orphan, early, unnamed), n_calls, n_results, errors, json (canonical; sort by level and turn).
@@ -166,11 +221,12 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict])
             for r in batch.select(["call_id", "_called", "_name", "_arguments", "_content"]).to_pylist():
                 arguments, own = r["_arguments"], []
                 if r["_called"]:
-                    try:
-                        arguments = json.loads(arguments or "", parse_constant=lambda c: c)
-                        own = schema_errors(arguments, {"type": "object"} | schemas[r["_name"]]) if r["_name"] in schemas else ["$: no such tool"]
-                    except ValueError:
-                        own = ["$: not JSON"]
+                    value, wrong = read_arguments(arguments)
+                    if wrong:
+                        own = [wrong]
+                    else:
+                        arguments = value
+                        own = schema_errors(value, {"type": "object"} | schemas[r["_name"]]) if r["_name"] in schemas else ["$: no such tool"]
                 message = {"id": r["call_id"], "name": r["_name"], "arguments": arguments, "result": r["_content"]}
                 errors.append(own)
                 lines.append(canonical({k: v for k, v in message.items() if v is not None}))
@@ -205,7 +261,8 @@ CONVERSATION_TOOLS = {
 def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results in a table of turns: a user's or system turn calls, an assistant's turn answers the one before.
 
-    A user's turn needs the answer to the user's turn two before.
+    A user's turn needs the answer to the user's turn two before.  A turn with another role, or none, is a
+    result without identifier, so it comes out as ``unnamed``; as does any turn without a number.
     """
     turn = F.col("turn").cast("string")
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
@@ -217,8 +274,9 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", "turn", F.concat(F.lit("turn-"), turn).alias("call_id"), F.when(user, "answer").otherwise("instruct").alias("name"),
         F.when(user, asked).otherwise(told).alias("arguments"), F.when(user & after.isNotNull(), F.array(after)).otherwise(F.array().cast("array<string>")).alias("needs"),
     )
-    results = messages.where(F.col("role") == "assistant").select(
-        "conv_id", "turn", F.concat(F.lit("turn-"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content")
+    answered = F.when(F.col("role") == "assistant", F.concat(F.lit("turn-"), (F.col("turn") - 1).cast("string")))
+    results = messages.where(~F.coalesce(F.col("role").isin("user", "system"), F.lit(False))).select(
+        "conv_id", "turn", answered.alias("call_id"), F.col("text").alias("content")
     )
     return calls, results
 

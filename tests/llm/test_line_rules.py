@@ -25,7 +25,7 @@ def verdicts(rows, limit, least):
     for r in rows:
         for x in (r.text or "").split("\n"):
             if normal(x):
-                seen[(r.source, normal(x))].add(r.text)
+                seen[(r.source, normal(x))].add((r.doc_id, r.text))
     for r in rows:
         text = r.text or ""
         n = counts(text)
@@ -41,12 +41,18 @@ def test_against_plain_counts(docs, limit):
     assert limit == 0 or len({k[-1] for k in got}) == 2
 
 
-def test_copies_are_one_document(spark):
+def test_copies_are_documents(spark):
+    """A document is a doc_id with a text: copies count, repeated rows do not, null ids count once a text."""
     shared = "a line of words that all of these documents hold in the same place"
-    own = [(i, f"{shared}\n" + " ".join(f"w{i}x{k}" for k in range(4)), "en", "s", 1) for i in range(5)]
-    copies = [(100 + i, f"Another {shared}\nbelow", "en", "s", 1) for i in range(5)]
-    rows = line_frequency_rules(spark.createDataFrame(own + copies, "doc_id long, text string, lang string, source string, n_chars long"), limit=3).collect()
-    assert {r.doc_id for r in rows if r.n_line_words_removed} == set(range(5))
+    own = [(i, f"{shared}\n" + " ".join(f"w{i}x{k}" for k in range(4)), "en", "s", 1) for i in range(2)]
+    copies = [(100 + i, f"{shared}\nbelow\n{shared}", "en", "s", 1) for i in range(4)]
+    repeated = [(200, f"{shared} again", "en", "s", 1)] * 9 + [(None, f"{shared} again", "en", "s", 1)] * 5
+    frame = spark.createDataFrame(own + copies + repeated, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = line_frequency_rules(frame, limit=5).collect()
+    assert {r.doc_id for r in rows if r.n_line_words_removed} == {0, 1, 100, 101, 102, 103}
+    rows = line_frequency_rules(frame, limit=1).collect()
+    assert {(r.doc_id, r.n_line_words_removed) for r in rows if r.doc_id in (None, 100, 200)} == {(None, 14), (100, 27), (200, 14)}
+    assert not any(r.n_line_words_removed for r in line_frequency_rules(frame, limit=6).collect())
 
 
 def test_empty(empty):

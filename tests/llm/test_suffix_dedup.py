@@ -86,6 +86,30 @@ def test_spans_and_kept_bytes(mingled):
         assert any(len(t) == r.n_bytes and without(t) == bytes(r.kept) for t in texts[r.doc_id])
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_remaining_rows_stay_whole(mingled, monkeypatch, small):
+    if small:
+        for name, value in {"BLOCK": 40_000, "PART": 30_000, "CONTEXTS": 40}.items():
+            monkeypatch.setattr(suffix_dedup, name, value)
+    from pyspark.sql import functions as F
+
+    clashing = ("_key", "_id", "_first", "starts", "lengths", "_lost", "_row", "_block")
+    frame = wide(mingled, *clashing).withColumn("starts", F.concat(F.lit("n"), F.col("n_chars").cast("string")))
+    given = frame.collect()
+    expect = Counter()
+    for row, (_, n, gone, _, digest) in zip(given, plain(given, 50), strict=True):
+        if not gone:
+            expect[tuple(row)] += 1
+    got = suffix_dedup.without_repeats(frame).collect()
+    digests = {(d, k) for d, _, gone, _, k in plain(given, 50) if gone}
+    changed = [r for r in got if tuple(r) not in expect]
+    assert Counter(tuple(r) for r in got if tuple(r) in expect) == expect
+    assert changed and all(r.text.split() and r.starts in (None, f"n{r.n_chars}") for r in changed)
+    whole = [r for r in changed if r.text.isascii()]
+    assert whole and sum((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) in digests for r in whole) > 0.9 * len(whole)
+
+
 def test_empty(empty):
+    assert suffix_dedup.without_repeats(empty).count() == 0
     assert suffix_dedup.removed_digests(empty).count() == 0
     assert suffix_dedup.removed_repeats(empty).count() == 0
