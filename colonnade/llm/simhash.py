@@ -178,6 +178,17 @@ def near_links(prints: DataFrame, n: int) -> DataFrame:
     return indexed.groupBy("part").applyInArrow(_linked, "a long, b long")
 
 
+_LAST = 2**63 - 1  # stands for a null doc_id: later than all others
+
+
+def _rooted(rows: DataFrame) -> DataFrame:
+    """fp, root, least (doc_id) and first (id and copy of the first document) of every distinct fingerprint."""
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "copy")
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(place).alias("first")))
+    roots = component_roots(near_links(nodes, nodes.count()))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, copy, fp, root and component_id of every document; ``root`` is a fingerprint of the component.
 
@@ -186,14 +197,36 @@ def simhash_components(docs: DataFrame, text: str = "text") -> DataFrame:
     empty one, with fingerprint zero; repeated rows share a node.
     """
     rows = cut(fingerprints(docs, text))  # a few bytes a document, read three times
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = component_roots(near_links(nodes, nodes.count()))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(rows)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "root", "component_id")
     return rows.join(named, "fp").select("doc_id", "copy", "fp", "root", "component_id")
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch without those whose id and copy came before in it, so that one repeated row is no hot key."""
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_copy")], axis=1)
+        first = np.unique(keys, axis=0, return_index=True)[1]
+        yield batch if len(first) == len(batch) else batch.take(pa.array(np.sort(first)))
+
+
+def one_of_each_component(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row of each component of ``simhash_components``: the one with the smallest doc_id.
+
+    Rows with a null doc_id come after all others; of those, and of rows with one doc_id but different
+    texts, the text with the smallest hash stays.  Of repeated rows one stays; where they differ in other
+    columns, any of them.  All columns stay as they are, whatever their names.
+    """
+    rows = cut(fingerprints(docs, text))
+    first = _rooted(rows).groupBy("root").agg(F.min("first").alias("first"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"), F.xxhash64(filled(text)).alias("_copy"), whole)
+    once = keyed.mapInArrow(_once, keyed.schema)
+    chosen = once.join(first.select(F.col("first.id").alias("_id"), F.col("first.copy").alias("_copy")), ["_id", "_copy"], "left_semi")
+    return chosen.dropDuplicates(["_id", "_copy"]).select(*(F.col(f"_row.`{c}`") for c in docs.columns))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -69,7 +69,7 @@ def read_arguments(text: str | None) -> tuple[object, str | None]:
     except RecursionError:
         return None, "$: nested too deeply"
     try:
-        canonical(value).encode("utf-8")
+        canonical([[value]]).encode("utf-8")  # deeper than in the message
     except (ValueError, RecursionError):
         return None, "$: no canonical form"
     return value, None

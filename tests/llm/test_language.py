@@ -57,3 +57,17 @@ def test_nothing_learned(spark, empty, docs):
     assert language.language_of(empty).count() == 0
     none = spark.createDataFrame([(1, "words", None, "s", 1)], SCHEMA)
     assert [(r.lang_pred, r.score) for r in language.language_of(none).collect()] == [("und", 0.0)]
+
+
+def test_characters_above_the_basic_plane(spark):
+    """Emoji are no letters; letters of other planes are."""
+    gothic, deseret = "\U00010330\U00010331\U00010332\U00010333" * 6, "\U00010400\U00010428\U00010401"
+    rows = [(1, "\U0001f600\U0001f601\U0001f602", "en", "s", 3), (2, "plain words of a language here", "en", "s", 1), (3, gothic, "got", "s", 1), (4, "\U0001f600 x", "en", "s", 1)]
+    known = language.profiles(spark.createDataFrame(rows[1:3], SCHEMA))
+    got = {r.doc_id: r for r in language.identified(spark.createDataFrame(rows, SCHEMA), known).collect()}
+    assert (got[1].lang_pred, got[1].score) == ("und", 0) and got[4].lang_pred != "und"
+    assert got[3].lang_pred == "got" and got[3].score > 0.99
+    emoji = language.profiles(spark.createDataFrame([(1, "\U0001f600\U0001f601\U0001f602\U0001f603", "en", "s", 3)], SCHEMA))
+    assert emoji == {}
+    data = np.frombuffer((deseret + "\n").encode(), np.uint8)
+    assert language.folded_texts(data, np.array([0, len(data)]))[0].tolist() == [0x10428, 0x10428, 0x10429, language.END]

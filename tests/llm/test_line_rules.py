@@ -51,7 +51,7 @@ def test_copies_are_documents(spark):
     rows = line_frequency_rules(frame, limit=5).collect()
     assert {r.doc_id for r in rows if r.n_line_words_removed} == {0, 1, 100, 101, 102, 103}
     rows = line_frequency_rules(frame, limit=1).collect()
-    assert {(r.doc_id, r.n_line_words_removed) for r in rows if r.doc_id in (None, 100, 200)} == {(None, 14), (100, 27), (200, 14)}
+    assert {(r.doc_id, r.n_line_words_removed) for r in rows if r.doc_id in (None, 100, 200)} == {(None, 15), (100, 29), (200, 15)}  # other lines of two documents go too
     assert not any(r.n_line_words_removed for r in line_frequency_rules(frame, limit=6).collect())
 
 

@@ -9,7 +9,7 @@ import xxhash
 
 from colonnade.llm import simhash
 from colonnade.llm.components import component_roots
-from tests.llm.conftest import wide
+from tests.llm.conftest import SCHEMA, wide
 
 
 def plain_fingerprint(text: str | None) -> int:
@@ -100,3 +100,25 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty(empty):
     assert simhash.simhash_components(empty).count() == 0
+
+
+def test_one_row_of_each_component_stays(docs):
+    given = wide(docs.unionByName(docs.where("doc_id in (9004, 9008) or doc_id is null")), "_row", "_id", "root", "first", "copy")
+    rows = given.collect()
+    prints = [plain_fingerprint(r.text) for r in rows]
+    label = plain_components(list(enumerate(prints)))  # by place, so that null ids are told apart
+    groups: dict = {}
+    for p, r in zip(prints, rows, strict=True):
+        groups.setdefault(label[p], []).append(r)
+    got = simhash.one_of_each_component(given).collect()
+    assert len(got) == len(groups)
+    last = 2**63 - 1
+    order = lambda r: last if r.doc_id is None else r.doc_id
+    assert sorted(map(order, got)) == sorted(min(map(order, g)) for g in groups.values())
+    assert {tuple(r) for r in got} <= {tuple(r) for r in rows}
+
+
+def test_one_row_of_a_repeated_one(spark):
+    frame = spark.createDataFrame([(None, "the same row again and again", "en", "s", 1)] * 5000, SCHEMA)
+    assert simhash.one_of_each_component(frame.repartition(4)).count() == 1
+    assert simhash.one_of_each_component(frame.limit(0)).count() == 0

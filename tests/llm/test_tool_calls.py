@@ -64,6 +64,41 @@ def test_links_errors_and_json(spark):
     assert got[(1, None, 9)].status == got[(None, None, 2)].status == "unnamed"
 
 
+def test_arguments_that_have_no_canonical_form(spark):
+    odd = {"far": '{"x": 1e999}', "deep": "[" * 100_000, "nested": '{"x": ' * 3000 + "1" + "}" * 3000, "half": '{"x": "\\ud800"}', "nan": '{"x": NaN}', "digits": '{"x": ' + "9" * 5000 + "}", "none": None}
+    calls = [(1, i, k, "add", v, []) for i, (k, v) in enumerate(odd.items())] + [(1, 99, "fine", "add", '{"x": 1}', [])]
+    rows = tool_calls.linked_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).collect()
+    got = {r.call_id: r for r in rows}
+    assert set(got) == {*odd, "fine"} and got["fine"].errors == []
+    assert {k: r.errors for k, r in got.items() if k in ("far", "half")} == {"far": ["$: no canonical form"], "half": ["$: no canonical form"]}
+    assert all(got[k].errors for k in odd)
+    for k, v in odd.items():
+        assert json.loads(got[k].json).get("arguments") == (json.loads(v) if k == "nested" else v)
+
+
+def test_every_turn_gives_a_row(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "tool", "c"), (1, 3, None, "d"), (1, None, "user", "e"), (None, None, None, None)]
+    messages = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = tool_calls.linked_calls(*tool_calls.conversation_calls(messages), tool_calls.CONVERSATION_TOOLS).collect()
+    assert sorted((str(r.conv_id), str(r.turn), r.status) for r in rows) == sorted(
+        [("1", "0", "linked"), ("1", "2", "unnamed"), ("1", "3", "unnamed"), ("1", "None", "unnamed"), ("None", "None", "unnamed")]
+    )
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """3000 calls in a chain, a fan at its end, a ring, and calls above the ring."""
+    monkeypatch.setattr(tool_calls, "TOGETHER", 10)
+    taken, cut = [], tool_calls.cut
+    monkeypatch.setattr(tool_calls, "cut", lambda df: taken.append(1) or cut(df))
+    n = 3000
+    rows = [(1, 1, f"c{i}", "add", "{}", [f"c{i - 1}"] if i else []) for i in range(n)]
+    rows += [(1, 1, "top", "add", "{}", ["c7", f"c{n - 1}", "gone"]), (1, 1, "above", "add", "{}", ["top"])]
+    rows += [(1, 1, f"r{i}", "add", "{}", [f"r{(i + 1) % 3}"]) for i in range(3)] + [(1, 1, "onring", "add", "{}", ["r0"]), (1, 1, "both", "add", "{}", ["onring", "c0"])]
+    got = {r.call_id: r.level for r in tool_calls.call_levels(spark.createDataFrame(rows, CALLS).select("conv_id", "call_id", "needs")).collect()}
+    assert got == {f"c{i}": i for i in range(n)} | {"top": n, "above": n + 1} | dict.fromkeys(["r0", "r1", "r2", "onring", "both"])
+    assert len(taken) < 50
+
+
 def test_conversations(spark):
     table = spark.read.parquet(f"{SF}/conversations.parquet")
     rows = tool_calls.linked_calls(*tool_calls.conversation_calls(table), tool_calls.CONVERSATION_TOOLS).collect()
