@@ -66,6 +66,21 @@ def _(spark, sf):
     return user_functions.user_function(buyers, "cogrouped", right=orders, keys=["c_custkey"], function=worth, schema="c_custkey long, worth double")
 
 
+@query(
+    "user_function_split",
+    """SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, round(l.l_extendedprice / t.v, 9) AS share FROM lineitem AS l
+    LEFT JOIN (SELECT ps_key, sum(v) AS v FROM (SELECT l_suppkey AS ps_key, l_returnflag, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1) AS t ON l.l_suppkey = t.ps_key""",
+)
+def _(spark, sf):
+    def share(lines: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        return lines.assign(share=(lines.l_extendedprice / totals.v.sum()).round(9))[["l_orderkey", "l_linenumber", "l_suppkey", "share"]]
+
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    totals = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum("l_extendedprice").alias("v"))
+    schema = "l_orderkey long, l_linenumber int, l_suppkey long, share double"
+    return user_functions.user_function(lines, "cogrouped", right=totals, keys=["l_suppkey"], function=share, schema=schema, split="left")
+
+
 @query(
     "user_function_batches",
     "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 + l_tax) AS gross FROM lineitem",
@@ -104,8 +119,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     def shrink(rows: pd.DataFrame) -> pd.DataFrame:
-        price = rows.groupby("l_returnflag").l_extendedprice
-        return price.agg(low="min", high="max", n="count").reset_index()
+        price = rows.groupby("l_returnflag", dropna=False).l_extendedprice
+        return price.agg(low="min", high="max", n="size").reset_index()
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         gap = rows.high.max() - rows.low.min()
@@ -115,7 +130,7 @@ def _(spark, sf):
     partial = "l_returnflag string, low double, high double, n long"
 
     def combine(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.groupby("l_returnflag").agg(low=("low", "min"), high=("high", "max"), n=("n", "sum")).reset_index()
+        return rows.groupby("l_returnflag", dropna=False).agg(low=("low", "min"), high=("high", "max"), n=("n", "sum")).reset_index()
 
     return user_functions.apply_combined(lines, ["l_returnflag"], shrink, partial, merge, "l_returnflag string, spread double, rows long", combine)
 

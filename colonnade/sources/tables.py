@@ -7,8 +7,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from colonnade.functions.columns import col, decimal_number, is_text
+from colonnade.sources.records import records
 
 # Cell texts that mean "missing".
 MISSING_TEXT = [
@@ -59,8 +61,8 @@ def read_csv(
     """Read CSV with a header.
 
     Give ``schema`` for large inputs; without one, the types are inferred from all
-    rows in one extra pass.  ``multi_line`` allows line breaks inside quotes, at the
-    price of one task per file.
+    rows in one extra pass.  ``multi_line`` allows line breaks inside quotes; files are
+    still read block by block (``sources/records.py``), at the price of counting quotes first.
     """
     encoding = encoding or detect_encoding(spark, path)
     western = encoding.lower() in ("windows-1252", "cp1252")
@@ -72,7 +74,14 @@ def read_csv(
         .option("multiLine", multi_line)
         .option("encoding", "ISO-8859-1" if western else encoding)
     )
-    df = reader.csv(path) if schema is None else reader.schema(schema).csv(path)
+    if multi_line:
+        names = reader.csv(path).columns if schema is None else StructType.fromDDL(schema).names  # of the first record
+        typed = schema or ", ".join("`" + c.replace("`", "``") + "` string" for c in names)
+        lines = records(spark, path, "ISO-8859-1" if western else encoding).where(~F.col("head"))
+        cells = F.from_csv("value", typed, {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}).alias("cells")
+        df = lines.select(cells).select(*[F.col("cells").getField(c).alias(c) for c in names])
+    else:
+        df = reader.csv(path) if schema is None else reader.schema(schema).csv(path)
     df = _from_latin_1(df) if western else df
     return infer_types(df) if schema is None else df
 
