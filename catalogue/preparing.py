@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalogue import query
 from catalogue.views import table
+from colonnade.operators import quality
 from colonnade.plans import preparation
+from colonnade.plans.scale import ensure_checkpoint_dir
+from colonnade.sources import dictionary, profiles, tables
 
 
 @query(
@@ -224,3 +229,86 @@ def _(spark, sf):
         .alias("allowed"),
     )
     return normalize_dictionary(raw).withColumn("allowed_values", F.array_join("allowed_values", ";")).withColumnRenamed("allowed_values", "allowed")
+
+
+# --- files ----------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_round_trip", "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents")
+def _(spark, sf):
+    """Texts with line breaks and quotes, written as CSV and read block by block, typed by their content."""
+    path = _folder(spark, "documents") + ".csv"
+    tables.write(table(spark, sf, "documents"), path)
+    return tables.read(spark, path, multi_line=True)
+
+
+@query("csv_separated", "SELECT conv_id, turn, role, nullif(text, '') AS text FROM conversations")
+def _(spark, sf):
+    """The same with another separator and a stated schema."""
+    path = _folder(spark, "conversations") + ".csv"
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    turns.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    return tables.read(spark, path, sep=";", multi_line=True, schema=", ".join(f"{n} {t}" for n, t in turns.dtypes))
+
+
+@query("first_orders", 'SELECT o_orderkey AS "Order ID", o_orderstatus AS "Status" FROM orders LIMIT 700')
+def _(spark, sf):
+    """The first rows of a file, in its order, written as a snapshot and read again."""
+    orders = table(spark, sf, "orders")
+    path = _folder(spark, "orders") + ".parquet"
+    tables.write_snapshot(orders.select(F.col("o_orderkey").alias(" Order ID "), F.col("o_orderstatus").alias("Status  ")), path, rows=700)
+    return tables.read(spark, path)
+
+
+LINE_DICTIONARY = [
+    {"column_name": "l_returnflag", "data_type": "categorical", "allowed_values": ["A", "N"]},
+    {"column_name": "l_linestatus", "data_type": "number", "allowed_values": ["O", "F"]},
+    {"column_name": "l_shipdate", "data_type": "date"},
+    {"column_name": "l_tax", "data_type": "number", "aggregation": "mean"},
+    {"column_name": "l_tax", "aggregation": "average"},
+    {"column_name": "l_missing", "semantic_role": "nonsense", "data_type": "money"},
+]
+
+
+@query(
+    "dictionary_findings",
+    """SELECT 'l_missing' AS column_name, 'absent' AS rule, CAST(NULL AS VARCHAR) AS value, 1 AS rows UNION ALL SELECT 'l_tax', 'repeated', NULL, 2
+    UNION ALL SELECT 'l_tax', 'unknown_aggregation', 'average', 1 UNION ALL SELECT 'l_missing', 'unknown_semantic_role', 'nonsense', 1
+    UNION ALL SELECT 'l_missing', 'unknown_data_type', 'money', 1 UNION ALL SELECT NULL, 'unknown_domain', 'shipping', 6
+    UNION ALL SELECT 'l_returnflag', 'disallowed', min(l_returnflag), count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') HAVING count(*) > 0
+    UNION ALL SELECT 'l_linestatus', 'wrong_type', min(l_linestatus), count(*) FROM lineitem WHERE TRY_CAST(l_linestatus AS DOUBLE) IS NULL AND l_linestatus IS NOT NULL HAVING count(*) > 0""",
+)
+def _(spark, sf):
+    """A dictionary against the order lines: its own faults, and cells that break it."""
+    return dictionary.dictionary_findings(dictionary.dictionary_fields(spark, "shipping", LINE_DICTIONARY), table(spark, sf, "lineitem"))
+
+
+@query(
+    "dictionary_round_trip",
+    """SELECT 'retail' AS domain, p_name AS column_name, 'row ' || p_partkey AS business_name, CAST(NULL AS VARCHAR) AS description, lower(p_type) AS semantic_role, 'number' AS data_type,
+    CASE WHEN p_size > 25 THEN 'USD' END AS unit, CAST(NULL AS VARCHAR) AS aggregation, p_size % 3 = 0 AS sensitive, CASE WHEN p_partkey % 3 = 0 THEN 'a;' || p_brand ELSE p_brand END AS allowed FROM part""",
+)
+def _(spark, sf):
+    """Dictionary rows written in the ten-column form and read again."""
+    key, path = F.col("p_partkey"), _folder(spark, "dictionary") + ".csv"
+    fields = table(spark, sf, "part").select(
+        F.lit("retail").alias("domain"), F.col("p_name").alias("column_name"), F.concat(F.lit("row "), key.cast("string")).alias("business_name"), F.lit(None).cast("string").alias("description"),
+        F.lower("p_type").alias("semantic_role"), F.lit("number").alias("data_type"), F.when(F.col("p_size") > 25, "USD").alias("unit"), F.lit(None).cast("string").alias("aggregation"),
+        (F.col("p_size") % 3 == 0).alias("sensitive"), F.when(key % 3 == 0, F.array(F.lit("a"), "p_brand")).otherwise(F.array("p_brand")).alias("allowed_values"),
+    )
+    dictionary.write_dictionary(fields, path)
+    return dictionary.read_dictionary(spark, path).withColumn("allowed_values", F.array_join("allowed_values", ";")).withColumnRenamed("allowed_values", "allowed")
+
+
+@query("written_profile", "SELECT 'l_quantity' AS \"column\", count(*) - count(l_quantity) AS missing FROM lineitem UNION ALL SELECT 'l_returnflag', count(*) - count(l_returnflag) FROM lineitem")
+def _(spark, sf):
+    """The JSON that a profile is written as, read again: missing cells by column."""
+    path = _folder(spark, "profile")
+    profiles.write_profile(quality.profile_dataframe(table(spark, sf, "lineitem").select("l_quantity", "l_returnflag")), path, "lineitem")
+    return spark.read.json(f"{path}/missing").select("column", "missing")

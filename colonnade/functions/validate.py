@@ -28,3 +28,8 @@ def require_limit(value: int | None, upper: int, name: str = "limit") -> None:
     """A limit within its bounds; None stands for all rows."""
     if value is not None and not 1 <= value <= upper:
         raise ValueError(f"{name} must be between 1 and {upper}.")
+
+
+def at_most(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows; None stands for all."""
+    return df if limit is None else df.limit(limit)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions.columns import col, is_positive, number, ratio, total, value
+from colonnade.functions.validate import at_most
 from colonnade.operators.quality import _stack
 from colonnade.operators.ranking import band_table, labelled_band, rank_bands, weighted_mean
 from colonnade.operators.semantic import notice
@@ -65,16 +66,16 @@ def _money_groups(df: DataFrame, revenue: str, profit: str | None, groups: Seque
     return grouped.withColumn("margin", ratio(F.col("profit"), F.col("revenue"))) if profit else grouped
 
 
-def retail_loss_analysis(df: DataFrame, profile: SemanticProfile, by_role: str = "category", limit: int = 20) -> DataFrame:
+def retail_loss_analysis(df: DataFrame, profile: SemanticProfile, by_role: str = "category", limit: int | None = 20) -> DataFrame:
     """Groups that lose money in total, worst first."""
     revenue, profit, group = profile.column("revenue"), profile.column("profit"), profile.column(by_role)
     if not revenue or not profit or not group:
         return notice(df.sparkSession)
     grouped = _money_groups(df, revenue, profit, [group], number(df, profit))
-    return grouped.where(F.col("profit") < 0).orderBy(F.asc("profit"), col(group).asc_nulls_last()).limit(limit)
+    return at_most(grouped.where(F.col("profit") < 0).orderBy(F.asc("profit"), col(group).asc_nulls_last()), limit)
 
 
-def retail_discount_effect(df: DataFrame, profile: SemanticProfile, limit: int = 20) -> DataFrame:
+def retail_discount_effect(df: DataFrame, profile: SemanticProfile, limit: int | None = 20) -> DataFrame:
     """Rows, mean discount, revenue and margin per discount band; no discount counts as zero."""
     discount, revenue, profit = profile.column("discount"), profile.column("revenue"), profile.column("profit")
     if not discount or not revenue:
@@ -85,22 +86,22 @@ def retail_discount_effect(df: DataFrame, profile: SemanticProfile, limit: int =
         aggs["profit"] = total(number(df, profit))
     band = labelled_band(F.coalesce(off, F.lit(0.0)), DISCOUNT_EDGES, DISCOUNT_LABELS)
     zeros = ["rows", "revenue", "profit"]
-    table = band_table(df, band, DISCOUNT_LABELS, aggs, zeros, "discount_band").limit(limit)
+    table = at_most(band_table(df, band, DISCOUNT_LABELS, aggs, zeros, "discount_band"), limit)
     return table.withColumn("margin", ratio(F.col("profit"), F.col("revenue"))) if profit else table
 
 
-def retail_interaction(df: DataFrame, profile: SemanticProfile, limit: int = 30) -> DataFrame:
+def retail_interaction(df: DataFrame, profile: SemanticProfile, limit: int | None = 30) -> DataFrame:
     """Largest segment x state x category cells, over whichever of the roles exist (two at least)."""
     revenue, profit = profile.column("revenue"), profile.column("profit")
     groups = list(dict.fromkeys(c for c in (profile.column(r) for r in ("segment", "state", "category")) if c))
     if not revenue or len(groups) < 2:
         return notice(df.sparkSession)
     grouped = _money_groups(df, revenue, profit, groups, number(df, revenue))
-    return grouped.orderBy(F.desc("revenue"), *[col(g).asc_nulls_last() for g in groups]).limit(limit)
+    return at_most(grouped.orderBy(F.desc("revenue"), *[col(g).asc_nulls_last() for g in groups]), limit)
 
 
 def retail_top_opportunities(
-    df: DataFrame, profile: SemanticProfile, by_role: str = "category", limit: int = 20
+    df: DataFrame, profile: SemanticProfile, by_role: str = "category", limit: int | None = 20
 ) -> DataFrame:
     """Groups at or above the 60th revenue percentile of groups, weakest margin first."""
     revenue, profit, group = profile.column("revenue"), profile.column("profit"), profile.column(by_role)
@@ -108,11 +109,8 @@ def retail_top_opportunities(
         return notice(df.sparkSession)
     grouped = materialize(_money_groups(df, revenue, profit, [group], value(df, group)))
     cutoff = F.lit(exact_quantiles(grouped, {"revenue": [0.6]})["revenue"][0]).cast("double")
-    return (
-        grouped.where(F.col("revenue") >= cutoff)
-        .orderBy(F.asc_nulls_last("margin"), F.desc("revenue"), col(group).asc_nulls_last())
-        .limit(limit)
-    )
+    strong = grouped.where(F.col("revenue") >= cutoff)
+    return at_most(strong.orderBy(F.asc_nulls_last("margin"), F.desc("revenue"), col(group).asc_nulls_last()), limit)
 
 
 # --- outcome rates ---------------------------------------------------------------
@@ -130,7 +128,7 @@ def target_group(df: DataFrame, target: str, groups: Sequence[str], limit: int |
 
 
 def marketing_response_by_segment(
-    df: DataFrame, profile: SemanticProfile, by_role: str = "country", limit: int = 20
+    df: DataFrame, profile: SemanticProfile, by_role: str = "country", limit: int | None = 20
 ) -> DataFrame:
     target, group = _target(profile), profile.column(by_role)
     if not target or not group:
@@ -138,12 +136,12 @@ def marketing_response_by_segment(
     return target_group(df, target, [group], limit)
 
 
-def marketing_campaign_acceptance(df: DataFrame, profile: SemanticProfile) -> DataFrame:
-    """Acceptance per ``acceptedcmp*`` column in one pass; without such columns, response by campaign."""
+def marketing_campaign_acceptance(df: DataFrame, profile: SemanticProfile, limit: int | None = 20) -> DataFrame:
+    """Acceptance per ``acceptedcmp*`` column in one pass; without such columns, response by campaign, ``limit`` of them."""
     columns = [c for c in df.columns if _plain(c).startswith("acceptedcmp")]
     if not columns:
         campaign, target = profile.column("campaign"), _target(profile)
-        return target_group(df, target, [campaign], 20) if campaign and target else notice(df.sparkSession)
+        return target_group(df, target, [campaign], limit) if campaign and target else notice(df.sparkSession)
     hits = [F.count_if(is_positive(df, c, "segment")).alias(f"hit{i}") for i, c in enumerate(columns)]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *hits)
     entries = [
@@ -262,14 +260,14 @@ def marketing_purchase_channel_summary(df: DataFrame) -> DataFrame:
 
 
 def hr_attrition_by_role(
-    df: DataFrame, profile: SemanticProfile, by_role: str = "department", min_rows: int = 1, limit: int = 20
+    df: DataFrame, profile: SemanticProfile, by_role: str = "department", min_rows: int = 1, limit: int | None = 20
 ) -> DataFrame:
     """Attrition by group, worst first, of the groups with enough rows."""
     target, group = _target(profile), profile.column(by_role)
     if not target or not group:
         return notice(df.sparkSession, f"HR attrition summary needs target and {by_role} roles.")
     worst = target_group(df, target, [group], None).where(F.col("rows") >= min_rows)
-    return worst.orderBy(F.desc("positive_rate"), F.desc("rows"), col(group).asc_nulls_last()).limit(limit)
+    return at_most(worst.orderBy(F.desc("positive_rate"), F.desc("rows"), col(group).asc_nulls_last()), limit)
 
 
 def hr_tenure_risk(df: DataFrame, profile: SemanticProfile) -> DataFrame:
@@ -286,11 +284,11 @@ def hr_tenure_risk(df: DataFrame, profile: SemanticProfile) -> DataFrame:
     return band_table(df, labelled_band(years, TENURE_EDGES, TENURE_LABELS), TENURE_LABELS, aggs, ["rows"], "tenure_band")
 
 
-def hr_high_risk_segments(df: DataFrame, profile: SemanticProfile, min_rows: int = 10, limit: int = 20) -> DataFrame:
+def hr_high_risk_segments(df: DataFrame, profile: SemanticProfile, min_rows: int = 10, limit: int | None = 20) -> DataFrame:
     """Department x job role x overtime cells with enough rows, highest attrition first."""
     target = _target(profile)
     groups = list(dict.fromkeys(c for c in (profile.column(r) for r in ("department", "job_role", "overtime")) if c))
     if not target or len(groups) < 2:
         return notice(df.sparkSession)
     cells = target_group(df, target, groups, None, "attrition_rate").where(F.col("rows") >= min_rows).drop("positives")
-    return cells.orderBy(F.desc("attrition_rate"), F.desc("rows"), *[col(g).asc_nulls_last() for g in groups]).limit(limit)
+    return at_most(cells.orderBy(F.desc("attrition_rate"), F.desc("rows"), *[col(g).asc_nulls_last() for g in groups]), limit)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions.columns import AGGREGATIONS, aggregate, col, is_numeric, number, ratio, total, value
-from colonnade.functions.validate import require_limit
+from colonnade.functions.validate import at_most, require_limit
 from colonnade.plans.measures import grouped_measure, overall_measures
 from colonnade.plans.roles import SemanticProfile
 
@@ -252,7 +252,7 @@ def metric_breakdown(
     definition: Mapping[str, Any] | Metric,
     by_role: str | None = None,
     by_column: str | None = None,
-    limit: int = 20,
+    limit: int | None = 20,
 ) -> DataFrame:
     """The metric evaluated per row, then aggregated by group: a mean of ratios, not a ratio of sums."""
     metric = define_metric(definition)
@@ -265,4 +265,4 @@ def metric_breakdown(
     term = compile_metric(df, profile, metric)
     grouped = grouped_measure(df, {group: value(df, group)}, term.column, metric.aggregation, metric.name)
     lead = col(metric.name).desc_nulls_last() if metric.higher_is_better else col(metric.name).asc_nulls_last()
-    return grouped.orderBy(lead, col(group).asc_nulls_last()).limit(limit)
+    return at_most(grouped.orderBy(lead, col(group).asc_nulls_last()), limit)

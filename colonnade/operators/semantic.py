@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.functions.columns import col, is_numeric, is_positive, number, rounded, total, value
+from colonnade.functions.validate import at_most
 from colonnade.operators.series import period_totals
 from colonnade.plans.roles import SemanticProfile
 
@@ -56,7 +57,7 @@ def semantic_time_series(df: DataFrame, profile: SemanticProfile, metric_role: s
 
 
 def semantic_breakdown(
-    df: DataFrame, profile: SemanticProfile, by_role: str, metric_role: str = "revenue", limit: int = 20
+    df: DataFrame, profile: SemanticProfile, by_role: str, metric_role: str = "revenue", limit: int | None = 20
 ) -> DataFrame:
     """Sum of one role by another, largest groups first."""
     by, metric = profile.column(by_role), profile.column(metric_role)
@@ -64,7 +65,7 @@ def semantic_breakdown(
         return notice(df.sparkSession)
     keyed = df.select(value(df, by).alias("__key"), number(df, metric).alias("__metric"))
     sums = keyed.groupBy(F.col("__key").alias(by)).agg(F.coalesce(F.sum("__metric"), F.lit(0)).alias(metric if metric != by else f"sum_{metric}"))
-    return sums.orderBy(F.col(f"`{sums.columns[1]}`").desc_nulls_last(), col(by).asc_nulls_last()).limit(limit)
+    return at_most(sums.orderBy(F.col(f"`{sums.columns[1]}`").desc_nulls_last(), col(by).asc_nulls_last()), limit)
 
 
 def semantic_target_rate(df: DataFrame, profile: SemanticProfile) -> DataFrame:
@@ -77,7 +78,7 @@ def semantic_target_rate(df: DataFrame, profile: SemanticProfile) -> DataFrame:
 
 
 def semantic_target_summary(
-    df: DataFrame, profile: SemanticProfile, by_role: str | None = None, limit: int = 20
+    df: DataFrame, profile: SemanticProfile, by_role: str | None = None, limit: int | None = 20
 ) -> DataFrame:
     """Positive rate by group, highest first; without a group role, the overall rate.
 
@@ -92,4 +93,4 @@ def semantic_target_summary(
         value(df, by).alias(by), value(df, target).alias("__target"), is_positive(df, target).cast("int").alias("__positive")
     )
     grouped = frame.groupBy(col(by)).agg(F.count("__target").alias("rows"), F.avg("__positive").alias("positive_rate"))
-    return grouped.orderBy(F.desc("positive_rate"), col(by).asc_nulls_last()).limit(limit)
+    return at_most(grouped.orderBy(F.desc("positive_rate"), col(by).asc_nulls_last()), limit)

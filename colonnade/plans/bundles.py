@@ -43,9 +43,12 @@ class Bundle(Mapping[str, DataFrame]):
 
 
 def dashboard(
-    df: DataFrame, profile: SemanticProfile | None = None, metrics: Sequence[Mapping[str, Any]] = ()
+    df: DataFrame, profile: SemanticProfile | None = None, metrics: Sequence[Mapping[str, Any]] = (), findings: int | None = None
 ) -> Bundle:
-    """Tables by id for the profile's domain, with custom metrics and general findings added."""
+    """Tables by id for the profile's domain, with custom metrics and general findings added.
+
+    ``findings`` is how many of these are wanted; without it 8 where the domain has few tables, else 5.
+    """
     profile = profile or build_semantic_profile(df)
     build = {
         "ecommerce": _ecommerce,
@@ -56,7 +59,7 @@ def dashboard(
     }.get(profile.domain, _generic)
     parts = build(df, profile)
     parts.update(_custom_metrics(df, profile, metrics))
-    wanted = 8 if profile.domain in ("generic", "finance") else 5
+    wanted = findings or (8 if profile.domain in ("generic", "finance") else 5)
     parts["insights"] = lambda: insights.generate_insights(df, profile, metrics, wanted + 3).limit(wanted)
     return Bundle(parts)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.functions.columns import col
+from colonnade.functions.columns import col, decimal_number
 from colonnade.plans.roles import ROLE_WORDS
 
 # What the fields of a dictionary may say.
@@ -26,6 +26,7 @@ HEADER_ALIASES = {
     "sensitive": ["is_sensitive", "issensitive"],
     "allowed_values": ["allowed", "values"],
 }
+BOOLEAN_WORDS = ["true", "false", "yes", "no", "y", "n", "1", "0"]
 TRUE_TEXT = ["1", "true", "yes", "y", "sensitive"]
 SCHEMA = (
     "domain string, column_name string, business_name string, description string, semantic_role string, "
@@ -147,6 +148,53 @@ def validate_dictionary(dictionary: DataFrame, df: DataFrame) -> list[str]:
     return warnings
 
 
+def _breaks(value: Column, data_type: Column) -> Column:
+    """Whether a filled cell is not of the stated type; texts and categories may be anything."""
+    return (
+        F.when(data_type == "number", decimal_number(F.trim(value)).isNull())
+        .when(data_type == "date", F.try_to_timestamp(value).isNull())
+        .when(data_type == "boolean", ~F.lower(F.trim(value)).isin(BOOLEAN_WORDS))
+        .otherwise(F.lit(False))
+    )
+
+
+def dictionary_findings(dictionary: DataFrame, df: DataFrame) -> DataFrame:
+    """What in a dictionary and its table disagrees: column_name, rule, value, rows; one row a finding.
+
+    ``absent``: the table has no such column.  ``repeated``: several rows for one column.  ``unknown_*``: a
+    domain, role, type or aggregation that is no known word.  ``disallowed``: filled cells that are none of
+    the allowed values.  ``wrong_type``: filled cells that cannot be read as the stated type.  For the last
+    two, which read the table once for all columns, ``rows`` counts cells and ``value`` is the smallest; for
+    the others ``rows`` counts dictionary rows.  Of repeated rows the allowed values are taken together.
+    """
+    spark = df.sparkSession
+    one = F.count(F.lit(1)).alias("rows")
+    none = F.lit(None).cast("string").alias("value")
+    names = spark.createDataFrame([(c,) for c in df.columns], "column_name string")
+    absent = dictionary.join(names, "column_name", "left_anti").groupBy("column_name").agg(one)
+    repeated = dictionary.groupBy("column_name").agg(one).where("rows > 1")
+
+    words = {"domain": DOMAINS, "semantic_role": list(ROLE_WORDS), "data_type": DATA_TYPES, "aggregation": AGGREGATIONS}
+    known = spark.createDataFrame([(f"unknown_{k}", w) for k, ws in words.items() for w in ws], "rule string, value string")
+    said = F.explode(F.array(*[F.struct(F.lit(f"unknown_{k}").alias("rule"), F.col(k).alias("value")) for k in words])).alias("said")
+    stated = dictionary.select("column_name", said).select(F.when(F.col("said.rule") != "unknown_domain", F.col("column_name")).alias("column_name"), "said.*")
+    unknown = stated.where("value is not null").join(known, ["rule", "value"], "left_anti").groupBy("column_name", "rule", "value").agg(one)
+
+    rules = dictionary.groupBy("column_name").agg(F.max("data_type").alias("data_type"), F.flatten(F.collect_list("allowed_values")).alias("allowed"))
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("value")) for c in plain])).alias("cell")
+    filled = df.select(cells).select("cell.*").where("value is not null").join(rules, "column_name")
+    broken = F.array(
+        F.when((F.size("allowed") > 0) & ~F.array_contains("allowed", F.col("value")), "disallowed"),
+        F.when(_breaks(F.col("value"), F.col("data_type")), "wrong_type"),
+    )
+    bad = filled.select("column_name", "value", F.explode(F.array_compact(broken)).alias("rule"))
+    wrong = bad.groupBy("column_name", "rule").agg(F.min("value").alias("value"), one)
+    order = ["column_name", "rule", "value", "rows"]
+    found = absent.select("column_name", F.lit("absent").alias("rule"), none, "rows").union(repeated.select("column_name", F.lit("repeated").alias("rule"), none, "rows"))
+    return found.union(unknown.select(*order)).union(wrong.select(*order))
+
+
 def semantic_overrides(dictionary: DataFrame) -> dict[str, Any]:
     """Domain and roles a dictionary states."""
     content = to_mapping(dictionary)

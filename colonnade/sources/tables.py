@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -151,10 +152,41 @@ def write(df: DataFrame, path: str, mode: str = "error") -> None:
         writer.parquet(path)
 
 
+def first_rows(df: DataFrame, rows: int) -> DataFrame:
+    """The first ``rows`` rows of a table read from files, in the order of file names and of rows in a file.
+
+    Nothing is sorted: rows are counted block by block, and a block's rows stay whose place, after all rows
+    of the blocks before, is below ``rows``.  The same rows come out whenever the same files are read.
+    ``df`` is what a reader gives, perhaps with columns chosen or computed, without joins or shuffles.
+    """
+    placed = df.select(
+        F.struct(*[col(c) for c in df.columns]).alias("row"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),  # consecutive within a block
+    )
+    blocks = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("start"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    offsets = blocks.select("file", "block", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    near = offsets.where(F.col("before") < rows)
+    kept = placed.join(near, ["file", "block"]).where(F.col("before") + F.col("place") - F.col("start") < rows)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+
+
 def snapshot(df: DataFrame, rows: int = 0) -> DataFrame:
-    """The table with trimmed column names, cut to ``rows`` rows if that is not zero."""
+    """The table with trimmed column names, cut to its first ``rows`` rows if that is not zero.
+
+    A table that is no longer a plain reading of files has no order: there any ``rows`` rows are taken.
+    """
     trimmed = df.toDF(*[c.strip() for c in df.columns])
-    return trimmed.limit(rows) if rows else trimmed
+    if not rows:
+        return trimmed
+    try:
+        return first_rows(trimmed, rows)
+    except AnalysisException as unknown:
+        if "_metadata" not in str(unknown):
+            raise
+        return trimmed.limit(rows)
 
 
 def write_snapshot(df: DataFrame, path: str, rows: int = 0, mode: str = "error") -> None:

@@ -282,3 +282,52 @@ def test_detected_profile_of_prepared_source(spark):
     dictionary = D.to_mapping(preparation.source_dictionary(spark, "fuel_economy"))
     profile = build_semantic_profile(preparation.fuel_economy(cars), {"data_dictionary": dictionary})
     assert profile.domain == "product" and profile.column("category") == "Manufacturer" and profile.column("quantity") == "mpg"
+
+
+def test_dictionary_findings(spark):
+    fields = [
+        {"column_name": "kind", "allowed_values": ["a", "b"], "data_type": "categorical"},
+        {"column_name": "kind", "allowed_values": ["c"]},
+        {"column_name": "n", "data_type": "number", "allowed_values": ["1", "2"]},
+        {"column_name": "day", "data_type": "date"},
+        {"column_name": "yes", "data_type": "boolean", "aggregation": "mode"},
+        {"column_name": "gone", "semantic_role": "no such role"},
+    ]
+    table = spark.createDataFrame([("a", "1", "2024-01-02", "Yes", [1]), ("c", "x", "soon", "maybe", None), ("d", "3", None, "0", [2]), (None, None, "2024-02-30", " no ", [3])], "kind string, n string, day string, yes string, list array<int>")
+    got = {(r["column_name"], r["rule"]): (r["value"], r["rows"]) for r in rows(D.dictionary_findings(D.dictionary_fields(spark, "moon", fields), table))}
+    assert got == {
+        ("gone", "absent"): (None, 1),
+        ("kind", "repeated"): (None, 2),
+        (None, "unknown_domain"): ("moon", 6),
+        ("yes", "unknown_aggregation"): ("mode", 1),
+        ("gone", "unknown_semantic_role"): ("no such role", 1),
+        ("kind", "disallowed"): ("d", 1),
+        ("n", "disallowed"): ("3", 2),
+        ("n", "wrong_type"): ("x", 1),
+        ("day", "wrong_type"): ("2024-02-30", 2),
+        ("yes", "wrong_type"): ("maybe", 1),
+    }
+    assert rows(D.dictionary_findings(D.dictionary_fields(spark, "retail", fields[:1]), table.limit(0))) == []
+
+
+def test_first_rows_of_files(spark, tmp_path):
+    """File by file and row by row, whatever the blocks, and the same each time."""
+    for k in range(3):
+        spark.range(1000 * k, 1000 * k + 400).selectExpr("id", "repeat(string(id), 5) AS text").coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+    spark.read.parquet(str(tmp_path / "a")).coalesce(1).write.option("header", True).csv(str(tmp_path / "b"))
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(name, "1000")
+    try:
+        lines = spark.read.option("header", True).csv(str(tmp_path / "b")).withColumn("id", C.col("id").cast("long"))
+        files = spark.read.parquet(str(tmp_path / "a"))
+        order = [r[0] for r in lines.coalesce(1).collect()]
+        for n in (1, 7, 399, 401, 1100, 5000):
+            assert sorted(r["id"] for r in rows(tables.first_rows(lines, n))) == sorted(order[:n])
+            kept = [r["id"] for r in rows(tables.snapshot(files, n))]
+            assert len(kept) == min(n, 1200) and sorted(kept) == sorted(r["id"] for r in rows(tables.snapshot(files, n)))
+            groups = {i // 1000 for i in kept}
+            assert sum(1 for g in groups if sum(i // 1000 == g for i in kept) < 400) <= 1
+            assert all(sorted(i for i in kept if i // 1000 == g) == list(range(1000 * g, 1000 * g + sum(i // 1000 == g for i in kept))) for g in groups)
+    finally:
+        spark.conf.set(name, before)
+    assert tables.snapshot(files.distinct(), 5).count() == 5
