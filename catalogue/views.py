@@ -23,6 +23,7 @@ SCHEMAS = {
     "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
     "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "conversations": "conv_id long, turn long, role string, text string",
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "embeddings": "vec_id long, embedding array<float>, label int",
     "pages": "page_id long, url string, html string",
