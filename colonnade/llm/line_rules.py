@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm.arrays import joined, mixed, range_hashes, slices, text_bytes, word_ranges
@@ -118,19 +118,26 @@ def line_frequency_rules(
         .select("_host", "_copy", line.alias("_line"))
         .where(F.col("_line") != "")
         .select("_host", "_copy", F.xxhash64("_line").alias("_hash"), F.size(F.split("_line", " ")).cast("long").alias("_words"))
-        .groupBy("_host", "_hash", "_copy")
-        .agg(F.sum("_words").alias("_words"), F.count(F.lit(1)).alias("_lines"))
+        .groupBy("_host", "_hash", "_words", "_copy")  # hash and number of words stand for a line; all uses below read this one shuffle
+        .agg(F.count(F.lit(1)).alias("_lines"))
     )
     copies = rows.groupBy("_host", "_copy", "doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     copies = copies.groupBy("_host", "_copy").agg(F.sum("_rows").alias("_rows"), F.count(F.lit(1)).alias("_docs"))
-    on = lambda a, b, key: F.col(f"{a}._host").eqNullSafe(F.col(f"{b}._host")) & (F.col(f"{a}.{key}") == F.col(f"{b}.{key}"))
+
+    def on(a: str, b: str, *keys: str) -> Column:
+        same = F.col(f"{a}._host").eqNullSafe(F.col(f"{b}._host"))
+        for k in keys:
+            same = same & (F.col(f"{a}.{k}") == F.col(f"{b}.{k}"))
+        return same
+
     # no line is in more documents than it has occurrences: only those with enough are looked at again
-    often = lines.groupBy("_host", "_hash").agg(F.sum("_lines").alias("_lines")).where(F.col("_lines") > limit)
-    held = lines.alias("a").join(often.alias("b"), on("a", "b", "_hash"), "left_semi").alias("h").join(copies.alias("c"), on("h", "c", "_copy"))
-    held = held.select("h._host", "h._hash", "h._copy", "c._docs", (F.col("h._words") / F.col("c._rows")).cast("long").alias("_words"))  # of one copy
-    frequent = held.groupBy("_host", "_hash").agg(F.sum("_docs").alias("_docs")).where(F.col("_docs") > limit)
-    removed = held.alias("a").join(frequent.alias("b"), on("a", "b", "_hash"), "left_semi")
-    per_text = removed.groupBy("_host", "_copy").agg(F.sum("_words").alias("_gone"))
+    often = lines.groupBy("_host", "_hash", "_words").agg(F.sum("_lines").alias("_lines")).where(F.col("_lines") > limit)
+    held = lines.alias("a").join(often.alias("b"), on("a", "b", "_hash", "_words"), "left_semi").alias("h").join(copies.alias("c"), on("h", "c", "_copy"))
+    of_one = (F.col("h._words") * F.col("h._lines") / F.col("c._rows")).cast("long").alias("_gone")  # words of the line in one copy
+    held = held.select("h._host", "h._hash", "h._words", "h._copy", "c._docs", of_one)
+    frequent = held.groupBy("_host", "_hash", "_words").agg(F.sum("_docs").alias("_docs")).where(F.col("_docs") > limit)
+    removed = held.alias("a").join(frequent.alias("b"), on("a", "b", "_hash", "_words"), "left_semi")
+    per_text = removed.groupBy("_host", "_copy").agg(F.sum("_gone").alias("_gone"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     gone = F.coalesce(F.col("_gone"), F.lit(0))
     return (
