@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from catalogue import query
 from catalogue.views import table
 from colonnade.operators import charts, compare, grouped, metrics, ranking, series, stats
+from colonnade.operators.semantic import semantic_breakdown
 from colonnade.plans.roles import profile_of
 
 
-
 # --- groupby_aggregate ----------------------------------------------------------------
 
 AGGREGATE_SQL = {
@@ -391,3 +391,24 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return charts.chart_data(table(spark, sf, "customer"), "box", "c_acctbal")
+
+
+@query(
+    "groupby_sum_of_whole_numbers",
+    """SELECT l_returnflag, CAST(sum(CAST(l_partkey AS HUGEINT) * 10000000000000 + l_orderkey) AS VARCHAR) AS total FROM lineitem GROUP BY 1""",
+)
+def _(spark, sf):
+    """Sums far above what a double or a long holds, digit by digit."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_partkey") * 10000000000000 + F.col("l_orderkey")).alias("big"))
+    found = grouped.groupby_aggregate(lines, "l_returnflag", "big", "sum", limit=None)
+    return found.select("l_returnflag", F.col("sum_big").cast("string").alias("total"))
+
+
+@query(
+    "breakdown_of_whole_numbers",
+    """SELECT l_linestatus, CAST(sum(CAST(l_suppkey AS HUGEINT) * 1000000000000000 - l_orderkey) AS VARCHAR) AS total FROM lineitem GROUP BY 1""",
+)
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_linestatus", (F.col("l_suppkey") * F.lit(1000000000000000) - F.col("l_orderkey")).alias("big"))
+    found = semantic_breakdown(lines, profile_of(revenue="big", category="l_linestatus"), "category", limit=None)
+    return found.select("l_linestatus", F.col("big").cast("string").alias("total"))

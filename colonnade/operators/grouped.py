@@ -19,7 +19,7 @@ REVENUE_NOTES = (
 )
 
 
-def groupby_aggregate(df: DataFrame, group_by: str, metric: str, aggregation: str, limit: int = 50) -> DataFrame:
+def groupby_aggregate(df: DataFrame, group_by: str, metric: str, aggregation: str, limit: int | None = 50) -> DataFrame:
     """Top groups by one aggregated metric; the null group counts as a group."""
     require_columns(df, [group_by, metric])
     require_metric(df, metric, aggregation)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colonnade.functions.columns import col, is_numeric, is_positive, number, rounded, total, value
 from colonnade.functions.validate import at_most
 from colonnade.operators.series import period_totals
+from colonnade.plans.measures import exact_total
 from colonnade.plans.roles import SemanticProfile
 
 
@@ -59,12 +60,12 @@ def semantic_time_series(df: DataFrame, profile: SemanticProfile, metric_role: s
 def semantic_breakdown(
     df: DataFrame, profile: SemanticProfile, by_role: str, metric_role: str = "revenue", limit: int | None = 20
 ) -> DataFrame:
-    """Sum of one role by another, largest groups first."""
+    """Sum of one role by another, largest groups first; sums of whole numbers are exact, as decimal(38,0)."""
     by, metric = profile.column(by_role), profile.column(metric_role)
     if not by or not metric or not is_numeric(df, metric):
         return notice(df.sparkSession)
     keyed = df.select(value(df, by).alias("__key"), number(df, metric).alias("__metric"))
-    sums = keyed.groupBy(F.col("__key").alias(by)).agg(F.coalesce(F.sum("__metric"), F.lit(0)).alias(metric if metric != by else f"sum_{metric}"))
+    sums = keyed.groupBy(F.col("__key").alias(by)).agg(exact_total(keyed, "__metric").alias(metric if metric != by else f"sum_{metric}"))
     return at_most(sums.orderBy(F.col(f"`{sums.columns[1]}`").desc_nulls_last(), col(by).asc_nulls_last()), limit)
 
 

@@ -6,17 +6,27 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colonnade.functions.columns import aggregate, col
+from colonnade.functions.columns import aggregate, col, total
 from colonnade.plans.quantiles import exact_quantiles, grouped_median
 
 
+def exact_total(frame: DataFrame, name: str, whole_as: str = "decimal(38,0)") -> Column:
+    """The sum of a column, 0 without values: exact for whole numbers, whatever they add up to, else a double."""
+    kind = frame.schema[name].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.coalesce(F.sum(col(name).cast("decimal(20,0)")), F.lit(0)).cast(whole_as)
+    return total(col(name))
+
+
 def grouped_measure(df: DataFrame, keys: Mapping[str, Column], metric: Column, how: str, out: str) -> DataFrame:
-    """One row per key with ``how`` applied to ``metric``."""
+    """One row per key with ``how`` applied to ``metric``; sums of whole numbers are exact, as decimal(38,0)."""
     frame = df.select(*[c.alias(name) for name, c in keys.items()], metric.alias("__metric"))
     if how == "median":
         return grouped_median(frame, list(keys), F.col("__metric"), out)
-    return frame.groupBy(*[col(k) for k in keys]).agg(aggregate(how, F.col("__metric")).alias(out))
+    measure = exact_total(frame, "__metric") if how == "sum" else aggregate(how, F.col("__metric"))
+    return frame.groupBy(*[col(k) for k in keys]).agg(measure.alias(out))
 
 
 def overall_measures(df: DataFrame, metrics: Mapping[str, Column], how: str) -> DataFrame:

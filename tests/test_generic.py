@@ -373,3 +373,19 @@ def test_types_look_at_all_rows(spark):
     texts = [f"2024-01-{1 + i % 28:02d}" for i in range(200)] + [f"code {i}" for i in range(1800)]
     df = spark.createDataFrame([(t,) for t in texts], "created_date string").repartition(7)
     assert infer_column_types(df) == {"created_date": "text"}
+
+
+def test_whole_numbers_add_up_exactly(spark):
+    """Above 2^53 digit by digit, above 2^63 without an overflow."""
+    from colonnade.operators import domain, grouped, semantic
+    from colonnade.plans.roles import profile_of
+
+    big = spark.createDataFrame([("a", 2**60), ("a", 1), ("a", 1), ("b", 2**62), ("b", 2**62), ("b", 2**62), ("c", None)], "k string, n long")
+    expect = {"a": 2**60 + 2, "b": 3 * 2**62, "c": 0}
+    assert {r["k"]: int(r["sum_n"]) for r in grouped.groupby_aggregate(big, "k", "n", "sum", limit=None).collect()} == expect
+    profile = profile_of(revenue="n", category="k", profit="n")
+    assert {r["k"]: int(r["n"]) for r in semantic.semantic_breakdown(big, profile, "category", limit=None).collect()} == expect
+    losses = spark.createDataFrame([(str(i), -1.0, 5.0) for i in range(30)], "k string, p double, r double")
+    made = profile_of(revenue="r", category="k", profit="p")
+    assert domain.retail_loss_analysis(losses, made, limit=None).count() == 30 and domain.retail_loss_analysis(losses, made).count() == 20
+    assert domain.retail_top_opportunities(losses, made, limit=None).count() == 30
