@@ -77,7 +77,8 @@ def _each_key(sides: list[DataFrame], keyed: list[DataFrame], function: Callable
     for s, frame in enumerate(keyed):
         cells = [F.lit(None).cast(f.dataType).alias(n) if t != s else col(f.name).alias(n) for t, side in enumerate(sides) for f, n in zip(side.schema.fields, names[t], strict=True)]
         rows.append(frame.select("__key", F.lit(s).alias("__side"), *cells))
-    placed = functools.reduce(DataFrame.union, rows).repartition("__key").sortWithinPartitions("__key", "__side")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes with much code are not put in one task
+    placed = functools.reduce(DataFrame.union, rows).repartition(tasks, "__key").sortWithinPartitions("__key", "__side")
     labels = [side.columns for side in sides]
 
     def called(table: pa.Table) -> Iterator[pa.RecordBatch]:
