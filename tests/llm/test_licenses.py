@@ -72,3 +72,53 @@ def test_two_notices_and_empty(spark, empty):
     row = licenses.license_notices(spark.createDataFrame([(1, text, "en", "s", 1)], SCHEMA)).first()
     assert row.licenses == ["CC-BY-NC-4.0", "MIT"] and row.n_notices == 3
     assert licenses.license_notices(empty).count() == 0
+
+
+NEIGHBOURS = {
+    "Licensed under CC BY-SA 4.0": ["CC-BY-SA-4.0"],
+    "Licensed under CC BY 4.0": ["CC-BY-4.0"],
+    "Licensed under CC BY 3.0": [],
+    "Licensed under CC BY-NC-SA 4.0": ["CC-BY-NC-SA-4.0"],
+    "Released under the Apache License": [],
+    "Released under the BSD License": ["BSD"],
+    "Released under the BSD 3-Clause License": ["BSD-3-Clause"],
+    "Released under the ISC License": ["ISC"],
+    "Released under the Foo License": [],
+    "This work is licensed under the GNU General Public License, version 2": ["GPL-2.0"],
+    "This work is licensed under the GNU General Public License, version 4": [],
+    "This work is licensed under the GNU Lesser General Public License, version 3": ["LGPL-3.0"],
+    "This work is licensed under the GNU Lesser General Public License, version 2.1": ["LGPL-2.1"],
+    "This work is licensed under the GNU Affero General Public License, version 3": ["AGPL-3.0"],
+    "This work is licensed under the GNU Library General Public License, version 2": [],
+    "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License": ["CC-BY-SA-4.0"],
+    "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License": ["CC-BY-ND-4.0"],
+    "This work is licensed under the Creative Commons Attribution 3.0 International License": [],
+    "Licensed under the Apache License, Version 1.1.": [],
+}
+
+
+def test_neighbours(spark):
+    texts = list(NEIGHBOURS)
+    rows = [(i, f"Notes on it. {t}. More follows here.", "en", "s", 1) for i, t in enumerate(texts)]
+    got = {texts[r.doc_id]: r.licenses for r in licenses.license_notices(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == NEIGHBOURS
+
+
+def test_every_notice_names_its_own_licence_only():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE, licenses.NAMING, licenses.FOREIGN)
+    assert set(licenses.NAMING) == set(licenses.TEMPLATES)
+    for name, texts in licenses.TEMPLATES.items():
+        for k, text in enumerate(texts):
+            assert {n["license"] for n in scanner.scan(f"Before it. {text} After it.")} == {name}
+            assert scanner.marks[[t[:2] for t in scanner.templates].index((name, k))][0], "nothing names it"
+    three = licenses.TEMPLATES["BSD-3-Clause"][1]
+    four = three.replace("Neither the name", "All advertising materials mentioning features of this software must display this. Neither the name")
+    assert "BSD-3-Clause" not in {n["license"] for n in scanner.scan(four)}
+
+
+def test_templates_of_ones_own(spark):
+    rows = spark.createDataFrame([(1, "Use it under house rules two. Use it under house rules three.", "en", "s", 1)], SCHEMA)
+    own = {"two": ["use it under house rules two"], "three": ["use it under house rules three"]}
+    assert licenses.license_notices(rows, own).first().n_notices == 4
+    named = licenses.license_notices(rows, own, naming={"two": "two", "three": "three"}).first()
+    assert [(n.license, n.first_word) for n in named.notices] == [("two", 0), ("three", 6)]
