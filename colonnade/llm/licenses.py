@@ -63,12 +63,12 @@ TEMPLATES = {
     ],
     "LGPL-3.0": [
         "This work is licensed under the GNU Lesser General Public License, version 3.",
-        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "LGPL-2.1": [
         "This work is licensed under the GNU Lesser General Public License, version 2.1.",
-        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
         "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ],
     "AGPL-3.0": [
@@ -129,9 +129,9 @@ NAMING = {
     "0BSD": "fee granted",
     "GPL-3.0": "gnu 3",
     "GPL-2.0": "gnu 2",
-    "LGPL-3.0": "gnu lesser 3",
-    "LGPL-2.1": "gnu lesser 2.1",
-    "AGPL-3.0": "gnu affero 3",
+    "LGPL-3.0": "lesser 3",
+    "LGPL-2.1": "lesser 2.1",
+    "AGPL-3.0": "affero 3",
     "BSD": "bsd redistribution binary",
     "BSD-2-Clause": "bsd 2 redistributions reproduce",
     "BSD-3-Clause": "bsd 3 redistributions reproduce neither endorse",
