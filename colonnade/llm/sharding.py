@@ -18,6 +18,7 @@ from colonnade.llm.tables import filled, table
 
 #: Rows that one task numbers together.
 NUMBERED = 50_000
+_PIECE = 10_000
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -58,7 +59,8 @@ def sharded(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str =
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard.  Only the key and the shard count
     decide the shard; equal keys (a null is a key too) share it.  Slots run from 0 without gaps: rows of a
     shard are spread over bounded chunks by a hash of the row, numbered within the chunk, and offset by the
-    counts of the earlier chunks, so no task sorts a shard.  A null text has no bytes and checksum 0.
+    counts of the earlier chunks, so no task sorts a shard.  Repeated rows are one row with a count until they
+    have their slots, so no chunk is large for them.  A null text has no bytes and checksum 0.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -75,25 +77,29 @@ def sharded(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str =
             "_chunk": F.pmod(F.xxhash64("_key", "text_crc32", "size"), F.lit(chunks)),
         }
     )
-    counts = rows.groupBy("shard", "_chunk").count()
+    own = ["shard", "_chunk", "doc_id", "text_crc32", "size", "grown_shard"]
+    rows = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy("shard", "_chunk").agg(F.sum("_n").alias("_n"))
     before = counts.select(
         F.col("shard"),
         F.col("_chunk"),
-        (F.sum("count").over(Window.partitionBy("shard").orderBy("_chunk")) - F.col("count")).alias("_before"),
+        (F.sum("_n").over(Window.partitionBy("shard").orderBy("_chunk")) - F.col("_n")).alias("_before"),
     )
-    within = F.row_number().over(Window.partitionBy("shard", "_chunk").orderBy("doc_id", "text_crc32", "size"))
-    return (
-        rows.withColumn("_within", within)
-        .join(before, ["shard", "_chunk"])
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.lit("key").alias("law"),
-            "shard",
-            (F.col("_before") + F.col("_within") - 1).cast("long").alias("slot"),
-            "grown_shard",
-        )
+    upto = F.sum("_n").over(Window.partitionBy("shard", "_chunk").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.col("_before") + F.col("_upto") - F.col("_n")
+    # the slots of a repeated row, by pieces so that no array is long
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / _PIECE))).alias("_piece")
+    start = F.col("_piece") * _PIECE
+    slots = F.explode(F.sequence(start, F.least(start + _PIECE, F.col("_n")) - 1)).alias("_nth")
+    placed = rows.withColumn("_upto", upto).join(before, ["shard", "_chunk"]).select(*own, first.alias("_first"), "_n", pieces)
+    return placed.select(*own, "_first", slots).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("key").alias("law"),
+        "shard",
+        (F.col("_first") + F.col("_nth")).cast("long").alias("slot"),
+        "grown_shard",
     )
 
 

@@ -41,5 +41,18 @@ def test_shards(docs, monkeypatch, numbered):
     assert len({(r.doc_id, r.shard) for r in rows}) == len({r.doc_id for r in rows})
 
 
+def test_repeated_rows_have_slots_of_their_own(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "NUMBERED", 50)
+    monkeypatch.setattr(sharding, "_PIECE", 64)
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    rows = sharding.sharded(same.unionByName(spark.range(200).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")))).collect()
+    assert len(rows) == 3200 and sum(r.doc_id is None for r in rows) == 3000
+    assert len({r.shard for r in rows if r.doc_id is None}) == 1
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+
+
 def test_empty(empty):
     assert sharding.sharded(empty).count() == 0
