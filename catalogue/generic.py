@@ -409,6 +409,7 @@ def _(spark, sf):
     """SELECT l_linestatus, CAST(sum(CAST(l_suppkey AS HUGEINT) * 1000000000000000 - l_orderkey) AS VARCHAR) AS total FROM lineitem GROUP BY 1""",
 )
 def _(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_linestatus", (F.col("l_suppkey") * F.lit(1000000000000000) - F.col("l_orderkey")).alias("big"))
+    big = F.col("l_suppkey").cast("decimal(20,0)") * F.lit(1000000000000000) - F.col("l_orderkey")
+    lines = table(spark, sf, "lineitem").select("l_linestatus", big.alias("big"))
     found = semantic_breakdown(lines, profile_of(revenue="big", category="l_linestatus"), "category", limit=None)
     return found.select("l_linestatus", F.col("big").cast("string").alias("total"))

@@ -79,6 +79,15 @@ def number(df: DataFrame, name: str) -> Column:
     return decimal_number(strip(col(name).cast("string")))
 
 
+def is_whole_decimal(kind: T.DataType) -> bool:
+    return isinstance(kind, T.DecimalType) and kind.scale == 0
+
+
+def summand(df: DataFrame, name: str) -> Column:
+    """The column as :func:`number` gives it, but whole decimals as they are, so that their sums stay exact."""
+    return col(name) if is_whole_decimal(type_of(df, name)) else number(df, name)
+
+
 def decimal_number(text: Column) -> Column:
     """A text that is a decimal number, with an exponent or without, or infinity; null for any other."""
     return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))

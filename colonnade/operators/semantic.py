@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.functions.columns import col, is_numeric, is_positive, number, rounded, total, value
+from colonnade.functions.columns import col, is_numeric, is_positive, number, rounded, summand, total, value
 from colonnade.functions.validate import at_most
 from colonnade.operators.series import period_totals
 from colonnade.plans.measures import exact_total
@@ -64,7 +64,7 @@ def semantic_breakdown(
     by, metric = profile.column(by_role), profile.column(metric_role)
     if not by or not metric or not is_numeric(df, metric):
         return notice(df.sparkSession)
-    keyed = df.select(value(df, by).alias("__key"), number(df, metric).alias("__metric"))
+    keyed = df.select(value(df, by).alias("__key"), summand(df, metric).alias("__metric"))
     sums = keyed.groupBy(F.col("__key").alias(by)).agg(exact_total(keyed, "__metric").alias(metric if metric != by else f"sum_{metric}"))
     return at_most(sums.orderBy(F.col(f"`{sums.columns[1]}`").desc_nulls_last(), col(by).asc_nulls_last()), limit)
 

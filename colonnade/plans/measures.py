@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colonnade.functions.columns import aggregate, col, total
+from colonnade.functions.columns import aggregate, col, is_whole_decimal, total
 from colonnade.plans.quantiles import exact_quantiles, grouped_median
 
 
@@ -17,6 +17,8 @@ def exact_total(frame: DataFrame, name: str, whole_as: str = "decimal(38,0)") ->
     kind = frame.schema[name].dataType
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.coalesce(F.sum(col(name).cast("decimal(20,0)")), F.lit(0)).cast(whole_as)
+    if is_whole_decimal(kind):
+        return F.coalesce(F.sum(col(name)), F.lit(0)).cast(whole_as)
     return total(col(name))
 
 
