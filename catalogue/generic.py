@@ -399,7 +399,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Sums far above what a double or a long holds, digit by digit."""
-    lines = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_partkey") * 10000000000000 + F.col("l_orderkey")).alias("big"))
+    big = F.col("l_partkey").cast("decimal(20,0)") * F.lit(10000000000000) + F.col("l_orderkey")
+    lines = table(spark, sf, "lineitem").select("l_returnflag", big.alias("big"))
     found = grouped.groupby_aggregate(lines, "l_returnflag", "big", "sum", limit=None)
     return found.select("l_returnflag", F.col("sum_big").cast("string").alias("total"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.functions.columns import col, is_temporal, number, percent, timestamp, total, value
+from colonnade.functions.columns import col, is_temporal, number, percent, summand, timestamp, total, value
 from colonnade.functions.validate import require_columns, require_limit, require_metric
 from colonnade.plans.measures import grouped_measure, scalar_of
 
@@ -25,7 +25,8 @@ def groupby_aggregate(df: DataFrame, group_by: str, metric: str, aggregation: st
     require_metric(df, metric, aggregation)
     require_limit(limit, 500)
     out = f"{aggregation}_{metric}"
-    values = number(df, metric) if aggregation != "count" else value(df, metric)
+    read = {"count": value, "sum": summand}.get(aggregation, number)
+    values = read(df, metric)
     grouped = grouped_measure(df, {group_by: value(df, group_by)}, values, aggregation, out)
     ordered = grouped.orderBy(col(out).desc_nulls_last(), col(group_by).asc_nulls_last())
     return ordered if limit is None else ordered.limit(limit)

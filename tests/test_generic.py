@@ -389,3 +389,20 @@ def test_whole_numbers_add_up_exactly(spark):
     made = profile_of(revenue="r", category="k", profit="p")
     assert domain.retail_loss_analysis(losses, made, limit=None).count() == 30 and domain.retail_loss_analysis(losses, made).count() == 20
     assert domain.retail_top_opportunities(losses, made, limit=None).count() == 30
+
+
+def test_sums_of_keys_beyond_a_long(spark, tmp_path):
+    """Keys whose weighted values no long holds, and whole decimals, add up digit by digit."""
+    import catalogue
+    from colonnade.operators import grouped
+
+    keys = [(2_000_000 + i, 60_000 + i, i) for i in range(50)]
+    lines = spark.createDataFrame([("A", "O", *k) for k in keys], "l_returnflag string, l_linestatus string, l_partkey long, l_suppkey long, l_orderkey long")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    catalogue.load()
+    found = only(catalogue.QUERIES["groupby_sum_of_whole_numbers"](spark, str(tmp_path)))
+    assert found["total"] == str(sum(p * 10**13 + o for p, _, o in keys))
+    found = only(catalogue.QUERIES["breakdown_of_whole_numbers"](spark, str(tmp_path)))
+    assert found["total"] == str(sum(s * 10**15 - o for _, s, o in keys))
+    wide = spark.sql("SELECT 'a' AS k, CAST('12345678901234567890123' AS decimal(30,0)) AS n UNION ALL SELECT 'a', 1 UNION ALL SELECT 'b', NULL")
+    assert {r["k"]: int(r["sum_n"]) for r in rows(grouped.groupby_aggregate(wide, "k", "n", "sum"))} == {"a": 12345678901234567890124, "b": 0}
