@@ -121,7 +121,9 @@ def retail(spark: SparkSession, sf: str, *parts: str) -> DataFrame:
             F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("__nation")
         )
         orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-        df = df.join(orders, "l_orderkey", "left").join(buyers.join(nation, "__nation", "left").drop("__nation"), "o_custkey", "left")
+        # orders meet their buyers first, so that lines are shuffled by order only
+        bought = orders.join(buyers.join(nation, "__nation", "left").drop("__nation"), "o_custkey", "left")
+        df = df.join(bought, "l_orderkey", "left")
     revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     kept = ["category", "brand", *(["segment", "state"] if "customer" in parts else [])]
     return df.select(

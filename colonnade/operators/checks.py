@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.functions.columns import is_numeric, number, rounded
+from colonnade.functions.columns import col, is_numeric, number, rounded
 from colonnade.operators.quality import duplicate_count
 from colonnade.operators.semantic import semantic_breakdown, semantic_target_summary, semantic_time_series
 from colonnade.operators.stats import detect_outliers
 from colonnade.plans.quantiles import exact_quantiles
 from colonnade.plans.roles import SemanticProfile
+from colonnade.plans.scale import read_repeatedly
 
 # What a run has to reach.
 THRESHOLDS = {
@@ -26,6 +28,8 @@ THRESHOLDS = {
 }
 EXPECTED_SCHEMA = "case_id string, label string, metric string, expected double, tolerance double"
 TOLERANCE = 0.01
+# Tools that read what another one reads.
+SAME_READING = {"groupby_aggregate": "semantic_breakdown", "top_bottom_contributors": "semantic_breakdown", "trend_analysis": "semantic_time_series"}
 RATE_TOLERANCE = 0.000001
 
 
@@ -53,13 +57,30 @@ def check_join(expected: DataFrame, actual: DataFrame, keys: Sequence[str] = ("d
 def expected_values(df: DataFrame, profile: SemanticProfile, cases: Sequence[Mapping[str, Any]]) -> DataFrame:
     """The number each case should produce, from the operator the case names.
 
-    A case has ``id``, ``tool`` and maybe ``metric_role`` and ``dimension_role``.
+    A case has ``id``, ``tool`` and maybe ``metric_role`` and ``dimension_role``.  The columns that the cases
+    name are held while they are read, so ``df`` is computed once for all of them; only a case on whole rows
+    reads ``df`` itself.  The result, one row a case at most, is computed at once.
     """
-    parts = [p for p in (_expected(df, profile, case) for case in cases) if p is not None]
-    result = df.sparkSession.createDataFrame([], EXPECTED_SCHEMA)
-    for part in parts:
-        result = result.unionByName(part)
-    return result
+    named = {c for case in cases for c in _columns(profile, case)}
+    with read_repeatedly(df.select(*[col(c) for c in df.columns if c in named])) as held:
+        source = lambda case: df if case["tool"] == "get_duplicate_rows" else held
+        parts = [p for p in (_expected(source(case), profile, case) for case in cases) if p is not None]
+        found = reduce(DataFrame.unionByName, parts).collect() if parts else []
+    return df.sparkSession.createDataFrame(found, EXPECTED_SCHEMA)
+
+
+def _columns(profile: SemanticProfile, case: Mapping[str, Any]) -> list[str]:
+    """The columns that :func:`_expected` reads for a case, whole rows aside."""
+    tool, metric, by = case["tool"], case.get("metric_role") or "", case.get("dimension_role") or ""
+    if tool in ("get_sales_overview", "top_skus_by_revenue"):
+        return ["revenue", "sku"]
+    found = {
+        "semantic_breakdown": [profile.column(metric), profile.column(by)],
+        "semantic_time_series": [profile.column(metric, "revenue", "profit", "quantity"), profile.column("date")],
+        "semantic_target_summary": [profile.column("target", "conversion"), profile.column(by)],
+        "detect_outliers": [profile.column(metric, "quantity", "revenue")],
+    }
+    return [c for c in found.get(SAME_READING.get(tool, tool), []) if c]
 
 
 def _row(source: DataFrame, case: Mapping[str, Any], label: Column, metric: str, value: Column, tolerance: float) -> DataFrame:

@@ -263,6 +263,23 @@ def test_expected_values(spark):
     }
 
 
+def test_expected_values_compute_their_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(f"2024-0{1 + i % 3}-01", float(i), "abc"[i % 3]) for i in range(60)], "d string, s double, k string").mapInPandas(tell, "d string, s double, k string")
+    cases = [
+        {"id": 1, "tool": "semantic_breakdown", "metric_role": "revenue", "dimension_role": "category"}, {"id": 2, "tool": "trend_analysis"},
+        {"id": 3, "tool": "detect_outliers"}, {"id": 4, "tool": "get_dataset_overview"},
+    ]
+    found = {r["case_id"]: r["expected"] for r in rows(checks.expected_values(df, profile_of("retail", date="d", revenue="s", category="k"), cases))}
+    assert found == {"1": 610.0, "2": 570.0, "3": 0.0, "4": 60.0} and seen.value == 60
+
+
 def test_run_summary(spark):
     flags = "domain boolean, metric_role boolean, dimension_role boolean, intent boolean, tool boolean, numeric boolean, answer_constraints boolean"
     data = [("retail/a", "passed", float(i), True, True, None, True, True, True, None) for i in range(1, 20)]
