@@ -315,3 +315,25 @@ def test_ecommerce_dashboard_and_registry(spark):
     with pytest.raises(TypeError):
         run("get_missing_values", raw, nonsense=1)
     assert len(operator_names()) >= 51
+
+
+def test_column_facts_read_the_table_once(spark):
+    from colonnade.plans.roles import column_facts
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    schema = "day string, kind string, note string, n double, at date, yes boolean, gone string"
+    data = [(f"2024-01-{1 + i % 28:02d}", "ab"[i % 2], f"note {i}" * 9, float("nan") if i % 2 else 1.0, None, True, None) for i in range(120)]
+    df = spark.createDataFrame(data, schema).mapInPandas(tell, schema)
+    found = {r["column"]: [k for k in ("numeric", "repeated_text", "date_like", "yes_no", "short_text") if r[k]] for r in column_facts(df).collect()}
+    assert seen.value == 120
+    assert found == {
+        "day": ["repeated_text", "date_like", "short_text"], "kind": ["repeated_text"], "note": [], "n": ["numeric", "short_text"],
+        "at": [], "yes": ["numeric", "yes_no", "short_text"], "gone": [],
+    }
+    assert all(not (r["repeated_text"] or r["date_like"] or r["yes_no"]) for r in column_facts(spark.createDataFrame([], schema)).collect())
