@@ -30,6 +30,8 @@ HIDDEN = 32
 THRESHOLD = 0.3
 #: Buckets summed in one row.
 _BLOCK = 512
+#: Rows of four signs plus one, 8 at most, whose sums fit 16 bits.
+_ROWS = 8000
 #: Ids of the shapes: all capitals, first capital, repetition of the word before, long run of signs.
 _SHAPES = 4
 
@@ -83,21 +85,33 @@ def tokens_of(data: np.ndarray, at: np.ndarray, first: int, last: int) -> tuple[
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sums of a task: for every bucket, the fixed vectors of the two words on either side."""
-    fixed, total = fixed_vectors(), np.zeros((BUCKETS, DIMENSIONS), np.float64)
+    # signs and their sums are small whole numbers: four are added at a time, each plus one in 16 bits of its own; the last row stands for no word
+    fixed = (np.concatenate((fixed_vectors(), np.zeros((1, DIMENSIONS)))) + 1).astype(np.uint16).view(np.uint64)
+    total = np.zeros((BUCKETS, DIMENSIONS), np.float64)
     for batch in batches:
         data, at = text_bytes(batch.column("_text"))
         for first, last in slices(at, 1 << 18):
             bucket, text = tokens_of(data, at, first, last)
-            around = np.zeros((len(bucket), DIMENSIONS), np.float32)
-            for k in (1, 2):
-                same = (text[k:] == text[:-k])[:, None]
-                around[k:] += np.where(same, fixed[bucket[:-k]], 0)
-                around[:-k] += np.where(same, fixed[bucket[k:]], 0)
+            if not len(bucket):
+                continue
+            # two places without a word around every text keep its neighbours out
+            spot = 2 + np.arange(len(bucket)) + 2 * np.concatenate(([0], np.cumsum(text[1:] != text[:-1])))
+            padded = np.full(spot[-1] + 3, BUCKETS)
+            padded[spot] = bucket
+            signs = fixed[padded]
+            around = signs[:-4] + signs[1:-3]
+            around += signs[3:-1]
+            around += signs[4:]
             order = np.argsort(bucket.astype(np.uint16), kind="stable")
-            if len(order):
-                ranked = bucket[order]
-                start = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-                total[ranked[start]] += np.add.reduceat(around[order], start, axis=0)
+            ranked = bucket[order]
+            first_of = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+            first_of[::_ROWS] = True
+            start = np.flatnonzero(first_of)
+            sums = np.add.reduceat(around[spot[order] - 2], start, axis=0).view(np.uint16).astype(np.int64)
+            sums -= 4 * np.diff(np.append(start, len(order)))[:, None]
+            place = ranked[start]
+            own = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            total[place[own]] += np.add.reduceat(sums, own, axis=0)
     if total.any():
         rows = total.astype(np.float32).reshape(-1, _BLOCK * DIMENSIONS)
         yield pa.RecordBatch.from_pydict({"_block": pa.array(np.arange(len(rows))), "sums": pa.array([r.tobytes() for r in rows], pa.binary())})

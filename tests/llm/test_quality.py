@@ -23,6 +23,25 @@ def test_word_vectors_match_plain_sums(docs):
     assert np.allclose(quality.word_vectors(wide(some)), total + fixed / np.sqrt(quality.SIGNS), atol=1e-4)
 
 
+def test_frequent_words_are_summed_piece_by_piece(monkeypatch):
+    """Sums of four signs run in 16 bits, so a bucket's rows are added in bounded pieces; the sums do not change."""
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_pydict({"_text": ["", "same " * 30_000, "one Two two same\n##", "x", " "]})
+    (whole,) = quality._contexts(iter([texts]))
+    found = np.concatenate([np.frombuffer(r, np.float32) for r in whole.column("sums").to_pylist()]).reshape(quality.BUCKETS, -1)
+    plain, fixed = np.zeros_like(found), quality.fixed_vectors()
+    for raw in (np.frombuffer(t.encode(), np.uint8) for t in texts.column("_text").to_pylist()):
+        bucket, _ = quality.tokens_of(raw, np.array([0, len(raw)]), 0, 1)
+        for k in (1, 2):
+            np.add.at(plain, bucket[k:], fixed[bucket[:-k]])
+            np.add.at(plain, bucket[:-k], fixed[bucket[k:]])
+    assert np.array_equal(found, plain)
+    monkeypatch.setattr(quality, "_ROWS", 3)
+    (pieces,) = quality._contexts(iter([texts]))
+    assert pieces.equals(whole)
+
+
 def test_slices_do_not_change_the_pooling():
     texts = [b"One two, TWO two!! ### x", b"", b"  ", "é É ÀB cd".encode(), b"12 ab34 ** "]
     at = np.cumsum([0, *map(len, texts)])
