@@ -115,39 +115,43 @@ def _aligned(points: np.ndarray, begin: np.ndarray, index: PassageIndex, text: n
     at = 0
     while at < len(order):
         own = order[at:]
-        width = 4 * (index.edits[item[own]] + 1) + 1  # the band, and the edits around it
+        # the band, the edits around it, and the places it comes by
+        width = 4 * (index.edits[item[own]] + 1) + 1 + index.length[item[own]]
         own = own[: max(1, int(np.searchsorted(np.maximum.accumulate(width) * np.arange(1, len(own) + 1), CELLS, side="right")))]
         at += len(own)
         t, k = text[own], item[own]
         slack = index.edits[k] + 1
         w = int((4 * slack + 1).max())
         left = begin[t] + diagonal[own] - slack  # text place before the first character, at step 0
-        low, high = begin[t][:, None], (begin[t + 1] - 1)[:, None]
         column = np.arange(w)
-        place = left[:, None] + column
-        inside = column < (4 * slack + 1)[:, None]
+        outside = column >= (4 * slack + 1)[:, None]
+        # all places that the band comes by: step i looks at columns i to i + w
+        longest = int(index.length[k].max())
+        place = left[:, None] + np.arange(w + longest)
+        beyond = (place < begin[t][:, None]) | (place > (begin[t + 1] - 1)[:, None])
+        symbols = points[np.clip(place, 0, len(points) - 1)]
         # edits in the high bits, the start column in the low ones: least edits first, then the earliest start
-        cell = np.where(inside & (place >= low) & (place <= high), column, _FAR << _BITS)
+        cell = np.where(outside | beyond[:, :w], _FAR << _BITS, column)
         step = (column << _BITS).astype(np.int64)
         result = np.full(len(own), _FAR << _BITS, np.int64)
         end = np.zeros(len(own), np.int64)
-        for i in range(int(index.length[k].max())):
-            active = i < index.length[k]
-            symbol = index.text[np.where(active, index.at[k] + i, 0)]
-            before = points[np.clip(place, 0, len(points) - 1)]
-            cost = ((before != symbol[:, None]) | (before == END)).astype(np.int64) << _BITS
-            new = cell + cost
+        done = 0  # candidates come by rising length: those before are at their end
+        for i in range(longest):
+            symbol = index.text[index.at[k[done:]] + i]
+            new = cell + np.multiply(symbols[done:, i : i + w] != symbol[:, None], 1 << _BITS, dtype=np.int64)  # no symbol is END
             np.minimum(new[:, :-1], cell[:, 1:] + (1 << _BITS), out=new[:, :-1])
-            place = place + 1
-            new[~(inside & (place >= low) & (place <= high))] = _FAR << _BITS
-            new = np.minimum.accumulate(new - step, axis=1) + step
-            new[~(inside & (place >= low) & (place <= high))] = _FAR << _BITS
-            cell = new
-            last = np.flatnonzero(index.length[k] == i + 1)
-            if len(last):
-                best = np.argmin(cell[last], axis=1)
-                result[last] = cell[last, best]
-                end[last] = place[last, best]
+            bad = outside[done:] | beyond[done:, i + 1 : i + 1 + w]
+            np.copyto(new, _FAR << _BITS, where=bad)
+            new -= step
+            cell = np.minimum.accumulate(new, axis=1)
+            cell += step
+            np.copyto(cell, _FAR << _BITS, where=bad)
+            n = int(np.searchsorted(index.length[k[done:]], i + 1, side="right"))
+            if n:
+                best = np.argmin(cell[:n], axis=1)
+                result[done : done + n] = cell[np.arange(n), best]
+                end[done : done + n] = place[np.arange(done, done + n), best + i + 1]
+                done, cell = done + n, cell[n:]
         edits = result >> _BITS
         good = np.flatnonzero(edits <= index.edits[k])
         start = left + (result & ((1 << _BITS) - 1))

@@ -86,3 +86,17 @@ def test_spans_name_the_passage(spark, items):
 def test_empty(empty, items, docs):
     assert decontamination.contaminated(empty, items).count() == 0
     assert not any(r.contaminated for r in decontamination.contaminated(docs, items.where("item_id < 0")).collect())
+
+
+def test_candidates_of_all_lengths_are_aligned_together():
+    rng = random.Random(5)
+    passages = [(i, "".join(rng.choice("abcdefg ") for _ in range(n)).strip()) for i, n in enumerate((9, 17, 40, 120, 300, 900))]
+    index = decontamination.PassageIndex(passages, 8, 0.1)
+    texts = [f"{edited(rng, p, k * len(p) // 30)} and more {p}" for _, p in passages for k in (0, 1, 2)] + [p for _, p in passages]
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    together = decontamination.passages_in(data, at, 0, len(texts), index)
+    alone = [found for i in range(len(texts)) for found in decontamination.passages_in(data, at, i, i + 1, index)]
+    assert together == alone and {f[1] for f in together} == set(range(6))
+    for row, item, start, stop, edits in together:
+        assert distance(normal(passages[item][1]), normal(texts[row][start:stop])) == edits
