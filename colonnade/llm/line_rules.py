@@ -17,6 +17,8 @@ LINE_LIMIT = 100
 #: A document is depleted if less than this share of its words remains without boilerplate lines.
 LEAST_LEFT = 0.25
 WINDOW = 5
+#: Bytes of text counted at a time: the arrays take some fifty bytes for each.
+COUNTED = 1 << 18
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -80,7 +82,7 @@ def counts_of(data: np.ndarray, at: np.ndarray, first: int, last: int) -> dict[s
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = text_bytes(batch.column("_text"))
-        for first, last in slices(at):
+        for first, last in slices(at, COUNTED):
             found = counts_of(data, at, first, last)
             own = batch.slice(first, last - first)
             yield pa.RecordBatch.from_pydict(

@@ -55,5 +55,23 @@ def test_copies_are_documents(spark):
     assert not any(r.n_line_words_removed for r in line_frequency_rules(frame, limit=6).collect())
 
 
+def test_counting_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from colonnade.llm import line_rules
+
+    texts = ["some words and other words " * 40 + str(i) for i in range(4000)]
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n)), "_host": pa.array(["h"] * n), "_copy": pa.array(range(n)), "_text": pa.array(texts)})
+    tracemalloc.start()
+    try:
+        assert sum(len(b) for b in line_rules._counted(iter([batch]))) == n
+        assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_empty(empty):
     assert line_frequency_rules(empty).count() == 0
