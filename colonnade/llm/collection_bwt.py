@@ -5,7 +5,8 @@ prefixes, Cox, Garofalo, Rosone and Sciortino, 2016).  After round j the transfo
 most j symbols in order: position by position the symbol before the suffix, and how many symbols the suffix
 shares with the one above it.  The suffixes of j + 1 symbols are the symbols of the last round's suffixes
 put before them, so their places follow from the counts of equal symbols above, and their common prefixes
-from the smallest value between two equal symbols.  Both arrays are read from and written to a sequential
+from the smallest value between two equal symbols.  A symbol is a byte, or two where the strings to be compared
+have an even number of bytes.  Both arrays are read from and written to a sequential
 file each round; the files have no name and vanish with the task.
 """
 
@@ -19,8 +20,8 @@ import numpy as np
 class _File:
     """One array in a scratch file, replaced as a whole and read front to back."""
 
-    def __init__(self):
-        self._file = tempfile.TemporaryFile()
+    def __init__(self, kind: np.dtype):
+        self._file, self._kind = tempfile.TemporaryFile(), kind
 
     def write(self, values: np.ndarray) -> None:
         self._file.seek(0)
@@ -29,7 +30,7 @@ class _File:
 
     def read(self) -> np.ndarray:
         self._file.seek(0)
-        return np.fromfile(self._file, np.uint8)
+        return np.fromfile(self._file, self._kind)
 
     def close(self) -> None:
         self._file.close()
@@ -40,28 +41,44 @@ def _sorted_places(symbols: np.ndarray) -> tuple[np.ndarray, int]:
     return np.argsort(symbols, kind="stable"), int(np.count_nonzero(symbols == 0))
 
 
+def _columns(data: np.ndarray, width: int) -> np.ndarray:
+    """A number from 1 on for the ``width`` bytes that start at each place, in their order."""
+    gram = data.astype(np.int64)
+    for k in range(1, width):
+        gram[:-k] = gram[:-k] << 8 | data[k:]
+    used = np.zeros(256**width, bool)
+    used[gram] = True
+    code = np.cumsum(used)
+    return code[gram].astype(np.uint8 if code[-1] < 256 else np.uint16 if code[-1] < 65536 else np.uint32)
+
+
 def suffix_groups(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Group numbers of the ``least``-symbol strings that start in each string.
 
     ``data`` holds the bytes, string i at ``starts[i]`` with ``lengths[i] >= least`` bytes.  Returns the
     numbers of all starts, string by string from left to right, and where each string's numbers begin.
-    Equal numbers mean equal strings of ``least`` symbols.
+    Equal numbers mean equal strings of ``least`` symbols.  An even ``least`` is built by columns of two
+    bytes: the collection then holds each string twice, once without its last byte, so that there are half as
+    many rounds, over as many suffixes in the end.
     """
-    m, cap = len(starts), least
+    m = len(starts)
     begin = np.concatenate(([0], np.cumsum(lengths - least + 1)))
     if not m:
         return np.zeros(0, np.int64), begin
-    used = np.zeros(256, bool)
-    used[data] = True
-    code = np.zeros(256, np.uint8)
-    code[used] = np.arange(1, int(used.sum()) + 1)
-    symbol = code[data]
+    width = 2 if least % 2 == 0 else 1
+    cap = least // width
+    symbol = _columns(data, width)
+    # the strings of columns: each ends at another of the last ``width`` places of its string
+    ends = np.concatenate([starts + lengths - k for k in range(width)])
+    last = np.concatenate([begin[1:] - 1 - k for k in range(width)])  # the number of the string's last start
+    lengths = np.concatenate([(lengths - k) // width for k in range(width)])
     by_length = np.argsort(-lengths, kind="stable")  # strings still growing come first
-    starts, lengths = starts[by_length], lengths[by_length]
-    ends = starts + lengths
-    bwt, lcp = _File(), _File()
+    by_length = by_length[: int(np.count_nonzero(lengths >= cap))]
+    ends, last, lengths = ends[by_length], last[by_length], lengths[by_length]
+    m = len(ends)
+    bwt, lcp = _File(symbol.dtype), _File(np.dtype(np.uint8))
     try:
-        bwt.write(symbol[ends - 1])
+        bwt.write(symbol[ends - width])
         lcp.write(np.zeros(m, np.uint8))
         place = np.arange(m)  # of each string's last suffix
         for j in range(1, int(lengths[0]) + 1):
@@ -73,34 +90,35 @@ def suffix_groups(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lea
             fresh[place[:active]] = True
             fresh_row = np.flatnonzero(fresh[order])  # rows after the m empty suffixes
             # common prefixes change for the new rows and for those right below them
-            touched = np.zeros(len(order) + 1, bool)
-            touched[fresh_row] = True
-            touched[fresh_row + 1] = True
-            rows = np.flatnonzero(touched[: len(order)])
-            lead = above[order[rows]]
-            same = (rows > 0) & (above[order[np.maximum(rows, 1) - 1]] == lead)
+            below = fresh_row + 1
+            below = below[np.append(below[:-1] != fresh_row[1:], below[-1:] < len(order))]
+            rows = np.concatenate((fresh_row, below))
+            high, before = order[rows], order[np.maximum(rows, 1) - 1]
+            same = np.flatnonzero((rows > 0) & (above[high] == above[before]))
             value = np.zeros(len(rows), np.uint8)
-            if same.any():
-                low, high = order[rows[same] - 1] + 1, order[rows[same]] + 1
+            if len(same):
+                # ranges by falling start: no range is read again on the way to the next one
+                low = before[same] + 1
+                fall = np.argsort(-low)
+                same, low = same[fall], low[fall]
                 pairs = np.empty(2 * len(low), np.int64)
-                pairs[0::2], pairs[1::2] = low, high
-                padded = np.append(shared, np.uint8(0))
-                value[same] = np.minimum(np.minimum.reduceat(padded, pairs)[0::2] + 1, cap)
+                pairs[0::2], pairs[1::2] = low, high[same] + 1
+                value[same] = np.minimum(np.minimum.reduceat(np.append(shared, np.uint8(0)), pairs)[0::2] + 1, cap)
             # the new arrays: the old ones with the new rows between them
             size = m + len(order)
-            new = np.zeros(size, bool)
-            new[m + fresh_row] = True
-            before, common = np.empty(size, np.uint8), np.empty(size, np.uint8)
-            before[~new], common[~new] = above, shared
+            held = np.ones(size, bool)
+            held[m + fresh_row] = False
+            after, common = np.empty(size, symbol.dtype), np.empty(size, np.uint8)
+            after[held], common[held] = above, shared
             common[m + rows] = value
             owner = np.empty(len(above), np.int32)
             owner[place[:active]] = np.arange(active)
             owner = owner[order[fresh_row]]
             going = lengths[owner] > j
-            before[m + fresh_row] = np.where(going, symbol[np.where(going, ends[owner] - 1 - j, 0)], 0)
+            after[m + fresh_row] = np.where(going, symbol[np.where(going, ends[owner] - width * (j + 1), 0)], 0)
             place = np.empty(active, np.int64)
             place[owner] = m + fresh_row
-            bwt.write(before)
+            bwt.write(after)
             lcp.write(common)
         above, shared = bwt.read(), lcp.read()
     finally:
@@ -111,10 +129,9 @@ def suffix_groups(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lea
     follow = np.empty(len(above), np.int64)
     follow[order[ended:]] = m + np.arange(len(order) - ended)
     numbers, place = np.empty(int(begin[-1]), np.int64), np.arange(m)
-    last = begin[by_length + 1]
     for j in range(1, int(lengths[0]) + 1):
         active = int(np.searchsorted(-lengths, -j, side="right"))
         place = follow[place[:active]]
-        if j >= least:  # the suffix of j symbols starts lengths - j symbols into its string
-            numbers[last[:active] - 1 - (j - least)] = group[place]
+        if j >= cap:  # the suffix of j columns starts lengths - j columns into its string
+            numbers[last[:active] - width * (j - cap)] = group[place]
     return numbers, begin

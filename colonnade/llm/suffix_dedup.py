@@ -19,7 +19,8 @@ Burrows-Wheeler transform is made for.
    Each block adds the strings of its own later documents with the same context and removes the bytes.
 
 So one line in a third of all documents is one row of each block in the part where it meets, and its
-occurrences stay with their blocks.  Steps 3 and 4 spread a passage that many documents share over as many
+occurrences stay with their blocks.  Every block sends to every part; so that these pairs do not grow with the
+square of the input, blocks and parts grow with its root, within bounds.  Steps 3 and 4 spread a passage that many documents share over as many
 keys as it has anchors, and a collection that has grown too large for one transform is divided by anchor, then
 by the hash of the string.  The transform decides which strings of shared anchors are equal; that strings of
 unshared anchors have no equal is decided by the anchors' hashes alone.
@@ -46,6 +47,14 @@ LENGTH = 50
 BLOCK = 4 << 20
 PART = 5 << 20
 CONTEXTS = 20_000
+#: Over ``WHOLE`` blocks, blocks and parts grow with the square root of the input, to ``GROWTH`` times their size at most:
+#: every block sends to every part, and their pairs would grow with the square of the input.
+WHOLE = 256
+GROWTH = 4
+#: Contexts that one transform holds at a time, if their anchors can be divided; its arrays then stay in the processor's cache.
+COLLECTION = 4000
+#: Contexts whose runs are looked for at a time.
+RUNS = 1 << 15
 #: Strings whose anchors a task looks for at a time.
 STRIDE = 1 << 18
 #: One context in ``SAMPLE`` is counted, and parts for strings of hot anchors for each other part.
@@ -106,11 +115,11 @@ def _pairs(data: np.ndarray, at: np.ndarray, length: int, buckets: int) -> dict[
     start, strings, h, content = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
     h, content = h.astype(np.uint64), content.astype(np.uint64)
     row = np.searchsorted(at, start, side="right") - 1
-    part = (h >> np.uint64(44)) % np.uint64(buckets)
-    order = np.lexsort((start, row, h & np.uint64((1 << 40) - 1), part))
-    start, strings, h, row, part, content = start[order], strings[order], h[order], row[order], part[order], content[order]
+    short, part = h & np.uint64((1 << 40) - 1), (h >> np.uint64(44)) % np.uint64(buckets)
+    both = part << np.uint64(40) | short if buckets <= 1 << 24 else None
+    order = np.lexsort((short, part)) if both is None else np.argsort(both, kind="stable")  # found in the order of their places
+    start, strings, short, row, part, content = start[order], strings[order], short[order], row[order], part[order], content[order]
     new = np.ones(len(h), bool)
-    short = h & np.uint64((1 << 40) - 1)
     new[1:] = (short[1:] != short[:-1]) | (part[1:] != part[:-1])
     several = np.zeros(int(new.sum()), bool)  # the anchor is in more than one text
     number = np.cumsum(new) - 1
@@ -140,14 +149,17 @@ def _announce(length: int, buckets: int):
         data, at, _, _ = _texts_of(docs, side)
         found = _pairs(data, at, length, buckets)
         h, part = found["h"][found["new"]], found["part"][found["new"]]
+        low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h >> np.uint64(32)).astype(np.uint8)
         block = _block_of(docs, side)
         counted = np.flatnonzero(found["content"] % np.uint64(SAMPLE) == 0)
+        counted = counted[np.lexsort((found["content"][counted], found["h"][counted], found["part"][counted]))]
+        pairs, where = np.stack([found["h"][counted], found["content"][counted]], axis=1), found["part"][counted]
+        once = np.ones(len(counted), bool)
+        once[1:] = (pairs[1:] != pairs[:-1]).any(axis=1) | (where[1:] != where[:-1])
+        pairs, where = pairs[once], where[once]
         return _side_table(
-            [
-                (block, 1, p, np.int64(b - a).tobytes() + (h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (h[a:b] >> np.uint64(32)).astype(np.uint8).tobytes() + np.packbits(found["several"][a:b]).tobytes())
-                for p, a, b in _groups(part)
-            ]
-            + [(block, 3, p, np.unique(np.stack([found["h"][counted[a:b]], found["content"][counted[a:b]]], axis=1), axis=0).tobytes()) for p, a, b in _groups(found["part"][counted])]
+            [(block, 1, p, np.int64(b - a).tobytes() + low[a:b].tobytes() + high[a:b].tobytes() + np.packbits(found["several"][a:b]).tobytes()) for p, a, b in _groups(part)]
+            + [(block, 3, p, pairs[a:b].tobytes()) for p, a, b in _groups(where)]
         )
 
     return run
@@ -209,22 +221,17 @@ def _contexts(length: int, buckets: int):
         data, at, ids, _ = _texts_of(docs, side)
         found = _pairs(data, at, length, buckets)
         packer = zstandard.ZstdCompressor(level=3)
-        rows = []
+        raw, rows = data.tobytes(), []
 
         def pack(part: int, start: np.ndarray, size: np.ndarray, hashes: np.ndarray, row: np.ndarray) -> None:
             number: dict[bytes, int] = {}
-            anchor: list[int] = []
-            context = np.empty(len(start), np.int64)
-            for k, (s, n, h) in enumerate(zip(start.tolist(), size.tolist(), hashes.tolist(), strict=True)):
-                text = data[s : s + n].tobytes()
-                context[k] = number.setdefault(text, len(number))
-                if len(anchor) < len(number):
-                    anchor.append(h & 0xFFFFFFFF)
+            context = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)), np.int64, len(start))
+            anchor = hashes[np.diff(np.maximum.accumulate(context), prepend=-1) > 0] & np.uint64(0xFFFFFFFF)  # where each is first met
             least = np.full(len(number), _LAST)
             np.minimum.at(least, context, ids[row])
             later = ids[row] > least[context]
             place, strings = start - at[row], size - length + 1
-            sent = (np.array([len(number)], np.int64), np.fromiter(map(len, number), np.uint16, len(number)), np.array(anchor, np.uint32), least)
+            sent = (np.array([len(number)], np.int64), np.fromiter(map(len, number), np.uint16, len(number)), anchor.astype(np.uint32), least)
             rows.append((block, 2, part, b"".join([*(x.tobytes() for x in sent), packer.compress(b"".join(number))])))
             rest = mixed(np.array([block * 0x9E3779B1 + part], np.uint64))[0] % np.uint64(buckets)
             held = np.stack([context[~later], row[~later], place[~later]]).astype(np.uint32)
@@ -263,14 +270,15 @@ def _contexts(length: int, buckets: int):
     return run
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+def _unpacked(blob: bytes, unpack=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Sizes, anchors, smallest doc_ids and bytes of the contexts that a block sends to a part."""
+    unpack = unpack or zstandard.ZstdDecompressor().decompress
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     out, at = [], 8
     for kind in (np.uint16, np.uint32, np.int64):
         out.append(np.frombuffer(blob, kind, n, at))
         at += out[-1].nbytes
-    return *out, zstandard.ZstdDecompressor().decompress(blob[at:])
+    return *out, unpack(blob[at:])
 
 
 def _named_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, least: np.ndarray, length: int, most: int = CONTEXTS) -> np.ndarray:
@@ -302,7 +310,7 @@ def _named_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor
             np.minimum.at(first, numbers, smallest[own])
             out[spot[own]] = first[numbers]
 
-    divisions = -(-len(start) // most)
+    divisions = -(-len(start) // min(most, COLLECTION))
     share = mixed(anchor.astype(np.uint64)) % np.uint64(max(1, divisions))
     for d in range(divisions):
         which = np.flatnonzero(share == d)
@@ -316,19 +324,41 @@ def _named_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, anchor
     return out
 
 
+def _runs_of(held: list[tuple[int, int, np.ndarray, np.ndarray]], begin: np.ndarray, smallest: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """For every block and part, the runs of strings in its contexts that start in an earlier document than the context does."""
+    context, first = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+    at = np.concatenate(([0], np.cumsum([len(h[2]) for h in held])))
+    many = begin[context + 1] - begin[context]
+    offset = np.cumsum(many) - many
+    which = np.repeat(np.arange(len(context)), many)
+    k = np.arange(len(which)) - offset[which]
+    earlier = smallest[begin[context][which] + k] < first[which]
+    change = which[1:] != which[:-1]
+    opens = np.flatnonzero(earlier & np.concatenate(([True], ~earlier[:-1] | change)))
+    closes = np.flatnonzero(earlier & np.concatenate((~earlier[1:] | change, [True])))
+    which, k, strings = which[opens], k[opens].astype(np.uint32), (closes - opens + 1).astype(np.uint32)
+    bound = np.searchsorted(which, at).tolist()
+    rows = []
+    for (block, part, _, _), n, a, b in zip(held, at.tolist(), bound[:-1], bound[1:], strict=False):
+        if a < b:
+            rows.append((block, 2, part, np.int64(part).tobytes() + (which[a:b] - n).astype(np.uint32).tobytes() + k[a:b].tobytes() + strings[a:b].tobytes()))
+    return rows
+
+
 def _resolved(length: int, contexts: int):
     """Step 4, in a part: for each block the runs of strings that a document earlier than all of its own has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
         anchor: list[np.ndarray] = []
-        held = []
+        held, unpack = [], zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["kind"] != 2:  # of the block alone
-                    yield from _side_table([(r["_block"], r["kind"], r["part"], r["blob"])]).to_batches()
-                    continue
-                size, hashes, first, raw = _unpacked(r["blob"])
+            here = pa.compute.equal(batch["kind"], 2)
+            alone = batch.filter(pa.compute.invert(here))  # of the block alone
+            if len(alone):
+                yield alone
+            for r in batch.filter(here).to_pylist():
+                size, hashes, first, raw = _unpacked(r["blob"], unpack)
                 ends = np.cumsum(size.astype(np.int64))
                 before = len(number)
                 own = np.fromiter((number.setdefault(raw[e - n : e], len(number)) for e, n in zip(ends.tolist(), size.tolist(), strict=True)), np.int64, len(size))
@@ -345,33 +375,28 @@ def _resolved(length: int, contexts: int):
             np.minimum.at(least, context, first)
         smallest = _named_strings(data, start, size, np.concatenate(anchor), least, length, contexts)
         begin = np.concatenate(([0], np.cumsum(size - length + 1)))
-        for block, part, context, first in held:
-            many = (begin[context + 1] - begin[context]).astype(np.int64)
-            offset = np.concatenate(([0], np.cumsum(many)))
-            which = np.repeat(np.arange(len(context)), many)
-            k = np.arange(offset[-1]) - offset[which]
-            earlier = smallest[begin[context][which] + k] < first[which]
-            opens = earlier & np.concatenate(([True], ~earlier[:-1] | (which[1:] != which[:-1])))
-            closes = earlier & np.concatenate((~earlier[1:] | (which[1:] != which[:-1]), [True]))
-            if opens.any():
-                runs = np.stack([which[opens], k[opens], k[closes] - k[opens] + 1]).astype(np.uint32)
-                yield from _side_table([(block, 2, part, np.int64(part).tobytes() + runs.tobytes())]).to_batches()
+        ends = np.cumsum([len(context) for _, _, context, _ in held])
+        a = 0
+        while a < len(held):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + RUNS, side="right")))
+            yield from _side_table(_runs_of(held[a:b], begin, smallest)).to_batches()
+            a = b
 
     return run
 
 
 def _gone(side: pa.Table) -> np.ndarray | None:
     """Text, place and number of all runs of strings to remove from a block's texts."""
-    unpack, rows = zstandard.ZstdDecompressor().decompress, {2: {}, 4: {}, 5: []}
-    for r in side.to_pylist():
-        if r["kind"] == 5:
-            rows[5].append(np.frombuffer(unpack(r["blob"]), np.uint32).reshape(3, -1))
-        elif r["kind"] in (2, 4):
-            blob = r["blob"][8:] if r["kind"] == 2 else unpack(r["blob"][8:])
-            rows[r["kind"]][int(np.frombuffer(r["blob"], np.int64, 1)[0])] = np.frombuffer(blob, np.uint32).reshape(3, -1)
-    out = rows[5]
-    for part, (which, k, many) in rows[2].items():
-        context, row, place = rows[4][part]
+    unpack = zstandard.ZstdDecompressor().decompress
+    rows = {kind: side.filter(pa.compute.equal(side["kind"], kind))["blob"].to_pylist() for kind in (2, 4, 5)}
+    triples = lambda blob: np.frombuffer(blob, np.uint32).reshape(3, -1)
+    out = [triples(unpack(blob)) for blob in rows[5]]
+    runs = {blob[:8]: triples(blob[8:]) for blob in rows[2]}
+    if runs:
+        places = {blob[:8]: triples(unpack(blob[8:])) for blob in rows[4] if blob[:8] in runs}
+        spans = np.cumsum([0, *(int(places[part][0].max()) + 1 for part in runs)])  # contexts are numbered on from part to part
+        which, k, many = np.concatenate([np.stack([r[0] + np.int64(n), r[1], r[2]]) for r, n in zip(runs.values(), spans[:-1].tolist(), strict=True)], axis=1)
+        context, row, place = np.concatenate([np.stack([places[part][0] + np.int64(n), *places[part][1:]]) for part, n in zip(runs, spans[:-1].tolist(), strict=True)], axis=1)
         order = np.argsort(context, kind="stable")
         first, last = np.searchsorted(context[order], which, "left"), np.searchsorted(context[order], which, "right")
         times = last - first
@@ -436,12 +461,18 @@ def keyed(docs: DataFrame, text: str = "text", *more: Column) -> DataFrame:
     )
 
 
+def _dealt(spark: SparkSession, total: int) -> tuple[int, int]:
+    """Blocks of texts and parts of anchors for so many bytes."""
+    growth = min(GROWTH, max(1, (total / (WHOLE * BLOCK)) ** 0.5))
+    return parts(spark, total, int(BLOCK * growth)), parts(spark, total, int(PART * growth))
+
+
 def _visited(docs: DataFrame, text: str, length: int, step, schema: str | T.StructType, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The first document of every text (_key, _first), and what ``step`` makes of the blocks of texts in the end."""
     spark = docs.sparkSession
     rows = keyed(docs, text)
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    blocks, buckets = parts(spark, total, BLOCK), parts(spark, total, PART)
+    blocks, buckets = _dealt(spark, total)
     firsts = rows.groupBy("_key").agg(F.min("_id").alias("_first"))
     block = lambda *c: F.pmod(F.xxhash64(*c), F.lit(blocks)).alias("_block")
     texts = (rows if row is None else keyed(docs, text, row.alias("_row"))).drop("doc_id", "n_bytes").withColumn("_block", block("_key", "_id")).repartition(blocks, "_block")
